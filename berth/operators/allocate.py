@@ -79,7 +79,7 @@ def allocate(
     else:
         rows = ranked(requests, scope, order, "_r", slice_by, free, hot_rows)
         has_seat = F.col("_r") <= F.coalesce("_free", F.lit(0))
-        over = ranked(rows.where(~has_seat), queue_scope, order, "_q", slice_by, queued, hot_rows)
+        over = ranked(rows.where(~has_seat), queue_scope, order, "_q", slice_by, queued, hot_rows, hot_from=requests)
         rows = rows.where(has_seat).withColumn("_q", F.lit(0).cast("long")).unionByName(over, allowMissingColumns=True)
     return _place(rows, seat_pool(seats, scope, seat_order, hot_rows), scope, queue_scope, rac_capacity, requests.columns)
 

@@ -13,6 +13,7 @@ from berth.operators.allocate import CONFIRMED, RAC, RAC_CAPACITY, SCOPE, WL, al
 from berth.operators.pricing import price_distance, price_route
 from berth.operators.rank import HOT_ROWS
 from berth.operators.wallet import DEBIT, wallet_ledger
+from berth.session import durable
 
 MAX_PASSENGERS = 4  # fixed value
 
@@ -57,12 +58,13 @@ def book_tickets(
     stations, scope and order columns. The fare never depends on the seat, so all
     requests are priced first, then the wallets, then the accepted ones seated.
     """
-    priced = price_distance(requests, stops, coaches)
+    priced = price_distance(requests.drop("kind", "amount"), stops, coaches)
     by_wallet = priced.where(F.col("method") == "wallet").withColumn("kind", F.lit(DEBIT)).withColumn("amount", F.col("total_fare"))
     paid = wallet_ledger(by_wallet, opening, event_order, wallet_slice, hot_rows)
     accepted = paid.where("accepted").drop("kind", "amount", "accepted", "balance")
     others = priced.where(F.col("method") != "wallet")
-    return allocate(others.unionByName(accepted), seats, passenger_order, slice_by, rac_capacity=rac_capacity, scope=scope, hot_rows=hot_rows)
+    booked = durable(others.unionByName(accepted))
+    return allocate(booked, seats, passenger_order, slice_by, rac_capacity=rac_capacity, scope=scope, hot_rows=hot_rows)
 
 
 def book_groups(

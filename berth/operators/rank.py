@@ -2,8 +2,8 @@
 
 A plain window sorts a whole key in one task. Here a key above a size limit is
 cut into slices along its order; slices are ranked apart, and the counts of the
-earlier slices (one small row each) are added back. Keys below the limit keep a
-single slice, so ordinary data pays one shuffle, as a plain window does.
+earlier slices (one small row each) are added back. Without such keys the plan
+is the plain window.
 """
 
 from __future__ import annotations
@@ -13,10 +13,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A key is hot above this many rows and above one row in HOT_SHARE.
-# The second rule bounds the number of hot keys by HOT_SHARE, whatever the data.
+# A key with more rows than this is cut into slices. Only the HOT_KEYS largest
+# are, so the list stays small enough to broadcast whatever the data; any other
+# key holds less than one row in HOT_KEYS.
 HOT_ROWS = 1_000_000
-HOT_SHARE = 10_000
+HOT_KEYS = 10_000
 
 SLICE = "_slice"
 _NO_SLICE = -(2**62)
@@ -39,30 +40,30 @@ def time_slice(column: str, seconds: int = 3600) -> Column:
     return F.floor(clock / seconds).cast("long")
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys that own more than the limit; at most ``HOT_SHARE`` rows."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    if hot_rows < HOT_ROWS:  # tests force slicing on small data
-        return counts.where(F.col("_n") > hot_rows).select(*keys)
-    total = counts.agg(F.sum("_n").alias("t")).scalar()
-    return counts.where((F.col("_n") > hot_rows) & (F.col("_n") * HOT_SHARE > total)).select(*keys)
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """The keys to slice, as a small local frame, or None where there are none.
 
+    One counting pass over the key columns; at most ``HOT_KEYS`` keys reach the
+    driver, the largest first. Fixing them here keeps the slices the same when a
+    task is run again.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    found = counts.orderBy(F.desc("_n"), *keys).limit(HOT_KEYS).select(*keys).collect()
+    if not found:
+        return None
+    return df.sparkSession.createDataFrame(found, df.select(*keys).schema)
 
-def with_slice(
-    df: DataFrame, keys: Sequence[str], slice_by: Column | None, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+
+def with_slice(df: DataFrame, keys: Sequence[str], slice_by: Column, hot: DataFrame | None) -> DataFrame:
     """Add the slice number: ``slice_by`` for rows of hot keys, one constant otherwise.
 
     ``slice_by`` must be a long that never falls along the order.
     """
-    if slice_by is None:
+    if hot is None:
         return df.withColumn(SLICE, F.lit(_NO_SLICE).cast("long"))
-    hot = hot_keys(df, keys, hot_rows).withColumn("_hot", F.lit(True))
-    return (
-        df.join(F.broadcast(hot), list(keys), "left")
-        .withColumn(SLICE, F.when(F.col("_hot"), F.coalesce(slice_by, F.lit(_NULL_SLICE))).otherwise(F.lit(_NO_SLICE)))
-        .drop("_hot")
-    )
+    marked = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), list(keys), "left")
+    number = F.when(F.col("_hot"), F.coalesce(slice_by, F.lit(_NULL_SLICE))).otherwise(F.lit(_NO_SLICE))
+    return marked.withColumn(SLICE, number).drop("_hot")
 
 
 def slice_window(keys: Sequence[str], order: Sequence[Column | str]) -> Window:
@@ -81,24 +82,31 @@ def ranked(
     slice_by: Column | None = None,
     facts: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
+    hot_from: DataFrame | None = None,
 ) -> DataFrame:
     """Row number per ``keys`` along ``order``; ``order`` must be total.
 
-    ``facts`` (one row per key) rides on the slice counts, so attaching it costs
-    no shuffle of the rows and no join on a hot key alone.
+    ``facts`` (one row per key) is attached on the partitioning the rank already
+    has. Hot keys are sought in ``hot_from``, which may be any frame that counts
+    at least the rows of ``df``; by default ``df`` itself. Without ``slice_by``
+    the caller vouches that keys are small.
     """
     keys = list(keys)
-    rows = with_slice(df, keys, slice_by, hot_rows)
-    out = rows.withColumn("_rn", F.row_number().over(slice_window(keys, order)).cast("long"))
-    if slice_by is None and facts is None:
-        return out.withColumn(name, F.col("_rn")).drop("_rn", SLICE)
-    counted = rows if facts is not None else rows.where(F.col(SLICE) != _NO_SLICE)
-    heads = counted.groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("_n"))
+    hot = None if slice_by is None else hot_keys(df if hot_from is None else hot_from, keys, hot_rows)
+    if hot is None:
+        number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        out = df.withColumn(name, number.cast("long"))
+        return out if facts is None else out.join(facts, keys, "left")
+    rows = with_slice(df, keys, slice_by, hot)
+    heads = rows.groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("_n"))
+    if facts is None:
+        heads = heads.where(F.col(SLICE) != _NO_SLICE)
     heads = heads.withColumn("_before", F.coalesce(F.sum("_n").over(earlier_slices(keys)), F.lit(0))).drop("_n")
     if facts is not None:
         heads = heads.join(facts, keys, "left")
     return (
-        out.join(heads, [*keys, SLICE], "left")
+        rows.withColumn("_rn", F.row_number().over(slice_window(keys, order)).cast("long"))
+        .join(heads, [*keys, SLICE], "left")
         .withColumn(name, F.col("_rn") + F.coalesce("_before", F.lit(0)))
         .drop("_rn", "_before", SLICE)
     )

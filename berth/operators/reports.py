@@ -170,8 +170,12 @@ def ticket_detail(
         "train_id", "train_name", "train_type", "source_station", "destination_station"
     )
     seat_text = F.concat("seat_type", F.lit("-"), "seat_no")
+    columns = (
+        "ticket_id", "pnr", "name", "concession", "class_no", "schedule_id", "journey_date", "status", "coach_id",
+        "seat_no", "queue_no", "booking_date",
+    )
     return (
-        tickets.join(services.select("schedule_id", "train_id"), "schedule_id")
+        tickets.select(*columns).join(services.select("schedule_id", "train_id"), "schedule_id")
         .join(lines, "train_id")
         .join(classes.select("class_no", "class_name"), "class_no")
         .join(seats.select("schedule_id", "coach_id", "seat_no", "seat_type"), ["schedule_id", "coach_id", "seat_no"], "left")

@@ -53,19 +53,15 @@ def wallet_ledger(
         slice_by = time_slice("ts")
     columns = events.columns
     cents = (F.col("amount") * 100).cast("long")
-    rows = with_slice(events, ["user_id"], slice_by, hot_rows).withColumn(
+    hot = hot_keys(events, ["user_id"], hot_rows)
+    rows = with_slice(events, ["user_id"], slice_by, hot).withColumn(
         "_delta", F.when(F.col("kind") == DEBIT, -cents).otherwise(cents)
     )
     rows = rows.withColumn("_run", F.sum("_delta").over(slice_window(["user_id"], [*order])))
+    if hot is None:
+        return _settle(rows, opening, order, columns)
     small = _settle(rows.where(F.col(SLICE) == _NO_SLICE), opening, order, columns)
-    big = rows.where(F.col(SLICE) != _NO_SLICE)
-    if _no_hot_user(events, hot_rows):
-        return small
-    return small.unionByName(_settle_large(big, opening, order, columns))
-
-
-def _no_hot_user(events: DataFrame, hot_rows: int) -> bool:
-    return hot_keys(events, ["user_id"], hot_rows).isEmpty()
+    return small.unionByName(_settle_large(rows.where(F.col(SLICE) != _NO_SLICE), opening, order, columns))
 
 
 def _with_opening(heads: DataFrame, opening: DataFrame | None) -> DataFrame:

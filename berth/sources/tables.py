@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,9 +16,29 @@ TABLES = (
 )
 
 
-def tables(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
+class Tables(Mapping):
+    """Lazy scans by table name; a table's footer is read when first asked for."""
+
+    def __init__(self, spark: SparkSession, directory: str):
+        self._spark, self._directory, self._seen = spark, directory, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in TABLES:
+            raise KeyError(name)
+        if name not in self._seen:
+            self._seen[name] = self._spark.read.parquet(f"{self._directory}/{name}.parquet")
+        return self._seen[name]
+
+    def __iter__(self):
+        return iter(TABLES)
+
+    def __len__(self) -> int:
+        return len(TABLES)
+
+
+def tables(spark: SparkSession, directory: str) -> Tables:
     """Every driver table as a lazy scan; only the columns used are read."""
-    return {name: spark.read.parquet(f"{directory}/{name}.parquet") for name in TABLES}
+    return Tables(spark, directory)
 
 
 def read_fixture(spark: SparkSession, name: str, path: str) -> DataFrame:
