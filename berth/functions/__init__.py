@@ -12,5 +12,7 @@ from berth.functions.expr import (  # noqa: F401
     seat_code,
     seat_sort_key,
     text_slice,
+    utc_clock,
+    utc_instant,
     weekday3,
 )

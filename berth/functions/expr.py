@@ -98,6 +98,22 @@ def cancellation_rate(days_before: Column) -> Column:
     return out.otherwise(decimal_lit(CHARGE_LATE))
 
 
+def utc_instant(c: Column | str) -> Column:
+    """Clock time without zone as the instant it names in UTC, in any session zone.
+
+    Event-time operators of streams accept instants only.
+    """
+    c = _c(c)
+    seconds = F.unix_date(F.to_date(c)).cast("long") * 86400 + F.hour(c) * 3600 + F.minute(c) * 60
+    return F.timestamp_micros(seconds * 1_000_000 + (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("long"))
+
+
+def utc_clock(c: Column | str) -> Column:
+    """Inverse of ``utc_instant``."""
+    seconds = F.unix_micros(_c(c)) * F.lit("0.000001").cast("decimal(7,6)")
+    return F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
+
+
 def seat_sort_key(seat_no: Column | str, seat_order: str) -> Column:
     """``lexical``: S1, S10, S2; ``numeric``: S1, S2, S10."""
     if seat_order == "lexical":

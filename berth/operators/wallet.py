@@ -9,11 +9,10 @@ by event, one bounded piece per task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,30 +93,39 @@ def _closed(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def _fold(rows: DataFrame, order: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Replay the events of each (user, slice) in order. One piece is bounded by
-    the hot limit or by the slice width."""
-    frame = rows.select(*columns, "_delta", "_start", SLICE)
-    schema = ", ".join(
-        [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*columns).schema] + ["accepted boolean", "_cents bigint"]
+    """Replay the events of each (user, slice) in order.
+
+    Partitions stream through in sorted batches, so no user is held in memory.
+    """
+    frame = (
+        rows.select(*columns, "_delta", "_start", SLICE)
+        .repartition("user_id", SLICE)
+        .sortWithinPartitions("user_id", SLICE, *order)
     )
-    order = list(order)
-
-    def replay(piece: pd.DataFrame) -> pd.DataFrame:
-        piece = piece.sort_values(order, kind="stable")
-        balance = int(piece["_start"].iloc[0])
-        accepted = np.ones(len(piece), dtype=bool)
-        after = np.empty(len(piece), dtype=np.int64)
-        for i, delta in enumerate(piece["_delta"].to_numpy().tolist()):
-            if delta < 0 and balance + delta < 0:
-                accepted[i] = False
-            else:
-                balance += delta
-            after[i] = balance
-        return piece[list(columns)].assign(accepted=accepted, _cents=after)
+    kept = frame.select(*columns)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + ["accepted boolean", "_cents bigint"])
+    names = list(columns)
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, balance = None, 0
+        for batch in batches:
+            accepted, after = [], []
+            steps = (batch.column(c).to_pylist() for c in ("user_id", SLICE, "_start", "_delta"))
+            for user, part, start, delta in zip(*steps):
+                if (user, part) != owner:
+                    owner, balance = (user, part), start
+                funded = delta >= 0 or balance + delta >= 0
+                if funded:
+                    balance += delta
+                accepted.append(funded)
+                after.append(balance)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c) for c in names] + [pa.array(accepted, pa.bool_()), pa.array(after, pa.int64())],
+                [*names, "accepted", "_cents"],
+            )
 
     return (
-        frame.groupBy("user_id", SLICE)
-        .applyInPandas(replay, schema)
+        frame.mapInArrow(replay, schema)
         .withColumn("balance", money(F.col("_cents") * F.lit(0.01).cast("decimal(3,2)"), 18))
         .drop("_cents")
     )

@@ -42,6 +42,7 @@ class Bound:
 
     def __init__(self, spark: SparkSession, directory: str):
         self.spark = spark
+        self.directory = directory
         self.t = tables(spark, directory)
 
     @cached_property

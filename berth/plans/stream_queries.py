@@ -1 +1,130 @@
-"""Streaming queries over the events table."""
+"""Streaming queries over the events table, read as a file stream."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from berth.functions import money
+from berth.operators.wallet import DEBIT, REFUND, TOPUP
+from berth.plans.bind import SEASONS, Bound
+from berth.plans.queries import query
+from berth.session import scratch
+from berth.streaming import stream as st
+
+EVENTS = "events.parquet"
+
+
+def _events(b: Bound) -> DataFrame:
+    return st.read_stream(b.spark, b.directory, EVENTS)
+
+
+def _wallet(events: DataFrame) -> DataFrame:
+    kind = F.when(F.col("event_type") == "signup", F.lit(TOPUP)).when(F.col("event_type") == "purchase", F.lit(DEBIT)).when(
+        F.col("event_type") == "click", F.lit(REFUND)
+    )
+    value = money("value")
+    amount = F.when(kind == REFUND, money(value * F.lit("0.1").cast("decimal(2,1)"))).otherwise(value)
+    return events.select("user_id", "ts", "event_id", kind.alias("kind"), amount.alias("amount")).where(F.col("kind").isNotNull())
+
+
+@query(
+    "stream_ingest", "event_id bigint, user_id bigint, is_valid boolean",
+    "SELECT event_id, user_id, event_type <> 'error' AND value >= 1 AS is_valid FROM events",
+)
+def stream_ingest(b: Bound) -> DataFrame:
+    out = scratch(b.spark, "ingest")
+    st.stream_ingest(_events(b), (F.col("event_type") != "error") & (F.col("value") >= 1), out)
+    part = lambda name, flag: b.spark.read.parquet(f"{out}/{name}").select("event_id", "user_id", F.lit(flag).alias("is_valid"))
+    return part("valid", True).unionByName(part("rejects", False))
+
+
+@query(
+    "stream_wallet", "user_id bigint, event_id bigint, accepted boolean, balance decimal(18,2)",
+    "SELECT user_id, event_id, accepted, balance FROM b_wallet_fold",
+)
+def stream_wallet(b: Bound) -> DataFrame:
+    out = scratch(b.spark, "wallet")
+    st.stream_wallet(_wallet(_events(b)), out)
+    return b.spark.read.parquet(f"{out}/ledger")
+
+
+@query(
+    "stream_revenue", "window_start timestamp_ntz, window_end timestamp_ntz, total_revenue decimal(22,2), n_payments bigint",
+    """SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end,
+              sum(CAST(value AS DECIMAL(12,2))) AS total_revenue, count(*) AS n_payments
+       FROM events WHERE event_type = 'purchase' AND event_id % 3 <> 0 GROUP BY 1, 2
+       HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events WHERE event_type = 'purchase' AND event_id % 3 <> 0) - INTERVAL 1 DAY""",
+)
+def stream_revenue(b: Bound) -> DataFrame:
+    """Daily revenue of the windows the watermark has passed; a third of the
+    purchases count as refunded."""
+    payments = _events(b).where(F.col("event_type") == "purchase").select(
+        "ts", money("value").alias("amount"), F.when(F.col("event_id") % 3 == 0, F.lit("Yes")).otherwise(F.lit("No")).alias("refund_status")
+    )
+    return st.collected(b.spark, st.stream_revenue(payments), "revenue")
+
+
+@query("stream_dedup", "event_id bigint, user_id bigint, event_type string", "SELECT event_id, user_id, event_type FROM events")
+def stream_dedup(b: Bound) -> DataFrame:
+    """Every event is delivered twice and kept once."""
+    twice = _events(b).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+    return st.collected(b.spark, st.stream_dedup(twice), "dedup")
+
+
+@query(
+    "stream_refund_flags", "ticket_id string, schedule_id bigint, amount decimal(12,2), refund_status string",
+    """SELECT p.ticket_id, r.schedule_id, p.amount, 'Yes' AS refund_status FROM b_payments p JOIN b_requests r ON r.ticket_id = p.ticket_id
+       WHERE r.schedule_id IN (SELECT user_id * 10000 + 1995 + event_id % 7 FROM events WHERE event_type = 'error')""",
+)
+def stream_refund_flags(b: Bound) -> DataFrame:
+    """An error event cancels the service of the train numbered as its user."""
+    seasons = SEASONS[1] - SEASONS[0] + 1
+    changes = _events(b).select(
+        (F.col("user_id") * 10000 + SEASONS[0] + F.col("event_id") % seasons).alias("schedule_id"),
+        F.lit("Running").alias("old_status"),
+        F.when(F.col("event_type") == "error", F.lit("Cancelled")).otherwise(F.lit("Running")).alias("status"),
+    )
+    out = scratch(b.spark, "refunds")
+    st.stream_refund_flags(changes, b.requests.select("ticket_id", "schedule_id"), b.payments, out)
+    return b.spark.read.parquet(out).dropDuplicates(["ticket_id"])
+
+
+_DESK = """
+    WITH e AS (SELECT event_id, event_id // 50 AS scope, event_type IN ('view', 'signup', 'purchase') AS books,
+                      event_id - 1 - event_id % 5 AS target, event_type = 'click' AS cancels FROM events),
+         c AS (SELECT e.scope, e.target AS passenger_id, min(e.event_id) AS cancel_id
+               FROM e JOIN e AS t ON t.event_id = e.target AND t.scope = e.scope AND t.books WHERE e.cancels GROUP BY ALL),
+         s AS (SELECT scope, event_id, 1 AS d FROM e WHERE books UNION ALL SELECT scope, cancel_id, -1 FROM c),
+         a AS (SELECT scope, event_id, d, sum(d) OVER (PARTITION BY scope ORDER BY event_id) AS active FROM s),
+         f AS (SELECT e.event_id, row_number() OVER (PARTITION BY e.scope ORDER BY e.event_id) AS place
+               FROM e LEFT JOIN c ON c.passenger_id = e.event_id WHERE books AND c.passenger_id IS NULL)
+    SELECT a.scope, a.event_id AS passenger_id,
+           CASE WHEN active <= 10 THEN 'Confirmed' WHEN active <= 18 THEN 'RAC' ELSE 'WL' END AS booked_status,
+           CASE WHEN active <= 10 THEN NULL WHEN active <= 18 THEN active - 10 ELSE active - 18 END AS booked_queue_no,
+           CASE WHEN place IS NULL THEN 'cancelled' WHEN place <= 10 THEN 'Confirmed' WHEN place <= 18 THEN 'RAC' ELSE 'WL' END AS final_status
+    FROM a LEFT JOIN f ON f.event_id = a.event_id WHERE d = 1"""
+
+
+@query(
+    "stream_allocate", "scope bigint, passenger_id bigint, booked_status string, booked_queue_no bigint, final_status string", _DESK
+)
+def stream_allocate(b: Bound) -> DataFrame:
+    """Fifty events make a service; clicks cancel an earlier booking of it."""
+    book = F.col("event_type").isin("view", "signup", "purchase")
+    events = (
+        _events(b).where(book | (F.col("event_type") == "click"))
+        .select(
+            F.floor(F.col("event_id") / 50).alias("scope"), "ts", "event_id",
+            F.when(book, F.lit("book")).otherwise(F.lit("cancel")).alias("action"),
+            F.when(book, F.col("event_id")).otherwise(F.col("event_id") - 1 - F.col("event_id") % 5).alias("passenger_id"),
+            F.lit(10).alias("n_seats"),
+            ((F.unix_date(F.to_date("ts")).cast("long") + 90) * 86400000).alias("closes_ms"),
+        )
+    )
+    said = st.collected(b.spark, st.stream_allocate(events), "desk")
+    at_booking = said.where(F.col("event_id") == F.col("passenger_id")).select(
+        "scope", "passenger_id", F.col("status").alias("booked_status"), F.col("queue_no").alias("booked_queue_no")
+    )
+    last = said.groupBy("passenger_id").agg(F.max_by("status", "event_id").alias("final_status"))
+    return at_booking.join(last, "passenger_id")
