@@ -110,3 +110,29 @@ def ranked(
         .withColumn(name, F.col("_rn") + F.coalesce("_before", F.lit(0)))
         .drop("_rn", "_before", SLICE)
     )
+
+
+def running_sum(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column | str],
+    value: str,
+    name: str,
+    slice_by: Column,
+    hot_rows: int = HOT_ROWS,
+    hot_from: DataFrame | None = None,
+) -> DataFrame:
+    """Sum of ``value`` up to and including each row per ``keys`` along ``order``."""
+    keys = list(keys)
+    hot = hot_keys(df if hot_from is None else hot_from, keys, hot_rows)
+    if hot is None:
+        return df.withColumn(name, F.sum(value).over(Window.partitionBy(*keys).orderBy(*order)))
+    rows = with_slice(df, keys, slice_by, hot)
+    heads = rows.where(F.col(SLICE) != _NO_SLICE).groupBy(*keys, SLICE).agg(F.sum(value).alias("_n"))
+    heads = heads.withColumn("_before", F.coalesce(F.sum("_n").over(earlier_slices(keys)), F.lit(0))).drop("_n")
+    return (
+        rows.withColumn("_run", F.sum(value).over(slice_window(keys, order)))
+        .join(heads, [*keys, SLICE], "left")
+        .withColumn(name, F.col("_run") + F.coalesce("_before", F.lit(0)))
+        .drop("_run", "_before", SLICE)
+    )

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from berth.functions import money
+from berth.operators import replay
+from berth.operators.rank import time_slice
 from berth.operators.wallet import DEBIT, REFUND, TOPUP
 from berth.plans.bind import SEASONS, Bound
 from berth.plans.queries import query
@@ -106,25 +108,33 @@ _DESK = """
     FROM a LEFT JOIN f ON f.event_id = a.event_id WHERE d = 1"""
 
 
+def _desk_events(events: DataFrame) -> DataFrame:
+    """Fifty events make a service; clicks cancel an earlier booking of it."""
+    book = F.col("event_type").isin("view", "signup", "purchase")
+    return events.where(book | (F.col("event_type") == "click")).select(
+        F.floor(F.col("event_id") / 50).alias("scope"), "ts", "event_id",
+        F.when(book, F.lit("book")).otherwise(F.lit("cancel")).alias("action"),
+        F.when(book, F.col("event_id")).otherwise(F.col("event_id") - 1 - F.col("event_id") % 5).alias("passenger_id"),
+        F.lit(10).alias("n_seats"),
+        ((F.unix_date(F.to_date("ts")).cast("long") + 90) * 86400000).alias("closes_ms"),
+    )
+
+
 @query(
     "stream_allocate", "scope bigint, passenger_id bigint, booked_status string, booked_queue_no bigint, final_status string", _DESK
 )
 def stream_allocate(b: Bound) -> DataFrame:
-    """Fifty events make a service; clicks cancel an earlier booking of it."""
-    book = F.col("event_type").isin("view", "signup", "purchase")
-    events = (
-        _events(b).where(book | (F.col("event_type") == "click"))
-        .select(
-            F.floor(F.col("event_id") / 50).alias("scope"), "ts", "event_id",
-            F.when(book, F.lit("book")).otherwise(F.lit("cancel")).alias("action"),
-            F.when(book, F.col("event_id")).otherwise(F.col("event_id") - 1 - F.col("event_id") % 5).alias("passenger_id"),
-            F.lit(10).alias("n_seats"),
-            ((F.unix_date(F.to_date("ts")).cast("long") + 90) * 86400000).alias("closes_ms"),
-        )
-    )
-    said = st.collected(b.spark, st.stream_allocate(events), "desk")
+    said = st.collected(b.spark, st.stream_allocate(_desk_events(_events(b))), "desk")
     at_booking = said.where(F.col("event_id") == F.col("passenger_id")).select(
         "scope", "passenger_id", F.col("status").alias("booked_status"), F.col("queue_no").alias("booked_queue_no")
     )
     last = said.groupBy("passenger_id").agg(F.max_by("status", "event_id").alias("final_status"))
     return at_booking.join(last, "passenger_id")
+
+
+@query(
+    "replay_bookings", "scope bigint, passenger_id bigint, booked_status string, booked_queue_no bigint, final_status string", _DESK
+)
+def replay_bookings(b: Bound) -> DataFrame:
+    """The same events as one batch, by running sums."""
+    return replay.replay_bookings(_desk_events(b.t["events"]), ["scope"], ["ts", "event_id"], time_slice("ts"))

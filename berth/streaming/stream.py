@@ -10,6 +10,7 @@ interleaved booking stream keeps state in Spark's state store.
 from __future__ import annotations
 
 import heapq
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -128,13 +129,13 @@ DECISION = "scope bigint, event_id bigint, passenger_id bigint, status string, s
 class SeatDesk(StatefulProcessor):
     """Bookings and cancellations of one scope in event order.
 
-    State is one value per scope (a class on a service on a day): the free seats,
-    the seat held by each confirmed passenger, and the queue in order. The first
-    ``rac_capacity`` of the queue are RAC, the rest WL, so closing the queue up
-    needs no renumbering. A timer drops the state when the journey is over.
+    A scope is one class on one service on one day, so the passengers who ask for
+    it, and with them the state, are few. State is one value per scope: the free
+    seats, who holds which seat, and the reserve queue and the waitlist in order.
+    A timer drops it when the journey is over.
     """
 
-    STATE = "free array<string>, holders array<bigint>, held array<string>, queue array<bigint>"
+    STATE = "free array<string>, holders array<bigint>, held array<string>, rac array<bigint>, wl array<bigint>"
 
     def __init__(self, rac_capacity: int):
         self.rac_capacity = rac_capacity
@@ -146,45 +147,51 @@ class SeatDesk(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         events = sorted(rows, key=lambda r: (r.ts, r.event_id))
         if self.desk.exists():
-            state = self.desk.get()
-            free, queue = list(state[0]), list(state[3])
-            held = dict(zip(state[1], state[2]))
+            free, holders, seats, *queues = self.desk.get()
+            free, held = list(free), dict(zip(holders, seats))
+            rac, wl = (OrderedDict.fromkeys(q) for q in queues)
         else:
-            free, queue, held = sorted(f"S{i + 1}" for i in range(events[0].n_seats)), [], {}
+            free, held = sorted(f"S{i + 1}" for i in range(events[0].n_seats)), {}
+            rac, wl = OrderedDict(), OrderedDict()
             self.handle.registerTimer(int(events[0].closes_ms))
-        cap = self.rac_capacity
 
         def said(event: Row, passenger: int, status: str, seat: str | None = None, number: int | None = None) -> Row:
             return Row(scope=key[0], event_id=event.event_id, passenger_id=passenger, status=status, seat_no=seat, queue_no=number)
 
+        def close_up(event: Row) -> Iterator[Row]:
+            if wl and len(rac) < self.rac_capacity:
+                first, _ = wl.popitem(last=False)
+                rac[first] = None
+                yield said(event, first, "RAC", None, len(rac))
+
         for e in events:
             p = e.passenger_id
             if e.action == "book":
                 if free:
                     held[p] = heapq.heappop(free)
                     yield said(e, p, "Confirmed", held[p])
+                elif len(rac) < self.rac_capacity:
+                    rac[p] = None
+                    yield said(e, p, "RAC", None, len(rac))
                 else:
-                    queue.append(p)
-                    n = len(queue)
-                    yield said(e, p, "RAC", None, n) if n <= cap else said(e, p, "WL", None, n - cap)
+                    wl[p] = None
+                    yield said(e, p, "WL", None, len(wl))
             elif p in held:
-                seat = held.pop(p)
                 yield said(e, p, "cancelled")
-                if queue:
-                    first = queue.pop(0)
+                seat = held.pop(p)
+                if rac or wl:
+                    first, _ = (rac or wl).popitem(last=False)
                     held[first] = seat
                     yield said(e, first, "Confirmed", seat)
-                    if len(queue) >= cap:
-                        yield said(e, queue[cap - 1], "RAC", None, cap)
+                    yield from close_up(e)
                 else:
                     heapq.heappush(free, seat)
-            elif p in queue:
-                place = queue.index(p)
-                queue.pop(place)
+            elif p in rac or p in wl:
                 yield said(e, p, "cancelled")
-                if place < cap <= len(queue):
-                    yield said(e, queue[cap - 1], "RAC", None, cap)
-        self.desk.update((free, list(held.keys()), list(held.values()), queue))
+                rac.pop(p, None)
+                wl.pop(p, None)
+                yield from close_up(e)
+        self.desk.update((free, list(held.keys()), list(held.values()), list(rac), list(wl)))
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         self.desk.clear()
