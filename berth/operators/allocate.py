@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from berth.functions import queue_code, seat_code, seat_sort_key, text_slice
 from berth.operators.rank import HOT_ROWS, ranked
+from berth.session import durable
 
 SCOPE = ("schedule_id", "class_no")
 RAC_CAPACITY = 8  # fixed value
@@ -58,6 +59,7 @@ def allocate(
     queue_scope: Sequence[str] | None = None,
     seat_order: str = "lexical",
     hot_rows: int = HOT_ROWS,
+    hot_from: DataFrame | None = None,
 ) -> DataFrame:
     """Add status, coach_id, seat_no and queue_no to every request.
 
@@ -66,20 +68,22 @@ def allocate(
     be coarser than ``scope``, such as the class alone. ``order`` must be total;
     ``slice_by`` is a long that never falls along it. ``rac_capacity`` is a
     number or a frame with that column and some of the queue scope's columns.
+    Large scopes are sought in ``hot_from`` (see ``ranked``).
     """
     scope = list(scope)
+    hot_from = requests if hot_from is None else hot_from
     queue_scope = scope if queue_scope is None else list(queue_scope)
     free = seats.groupBy(*scope).agg(F.count(F.lit(1)).alias("_free"))
     queued = queue_counts(existing, queue_scope)
 
     if queue_scope == scope:
         facts = free if queued is None else free.join(queued, scope, "full")
-        rows = ranked(requests, scope, order, "_r", slice_by, facts, hot_rows)
+        rows = ranked(requests, scope, order, "_r", slice_by, facts, hot_rows, hot_from)
         rows = rows.withColumn("_q", F.col("_r") - F.coalesce("_free", F.lit(0)))
     else:
-        rows = ranked(requests, scope, order, "_r", slice_by, free, hot_rows)
+        rows = ranked(requests, scope, order, "_r", slice_by, free, hot_rows, hot_from)
         has_seat = F.col("_r") <= F.coalesce("_free", F.lit(0))
-        over = ranked(rows.where(~has_seat), queue_scope, order, "_q", slice_by, queued, hot_rows, hot_from=requests)
+        over = ranked(rows.where(~has_seat), queue_scope, order, "_q", slice_by, queued, hot_rows, hot_from)
         rows = rows.where(has_seat).withColumn("_q", F.lit(0).cast("long")).unionByName(over, allowMissingColumns=True)
     return _place(rows, seat_pool(seats, scope, seat_order, hot_rows), scope, queue_scope, rac_capacity, requests.columns)
 
@@ -137,6 +141,7 @@ def promote(
     scope: Sequence[str] = SCOPE,
     seat_order: str = "lexical",
     hot_rows: int = HOT_ROWS,
+    hot_from: DataFrame | None = None,
 ) -> DataFrame:
     """Move queued passengers up: the k-th takes the k-th free seat, the rest
     close up as RAC 1..n and WL 1..m.
@@ -147,7 +152,7 @@ def promote(
     is_wl = F.when(F.col("status") == WL, F.lit(1)).otherwise(F.lit(0)).cast("long")
     free = free_seats.groupBy(*scope).agg(F.count(F.lit(1)).alias("_free"))
     slice_by = is_wl * (1 << 40) + F.floor(F.col("queue_no") / (1 << 20)).cast("long")
-    rows = ranked(queue, scope, [is_wl, "queue_no"], "_r", slice_by, free, hot_rows)
+    rows = ranked(queue, scope, [is_wl, "queue_no"], "_r", slice_by, free, hot_rows, hot_from)
     rows = rows.withColumn("_q", F.col("_r") - F.coalesce("_free", F.lit(0)))
     keep = [c for c in queue.columns if c not in ("status", "coach_id", "seat_no", "queue_no")]
     return _place(rows, seat_pool(free_seats, scope, seat_order, hot_rows), scope, scope, rac_capacity, keep)
@@ -167,7 +172,8 @@ def cancel(
 
     ``passengers``: key, scope columns, status, coach_id, seat_no, queue_no.
     Returns every passenger with the new status; cancelled ones lose seat and
-    queue number. ``free_seats`` are seats that were free before.
+    queue number. ``free_seats`` are seats that were free before. ``passengers``
+    is read several times, so it should be a stored table.
     """
     key, scope = list(key), list(scope)
     gone = cancels.select(*key).distinct().withColumn("_gone", F.lit(True))
@@ -191,7 +197,8 @@ def cancel(
             for c in passengers.columns
         ]
     )
-    moved = promote(queue, freed, rac_capacity, scope, seat_order, hot_rows).select(*passengers.columns)
+    moved = promote(queue, durable(freed), rac_capacity, scope, seat_order, hot_rows, hot_from=passengers)
+    moved = moved.select(*passengers.columns)
     return settled.unionByName(moved)
 
 

@@ -57,14 +57,17 @@ def book_tickets(
     ``requests``: one row per passenger with user_id, method, train, route, class,
     stations, scope and order columns. The fare never depends on the seat, so all
     requests are priced first, then the wallets, then the accepted ones seated.
+    The priced requests are written once, since both steps read them.
     """
-    priced = price_distance(requests.drop("kind", "amount"), stops, coaches)
+    priced = durable(price_distance(requests.drop("kind", "amount"), stops, coaches))
     by_wallet = priced.where(F.col("method") == "wallet").withColumn("kind", F.lit(DEBIT)).withColumn("amount", F.col("total_fare"))
     paid = wallet_ledger(by_wallet, opening, event_order, wallet_slice, hot_rows)
     accepted = paid.where("accepted").drop("kind", "amount", "accepted", "balance")
     others = priced.where(F.col("method") != "wallet")
-    booked = durable(others.unionByName(accepted))
-    return allocate(booked, seats, passenger_order, slice_by, rac_capacity=rac_capacity, scope=scope, hot_rows=hot_rows)
+    return allocate(
+        others.unionByName(accepted), seats, passenger_order, slice_by, rac_capacity=rac_capacity, scope=scope,
+        hot_rows=hot_rows, hot_from=priced,
+    )
 
 
 def book_groups(
@@ -85,7 +88,12 @@ def book_groups(
     """
     rows, rejects = explode_passengers(bookings)
     priced = price_route(rows, route_fares)
-    tickets = allocate(priced, seats, order, slice_by, rac_capacity=rac_capacity, scope=scope, hot_rows=hot_rows)
+    # No booking has more passengers than the cap, so copies of the bookings bound
+    # the size of each scope without reading the JSON.
+    bound = bookings.select(*scope, F.explode(F.array_repeat(F.lit(1), MAX_PASSENGERS)))
+    tickets = allocate(
+        priced, seats, order, slice_by, rac_capacity=rac_capacity, scope=scope, hot_rows=hot_rows, hot_from=bound
+    )
     return tickets.withColumn("pnr", pnr("booking_id", as_of)), rejects
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from berth.functions import weekday3
+from berth.session import spread
 
 
 def first_schedule(services: DataFrame) -> DataFrame:
@@ -18,7 +19,7 @@ def first_schedule(services: DataFrame) -> DataFrame:
 
 def numbered_seats(coaches: DataFrame) -> DataFrame:
     """One row per seat, ``S1`` to ``S<total>``; no rows for an empty coach."""
-    return coaches.where(F.col("total_seats") >= 1).withColumn(
+    return spread(coaches.where(F.col("total_seats") >= 1), "coach_id").withColumn(
         "seat_index", F.explode(F.sequence(F.lit(1).cast("long"), F.col("total_seats").cast("long")))
     ).withColumn("seat_no", F.concat(F.lit("S"), F.col("seat_index").cast("string")))
 
@@ -61,7 +62,7 @@ def expand_services(services: DataFrame, start: dt.date, end: dt.date) -> DataFr
     if "season" in services.columns:
         lo = F.greatest(lo, F.make_date("season", F.lit(1), F.lit(1)))
         hi = F.least(hi, F.make_date("season", F.lit(12), F.lit(31)))
-    dated = services.where(lo <= hi).withColumn("service_date", F.explode(F.sequence(lo, hi)))
+    dated = spread(services.where(lo <= hi), "schedule_id").withColumn("service_date", F.explode(F.sequence(lo, hi)))
     return dated.where(F.array_contains("running_days", weekday3("service_date")))
 
 

@@ -67,7 +67,7 @@ def with_slice(df: DataFrame, keys: Sequence[str], slice_by: Column, hot: DataFr
 
 
 def slice_window(keys: Sequence[str], order: Sequence[Column | str]) -> Window:
-    return Window.partitionBy(*keys, SLICE).orderBy(*order)
+    return Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def earlier_slices(keys: Sequence[str]) -> Window:
@@ -126,7 +126,8 @@ def running_sum(
     keys = list(keys)
     hot = hot_keys(df if hot_from is None else hot_from, keys, hot_rows)
     if hot is None:
-        return df.withColumn(name, F.sum(value).over(Window.partitionBy(*keys).orderBy(*order)))
+        so_far = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumn(name, F.sum(value).over(so_far))
     rows = with_slice(df, keys, slice_by, hot)
     heads = rows.where(F.col(SLICE) != _NO_SLICE).groupBy(*keys, SLICE).agg(F.sum(value).alias("_n"))
     heads = heads.withColumn("_before", F.coalesce(F.sum("_n").over(earlier_slices(keys)), F.lit(0))).drop("_n")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from berth.functions import money, pnr, running_days
 from berth.operators.rank import id_slice
 from berth.operators.wallet import DEBIT, REFUND, TOPUP
+from berth.session import spread
 from berth.sources.schemas import DOMAINS
 from berth.sources.tables import tables
 
@@ -115,7 +116,7 @@ class Bound:
     def seats(self) -> DataFrame:
         n = F.col("seat_index")
         return (
-            self.coaches.join(self.services.select("schedule_id", "train_id"), "train_id")
+            spread(self.coaches.join(self.services.select("schedule_id", "train_id"), "train_id"), "schedule_id", "class_no")
             .withColumn("seat_index", F.explode(F.sequence(F.lit(1), F.lit(SEATS))))
             .select(
                 "schedule_id", "class_no", "coach_id", F.concat(F.lit("S"), n.cast("string")).alias("seat_no"),
@@ -131,44 +132,58 @@ class Bound:
         )
 
     @cached_property
-    def requests(self) -> DataFrame:
-        """Booking requests, one per passenger."""
-        date = F.to_date("l_shipdate")
-        season = F.year("l_shipdate")
-        line, part = F.col("l_linenumber").cast("long"), F.col("l_partkey")
+    def narrow_requests(self) -> DataFrame:
+        """Booking requests, one per passenger: numbers and dates only, so that
+        little travels through a shuffle; ``label`` adds the rest after it."""
         return self.t["lineitem"].select(
-            F.concat_ws(
-                "-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", season * 10000 + F.month(date) * 100 + F.day(date)
-            ).alias("ticket_id"),
             F.col("l_orderkey").alias("booking_id"),
-            line.alias("line_no"),
-            part.alias("part_id"),
+            F.col("l_linenumber").cast("long").alias("line_no"),
+            F.col("l_partkey").alias("part_id"),
             F.col("l_suppkey").alias("train_id"),
-            F.col("l_suppkey").alias("route_id"),
-            date.alias("journey_date"),
-            (F.col("l_suppkey") * 10000 + season).alias("schedule_id"),
+            F.to_date("l_shipdate").alias("journey_date"),
+            (F.col("l_suppkey") * 10000 + F.year("l_shipdate")).alias("schedule_id"),
             (F.col("l_quantity").cast("long") % len(CLASSES)).alias("class_no"),
+            (F.col("l_returnflag") == "R").alias("is_cancelled"),
+            money("l_extendedprice").alias("amount"),
+        )
+
+    @staticmethod
+    def ticket_id() -> F.Column:
+        day = F.year("journey_date") * 10000 + F.month("journey_date") * 100 + F.day("journey_date")
+        return F.concat_ws("-", "booking_id", "line_no", "part_id", "train_id", day)
+
+    def label(self, df: DataFrame) -> DataFrame:
+        """Columns that follow from a request's own numbers."""
+        line, part = F.col("line_no"), F.col("part_id")
+        return df.select(
+            "*",
+            self.ticket_id().alias("ticket_id"),
+            F.col("train_id").alias("route_id"),
             (1 + line % 3).alias("from_stop"),
             (2 + line % 3 + part % 3).alias("to_stop"),
             F.concat(F.lit("P"), line.cast("string")).alias("name"),
             pick(CONCESSIONS, line % 4).alias("concession"),
-            (F.col("l_returnflag") == "R").alias("is_cancelled"),
-            money("l_extendedprice").alias("amount"),
-            F.date_sub(date, (part % 20).cast("int")).alias("cancelled_on"),
+            F.date_sub("journey_date", (part % 20).cast("int")).alias("cancelled_on"),
         )
 
+    @cached_property
+    def requests(self) -> DataFrame:
+        return self.label(self.narrow_requests)
+
     @cached_property
     def slice_by(self) -> F.Column:
         return id_slice("booking_id")
 
     @cached_property
     def routed_requests(self) -> DataFrame:
-        """Requests with the asked stations of their train."""
-        home = self.trains.select("train_id", "src_station", "dst_station")
+        """Narrow requests with the asked stations of their train."""
+        home = self.trains.select("train_id", "src_station")
+        line, part = F.col("line_no"), F.col("part_id")
         return (
-            self.requests.join(home, "train_id")
-            .withColumn("from_station", (F.col("src_station") + 3 * (F.col("from_stop") - 1)) % 25)
-            .withColumn("to_station", (F.col("src_station") + 3 * (F.col("to_stop") - 1)) % 25)
+            self.narrow_requests.join(home, "train_id")
+            .withColumn("from_station", (F.col("src_station") + 3 * (line % 3)) % 25)
+            .withColumn("to_station", (F.col("src_station") + 3 * (1 + line % 3 + part % 3)) % 25)
+            .drop("src_station")
         )
 
     @cached_property
@@ -197,8 +212,8 @@ class Bound:
     @cached_property
     def payments(self) -> DataFrame:
         """One payment per booking, held by its last ticket."""
-        last = self.requests.groupBy("booking_id").agg(F.max_by("ticket_id", F.struct(*PASSENGER_ORDER)).alias("ticket_id"))
-        return self.orders.join(last, "booking_id").select(
+        last = self.narrow_requests.groupBy("booking_id").agg(F.max(F.struct(*PASSENGER_ORDER)).alias("o")).select("o.*")
+        return self.orders.join(last.withColumn("ticket_id", self.ticket_id()), "booking_id").select(
             "ticket_id", "booking_id", F.col("total_fare").alias("amount"), F.col("booking_date").alias("payment_date"),
             "payment_mode", "refund_status",
         )

@@ -151,7 +151,8 @@ def trip_durations(b: Bound) -> DataFrame:
        FROM b_requests JOIN b_classes USING (class_no)""",
 )
 def price_distance(b: Bound) -> DataFrame:
-    return pricing.price_distance(b.routed_requests.withColumn("n_passengers", F.lit(2)), b.stops, b.coaches)
+    asked = b.routed_requests.withColumn("route_id", F.col("train_id")).withColumn("n_passengers", F.lit(2))
+    return pricing.price_distance(asked, b.stops, b.coaches).withColumn("ticket_id", b.ticket_id())
 
 
 @query(
@@ -258,8 +259,8 @@ def append_new(b: Bound) -> DataFrame:
 # --- allocation and queues --------------------------------------------------
 
 
-def _alloc(b: Bound) -> DataFrame:
-    return al.allocate(b.requests, b.seats, PASSENGER_ORDER, b.slice_by)
+def _alloc(b: Bound, **options) -> DataFrame:
+    return b.label(al.allocate(b.narrow_requests, b.seats, PASSENGER_ORDER, b.slice_by, **options))
 
 
 def _tickets(b: Bound) -> DataFrame:
@@ -290,7 +291,7 @@ def allocate(b: Bound) -> DataFrame:
 def allocate_numeric(b: Bound) -> DataFrame:
     """Seats in numeric order and a reserve capacity of half a service's class seats."""
     capacity = al.rac_fraction(b.seats, 0.5, by=("schedule_id", "class_no"))
-    return al.allocate(b.requests, b.seats, PASSENGER_ORDER, b.slice_by, rac_capacity=capacity, seat_order="numeric")
+    return _alloc(b, rac_capacity=capacity, seat_order="numeric")
 
 
 @query(
@@ -305,9 +306,7 @@ def allocate_numeric(b: Bound) -> DataFrame:
 )
 def allocate_class_queue(b: Bound) -> DataFrame:
     """One queue per class over all services, with a class-wide reserve capacity."""
-    return al.allocate(
-        b.requests, b.seats, PASSENGER_ORDER, b.slice_by, rac_capacity=al.rac_fraction(b.seats), queue_scope=("class_no",)
-    )
+    return _alloc(b, rac_capacity=al.rac_fraction(b.seats), queue_scope=("class_no",))
 
 
 @query(
@@ -343,12 +342,15 @@ def allocate_existing(b: Bound) -> DataFrame:
             ON q.schedule_id = s.schedule_id AND q.class_no = s.class_no AND q.r = s.r""",
 )
 def book_tickets(b: Bound) -> DataFrame:
-    requests = b.routed_requests.join(b.orders.select("booking_id", "user_id", "method"), "booking_id")
+    requests = (
+        b.routed_requests.withColumn("route_id", F.col("train_id")).drop("amount", "is_cancelled")
+        .join(b.orders.select("booking_id", "user_id", "method"), "booking_id")
+    )
     opening = b.opening.withColumn("balance", money(F.col("balance") * F.lit("0.01").cast("decimal(3,2)")))
     return booking.book_tickets(
         requests, b.stops, b.coaches, b.seats, opening, PASSENGER_ORDER, b.slice_by,
         event_order=PASSENGER_ORDER, wallet_slice=id_slice("booking_id"),
-    )
+    ).withColumn("ticket_id", b.ticket_id())
 
 
 def _groups(b: Bound) -> tuple[DataFrame, DataFrame]:

@@ -9,12 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "berth") -> SparkSession:
-    """A session for tests and benchmarks; clusters bring their own settings."""
+    """A session for tests and benchmarks; clusters bring their own settings.
+
+    The co-partition setting lets a join on (scope, rank) keep the partitioning by
+    scope that the rank was computed on, which saves a shuffle of both sides.
+    """
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
@@ -45,10 +50,22 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read on from there.
+    """Write ``df`` once to the shared folder and read on from there.
 
     Used where several branches need the same expensive frame, and between the
-    rounds of an iteration, so that a lost executor costs no earlier round.
+    rounds of an iteration, so that a lost executor costs no earlier round. A
+    written table is computed once and carries its size to the planner.
+    """
+    path = scratch(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Give a small frame one task per shuffle partition before it fans out.
+
+    Spark sizes tasks by what goes in; a few thousand rows that each become
+    thousands would otherwise be worked off by one task.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *columns)
