@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from berth.operators.rank import HOT_ROWS, ranked
+from berth.sources import constraints as c
+from berth.sources.schemas import DOMAINS
 
 
 def unique_violations(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -63,6 +65,49 @@ def max_length(column: str, length: int) -> Column:
     return F.char_length(column) <= length
 
 
+def audit_tables(tables: Mapping[str, DataFrame], schema: str) -> DataFrame:
+    """Number of violations of every declared rule of schema ``a`` or ``b``.
+
+    One row per rule (table_name, rule, n_violations) over the given tables; rules
+    that need an absent table are left out. Each rule is an aggregate or an anti
+    join, so only counts leave the tables.
+    """
+    a = schema == "a"
+    unique, foreign, required, lengths, enums = (
+        (c.UNIQUE_A, c.FOREIGN_A, c.REQUIRED_A, c.LENGTHS_A, {}) if a
+        else (c.UNIQUE_B, c.FOREIGN_B, c.REQUIRED_B, c.LENGTHS_B, c.ENUMS_B)
+    )
+    parts = []
+
+    def counted(name: str, rule: str, bad: DataFrame) -> DataFrame:
+        return bad.agg(F.count(F.lit(1)).alias("n_violations")).select(
+            F.lit(name).alias("table_name"), F.lit(rule).alias("rule"), "n_violations"
+        )
+
+    for name, df in tables.items():
+        for keys in unique.get(name, ()):
+            parts.append(counted(name, f"unique {', '.join(keys)}", unique_violations(df, keys)))
+        # conditions on single rows share one pass over the table
+        checks = {f"required {col}": F.col(col).isNotNull() for col in required.get(name, ())}
+        checks |= {f"length {col} <= {n}": max_length(col, n) for col, n in lengths.get(name, ())}
+        checks |= {f"values {col}": one_of(col, DOMAINS[domain]) for col, domain in enums.get(name, ())}
+        if name == "users" and a:
+            checks["one phone"] = F.col("phone_primary").isNotNull() | F.col("phone_secondary").isNotNull()
+        if name == "passengers" and not a:
+            checks["age over 0"] = F.col("age") > 0
+        if checks:
+            once = df.agg(*[F.count_if(~ok).alias(rule) for rule, ok in checks.items()])
+            parts.append(
+                once.unpivot([], [F.col(f"`{rule}`") for rule in checks], "rule", "n_violations")
+                .select(F.lit(name).alias("table_name"), "rule", "n_violations")
+            )
+    for child, column, parent, parent_column in foreign:
+        if child in tables and parent in tables:
+            lost = orphans(tables[child], tables[parent], [column], [parent_column])
+            parts.append(counted(child, f"{column} in {parent}", lost))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def double_bookings(
     tickets: DataFrame, order: Sequence[Column | str], slice_by: Column | None,
     key: Sequence[str] = ("schedule_id", "coach_id", "seat_no"), hot_rows: int = HOT_ROWS,

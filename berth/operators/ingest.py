@@ -24,6 +24,11 @@ class Registered(NamedTuple):
     rejects: DataFrame
 
 
+def _clock(as_of: dt.datetime) -> Column:
+    """The moment as text, so that no zone of this machine shifts it."""
+    return F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def phone_given(primary: str = "phone_primary", secondary: str = "phone_secondary") -> Column:
     return F.col(primary).isNotNull() | F.col(secondary).isNotNull()
 
@@ -52,7 +57,7 @@ def ingest_users(raw: DataFrame, as_of: dt.datetime) -> Registered:
         F.coalesce("reason", F.when(F.col("user_id") != F.col("_email_owner"), F.lit(TAKEN_EMAIL))),
     )
     accepted = judged.where(F.col("reason").isNull())
-    now = F.lit(as_of).cast("timestamp_ntz")
+    now = _clock(as_of)
     users = accepted.withColumn("user_type", F.coalesce("user_type", F.lit("normal"))).select(*USER_COLUMNS)
     payments = payment_rows(accepted.where(F.col("card_number").isNotNull() | F.col("upi_id").isNotNull()), as_of)
     wallets = accepted.select("user_id", F.lit(0).cast("decimal(10,2)").alias("balance"), now.alias("last_updated"))
@@ -64,7 +69,7 @@ def ingest_users(raw: DataFrame, as_of: dt.datetime) -> Registered:
 
 
 def payment_rows(raw: DataFrame, as_of: dt.datetime) -> DataFrame:
-    return raw.select(*PAYMENT_COLUMNS, F.lit(True).alias("is_active"), F.lit(as_of).cast("timestamp_ntz").alias("created_on"))
+    return raw.select(*PAYMENT_COLUMNS, F.lit(True).alias("is_active"), _clock(as_of).alias("created_on"))
 
 
 def ingest_payment_methods(raw: DataFrame, users: DataFrame, as_of: dt.datetime) -> tuple[DataFrame, DataFrame]:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from berth.functions import hms_to_seconds, running_days
-from berth.sources.schemas import CSV_COLUMNS, CSV_IDS
+from berth.sources.schemas import CSV_COLUMNS, CSV_IDS, SCHEMA_A, SCHEMA_B
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -59,3 +59,9 @@ def read_fixture(spark: SparkSession, name: str, path: str) -> DataFrame:
     if "arrival" in out.columns:
         out = out.withColumn("arr_s", hms_to_seconds("arrival")).withColumn("dep_s", hms_to_seconds("departure"))
     return out
+
+
+def application_tables(spark: SparkSession, directory: str, schema: str, names: Iterable[str] | None = None) -> dict[str, DataFrame]:
+    """Parquet tables of application schema ``a`` or ``b`` with declared types."""
+    declared = SCHEMA_A if schema == "a" else SCHEMA_B
+    return {name: spark.read.schema(declared[name]).parquet(f"{directory}/{name}") for name in names or declared}

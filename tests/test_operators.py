@@ -1,6 +1,7 @@
 """Small literal cases: nulls, empty input, ties, rejects."""
 
 import datetime as dt
+import re
 from decimal import Decimal
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from berth.functions import hms_to_seconds, parse_seat_code, pnr, utc_clock, utc_instant
 from berth.operators import audit, booking, ingest, inventory, pricing, reports
-from berth.sources import read_ledger, write_ledger
+from berth.sources import application_tables, constraints, read_ledger, schemas, write_ledger
 from tests.conftest import rows
 
 
@@ -180,3 +181,32 @@ def test_double_bookings(spark, hot_rows):
     df = spark.createDataFrame([(3, 1), (1, 1), (2, 2), (5, 1)], "id bigint, seat int")
     got = audit.double_bookings(df, ["id"], F.floor(F.col("id") / 2), ["seat"], hot_rows)
     assert rows(got.select("id", "claim_no")) == [(3, 2), (5, 3)]
+
+
+def test_declared_rules(spark, tmp_path):
+    tables = {
+        "users": ("user_id bigint, username string, password string, email string, phone string, is_verified boolean, created_at timestamp_ntz, last_login timestamp_ntz, role string",
+                  [(1, "a", "x", "a@x", None, True, None, None, "Admin"), (2, "a", "x", None, "1" * 16, True, None, None, "Boss")]),
+        "passengers": ("passenger_id bigint, name string, age int, gender string, contact string, email string, concession string, user_id bigint",
+                       [(1, "P", 0, "Male", "1", None, None, 9), (2, "Q", None, "Male", "1", None, "None", None)]),
+    }
+    for name, (schema, data) in tables.items():
+        spark.createDataFrame(data, schema).write.parquet(str(tmp_path / name))
+    got = audit.audit_tables(application_tables(spark, str(tmp_path), "b", tables), "b")
+    assert rows(got.where("n_violations > 0")) == [
+        ("passengers", "age over 0", 1), ("passengers", "user_id in users", 1), ("users", "length phone <= 15", 1),
+        ("users", "required email", 1), ("users", "unique username", 1), ("users", "values role", 1),
+    ]
+    assert got.count() > 15
+
+
+def test_declared_rules_name_declared_columns():
+    for unique, foreign, required, lengths, schema in (
+        (constraints.UNIQUE_A, constraints.FOREIGN_A, constraints.REQUIRED_A, constraints.LENGTHS_A, schemas.SCHEMA_A),
+        (constraints.UNIQUE_B, constraints.FOREIGN_B, constraints.REQUIRED_B, constraints.LENGTHS_B, schemas.SCHEMA_B),
+    ):
+        columns = {t: {c.split()[0] for c in re.sub(r"\([^)]*\)", "", ddl).split(", ")} for t, ddl in schema.items()}
+        used = [(t, c) for t, keys in unique.items() for k in keys for c in k]
+        used += [(t, c) for t, cs in required.items() for c in cs] + [(t, c) for t, cs in lengths.items() for c, _ in cs]
+        used += [(t, c) for t, c, _, _ in foreign] + [(t, c) for _, _, t, c in foreign]
+        assert [u for u in used if u[1] not in columns[u[0]]] == []

@@ -14,7 +14,7 @@ from berth.sources.adapters import frames_a, frames_b
 from tests.conftest import rows
 
 # A small sample in the file layout: two routes between the same towns, one reversed.
-TRAINS = "12301,Rajdhani Express,Superfast\r\n12075,Jan Shatabdi,Janshatabdi\r\n"
+TRAINS = "101,North Line,Fast\r\n102,East Line,Slow\r\n"
 SCHEDULE = '1,"Mon,Wed,Fri",active\r\n2,"Mon,Wed,Fri,Sun",active\r\n'
 STOPS = (
     "1,Delhi,1,NULL,6:00:00,0\r\n1,Kanpur,2,10:00:00,10:10:00,440\r\n1,Lucknow,3,11:30:00,11:40:00,510\r\n1,Patna,4,16:30:00,NULL,990\r\n"
@@ -39,7 +39,7 @@ def ask(spark, day):
 
 
 def test_csv_layout(a):
-    assert rows(a["trains"].select("train_id", "train_number")) == [(1, "12301"), (2, "12075")]
+    assert rows(a["trains"].select("train_id", "train_number")) == [(1, "101"), (2, "102")]
     assert a["services"].where("schedule_id = 1").first().running_days == ["Mon", "Wed", "Fri"]
     assert rows(a["stops"].where("route_id = 1").select("stop_no", "arr_s", "dep_s")) == [
         (1, None, 21600), (2, 36000, 36600), (3, 41400, 42000), (4, 59400, None),
