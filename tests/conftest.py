@@ -10,7 +10,7 @@ from berth.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = local_session(8, shuffle_partitions=4, app="berth-tests")
+    session = local_session(8, shuffle_partitions=2, app="berth-tests")
     session.sparkContext.setLogLevel("ERROR")
     if session.conf.get("spark.checkpoint.dir", None) is None:
         session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))

@@ -77,7 +77,7 @@ def test_seat_order(spark):
 
 
 @pytest.mark.parametrize("hot_rows", [1_000_000, 5])
-@pytest.mark.parametrize("seed", [5, 6, 7])
+@pytest.mark.parametrize("seed", [5, 6])
 def test_cancel_equals_replay(spark, seed, hot_rows):
     ask, have = batch(seed, requests=100, seats=4)
     rng = random.Random(seed)
@@ -130,10 +130,10 @@ def test_interleaved_equals_replay(spark, seed, hot_rows):
 def test_partition_count_does_not_matter(spark):
     ask, have = batch(11)
     results = []
-    for n in ("2", "50"):
+    for n in ("3", "20"):
         spark.conf.set("spark.sql.shuffle.partitions", n)
         results.append(rows(al.allocate(spark.createDataFrame(ask, REQUEST), spark.createDataFrame(have, SEAT), ["rid"], id_slice("rid"))))
-    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
     assert results[0] == results[1]
 
 
