@@ -21,6 +21,7 @@ from berth.operators.rank import HOT_ROWS, SLICE, _NO_SLICE, earlier_slices, hot
 from berth.session import durable
 
 TOPUP, DEBIT, REFUND = "topup", "debit", "refund"
+LONGEST_RUN = 256  # slices replayed in one go
 
 
 def wallet_events(
@@ -135,47 +136,58 @@ def _settle_large(rows: DataFrame, opening: DataFrame | None, order: Sequence[st
     """Users cut into slices.
 
     A slice that cannot run out of funds is a running sum moved by the total of
-    the debits rejected before it. Each round folds every user's next slice that
-    can run out, and skips to the next one; the rounds are as many as such slices
-    of one user. Between rounds only one row per slice is kept.
+    the debits rejected before it. Each round folds, for every user, a run of
+    slices from the next one that can run out, and skips to the one after that
+    which can. Runs double in length up to ``LONGEST_RUN``, so users who are
+    always short need few rounds. Between rounds only one row per slice is kept.
     """
+    by_slice = Window.partitionBy("user_id").orderBy(SLICE)
     heads = _with_opening(_summary(rows), opening)
     heads = durable(
         heads.withColumn("_start", F.col("_open") + F.coalesce(F.sum("_net").over(earlier_slices(["user_id"])), F.lit(0)))
+        .withColumn("_no", F.row_number().over(by_slice))
     )
     shifts = heads.select("user_id").distinct().select(
         "user_id", F.lit(_NO_SLICE).cast("long").alias("_after"), F.lit(0).cast("long").alias("_shift")
     )
-    history, pieces = [shifts], []
+    history, pieces, runs, length = [shifts], [], [], 1
     while True:
         due = (
             heads.join(shifts, "user_id")
             .where((F.col(SLICE) > F.col("_after")) & (F.col("_start") + F.col("_dip") + F.col("_shift") < 0))
             .groupBy("user_id")
-            .agg(F.min_by(F.struct(SLICE, "_start", "_net", "_shift"), SLICE).alias("s"))
+            .agg(F.min_by(F.struct(F.col(SLICE).alias("_piece"), F.col("_no").alias("_from"), (F.col("_start") + F.col("_shift")).alias("_start"), "_shift"), SLICE).alias("s"))
             .select("user_id", "s.*")
         )
-        due = durable(due)
-        if due.isEmpty():
-            break
-        todo = rows.join(due.select("user_id", SLICE, (F.col("_start") + F.col("_shift")).alias("_start")), ["user_id", SLICE])
-        piece = durable(_fold(todo, order, columns).withColumn("_amount_lost", F.when(~F.col("accepted"), F.col("amount")).otherwise(0)))
-        pieces.append(piece.drop("_amount_lost"))
-        lost = piece.groupBy("user_id").agg((F.sum("_amount_lost") * 100).cast("long").alias("_lost"))
-        moved = durable(
-            due.join(lost, "user_id").select(
-                "user_id", F.col(SLICE).alias("_after"), (F.col("_shift") + F.col("_lost")).alias("_shift")
-            )
+        run = durable(
+            heads.select("user_id", SLICE, "_no").join(due, "user_id")
+            .where((F.col("_no") >= F.col("_from")) & (F.col("_no") < F.col("_from") + length))
         )
-        history.append(moved)
-        shifts = moved  # users without a due slice are finished
+        if run.isEmpty():
+            break
+        todo = rows.join(run.select("user_id", SLICE, "_piece", "_start"), ["user_id", SLICE])
+        todo = todo.withColumn(SLICE, F.col("_piece")).drop("_piece")
+        piece = durable(_fold(todo, order, columns))
+        pieces.append(piece)
+        runs.append(run.select("user_id", SLICE))
+        lost = piece.where(~F.col("accepted")).groupBy("user_id").agg((F.sum("amount") * 100).cast("long").alias("_lost"))
+        shifts = durable(
+            run.groupBy("user_id").agg(F.max(SLICE).alias("_after"), F.max("_shift").alias("_shift"))
+            .join(lost, "user_id", "left")
+            .select("user_id", "_after", (F.col("_shift") + F.coalesce("_lost", F.lit(0))).alias("_shift"))
+        )  # users without a due slice are finished
+        history.append(shifts)
+        length = min(2 * length, LONGEST_RUN)
+    if not pieces:
+        starts = heads.select("user_id", SLICE, "_start")
+        return _closed(rows.join(starts, ["user_id", SLICE]), columns)
     marks = reduce(DataFrame.unionByName, history)
     # The shift in force for a slice is the one of the latest folded slice before it.
     last = Window.partitionBy("user_id").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     timeline = heads.select("user_id", F.col(SLICE).alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("_shift")).unionByName(
         marks.select("user_id", F.col("_after").alias("_at"), F.lit(1).alias("_kind"), "_shift")
     )
-    folded = marks.where(F.col("_after") != _NO_SLICE).select("user_id", F.col("_after").alias(SLICE))
+    folded = reduce(DataFrame.unionByName, runs)
     starts = (
         timeline.withColumn("_now", F.last("_shift", ignorenulls=True).over(last))
         .where(F.col("_kind") == 0)

@@ -13,7 +13,7 @@ EVENT = "user_id bigint, ts timestamp_ntz, event_id bigint, kind string, amount
 T0 = dt.datetime(2024, 1, 1)
 
 
-def history(seed, users=4, n=400):
+def history(seed, users=4, n=300):
     rng = random.Random(seed)
     out = []
     for i in range(n):
