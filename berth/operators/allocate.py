@@ -38,6 +38,13 @@ def queue_counts(queue: DataFrame | None, scope: Sequence[str]) -> DataFrame | N
     )
 
 
+def first_coach_only(seats: DataFrame, coaches: DataFrame) -> DataFrame:
+    """Seats of the smallest coach id of each train and class, for callers who sell
+    one coach of a class only; by default all coaches are pooled."""
+    first = coaches.groupBy("train_id", "class_no").agg(F.min("coach_id").alias("coach_id"))
+    return seats.join(first.select("coach_id"), "coach_id", "left_semi")
+
+
 def seat_pool(seats: DataFrame, scope: Sequence[str], seat_order: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Free seats ranked within their scope, pooled over the coaches.
 

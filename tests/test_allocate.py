@@ -164,3 +164,9 @@ def test_time_slice_never_falls(spark):
     got = [r[0] for r in df.orderBy("ts").select(time_slice("ts")).collect()]
     assert got == sorted(got) and len(set(got)) > 50
     assert df.select(F.max(time_slice("ts", 60))).first()[0] is not None
+
+
+def test_first_coach_only(spark):
+    coaches = spark.createDataFrame([(7, 1, 1), (8, 1, 1), (9, 1, 2)], "coach_id bigint, train_id bigint, class_no bigint")
+    seats = spark.createDataFrame([(1, 1, 7, "S1"), (1, 1, 8, "S1"), (1, 2, 9, "S1")], SEAT)
+    assert rows(al.first_coach_only(seats, coaches).select("coach_id")) == [(7,), (9,)]
