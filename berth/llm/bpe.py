@@ -33,7 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Known pre-tokens, and bytes of their ids, above which a worker forgets them all before its next batch.
-KNOWN, KNOWN_BYTES = 600_000, 32 << 20
+KNOWN, KNOWN_BYTES = 300_000, 32 << 20
+#: Pre-tokens that share a queue at most.
+SHARED = 150_000
 #: Bytes from which a pre-token gets a queue of its own.
 LONG = 200
 _BITS = 64
@@ -170,10 +172,10 @@ class Codec:
         queue, n = self.queue, sum(map(len, pieces))
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         ends = np.cumsum(lengths)
-        piece_of = np.repeat(np.arange(len(pieces)), lengths)
+        piece_of = np.repeat(np.arange(len(pieces), dtype=np.int32), lengths)
         # Position n stands for no neighbour; its id pairs with nothing.
         ids = np.append(self.single[np.frombuffer(b"".join(pieces), np.uint8)], self.n_ranks)
-        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
         after[ends - 1], before[ends - lengths], after[n], before[n] = n, n, n, n
         waiting = np.append(self._rank(ids[:-1], ids[after[:-1]]), -1)
         live = np.flatnonzero(waiting >= 0)
@@ -208,12 +210,13 @@ class Codec:
 
     def _learn(self) -> None:
         """Encode the pre-tokens that have a number and no ids yet."""
-        new = [piece.encode() for piece in islice(self.known, len(self.packed), None)]
-        short = [piece for piece in new if len(piece) < LONG]
-        merged = iter(self.merge(short) if short else [])
-        found = [next(merged) if len(piece) < LONG else self.merge_long(piece).tobytes() for piece in new]
-        self.packed += found
-        self.packed_bytes += sum(map(len, found)) + sum(len(piece) for piece in new if len(piece) >= LONG)
+        new = islice(self.known, len(self.packed), None)
+        while some := [piece.encode() for piece in islice(new, SHARED)]:
+            short = [piece for piece in some if len(piece) < LONG]
+            merged = iter(self.merge(short) if short else [])
+            found = [next(merged) if len(piece) < LONG else self.merge_long(piece).tobytes() for piece in some]
+            self.packed += found
+            self.packed_bytes += sum(len(piece) for piece in some if len(piece) >= LONG) + sum(map(len, found))
 
     def _numbers(self, text: str) -> array:
         if len(text) < 1 << 20:
@@ -269,9 +272,23 @@ def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", out: str
     return docs.withColumn(out, decoded.asNondeterministic()(docs[ids]))
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """``docs`` with ``ids``, and with ``out`` decoded from them in the same pass."""
+
+    @F.arrow_udf("struct<ids: binary, bytes: binary>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = codec(path, pattern)
+        for texts in batches:
+            packed = own.encode(texts.to_pylist())
+            yield pa.StructArray.from_arrays([pa.array(packed, pa.binary()), pa.array(map(own.decode, packed), pa.binary())], ["ids", "bytes"])
+
+    found = docs.withColumn("__both", both.asNondeterministic()(docs[text]))
+    return found.withColumns({ids: F.col("__both.ids"), out: F.col("__both.bytes")}).drop("__both")
+
+
 def digests(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """``docs`` with n_tokens, ids_sha256 and decoded_sha256 of the encoded and decoded text."""
-    out = decode(encode(docs, path, pattern, text, "__ids"), path, pattern, "__ids", "__decoded")
+    out = round_trip(docs, path, pattern, text, "__ids", "__decoded")
     return out.withColumns(
         {
             "n_tokens": (F.octet_length("__ids") / 4).cast("long"),
