@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from berth.llm import bpe, quality_rules
+from berth.llm import bpe, mixing, quality_rules
 from berth.llm.common import table
 
 QUERIES = {}
@@ -28,3 +28,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.assess(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
+@query
+def op5_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.amounts(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op5_pareto_mix"] = mixing.SQL
