@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from berth.llm import bpe, mixing, quality_rules, token_files
+from berth.llm import bpe, mixing, quality_rules, substring_dedup, token_files
 from berth.llm.common import table
 
 QUERIES = {}
@@ -41,3 +41,11 @@ ORACLES["op5_pareto_mix"] = mixing.SQL
 @query
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op1_substring_dedup"] = substring_dedup.SQL
