@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from berth.llm import bpe, mixing, quality_rules, substring_dedup, token_files
-from berth.llm.common import table
+from berth.llm import bpe, mixing, quality_classifier, quality_rules, substring_dedup, token_files, toxicity
+from berth.llm.common import fold, table
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +50,22 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op1_substring_dedup"] = substring_dedup.SQL
+
+
+def _scored(out: DataFrame, held_out: Column, least: float) -> DataFrame:
+    held = F.coalesce(held_out, F.lit(False)).alias("held_out")
+    return out.select("doc_id", "score", held).select("doc_id", "held_out", "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+@query
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"), table(spark, sf_dir, "labels")
+    out = quality_classifier.classify(docs, labels, learn=fold("doc_id", 3) != 1, metadata=["n_chars"])
+    return _scored(out, fold("doc_id", 3) == 1, 0.5)
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    out = toxicity.classify(docs, labels, learn=fold("doc_id", 4) != 2)
+    return _scored(out, fold("doc_id", 4) == 2, 0.3)
