@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from berth.llm import bpe, mixing, quality_classifier, quality_rules, substring_dedup, token_files, toxicity
+from berth.llm import bpe, language_id, mixing, quality_classifier, quality_rules, substring_dedup, token_files, toxicity
 from berth.llm.common import fold, table
 
 QUERIES = {}
@@ -69,3 +69,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     out = toxicity.classify(docs, labels, learn=fold("doc_id", 4) != 2)
     return _scored(out, fold("doc_id", 4) == 2, 0.3)
+
+
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    network = language_id.train(docs, learn=fold("doc_id", 3) != 1)
+    out = language_id.identify(docs.drop("lang"), network)
+    return out.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
