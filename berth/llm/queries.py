@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from berth.llm import bpe, language_id, mixing, quality_classifier, quality_rules, substring_dedup, token_files, toxicity
+from berth.llm import bpe, language_id, mixing, ngram_join, quality_classifier, quality_rules, substring_dedup, token_files, toxicity
 from berth.llm.common import fold, table
 
 QUERIES = {}
@@ -77,3 +77,8 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     network = language_id.train(docs, learn=fold("doc_id", 3) != 1)
     out = language_id.identify(docs.drop("lang"), network)
     return out.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
