@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from berth.llm import bpe, language_id, mixing, ngram_join, quality_classifier, quality_rules, substring_dedup, token_files, toxicity
+from berth.llm import bpe, embedding_dedup, language_id, mixing, ngram_join, quality_classifier, quality_rules, substring_dedup, token_files, toxicity
 from berth.llm.common import fold, table
 
 QUERIES = {}
@@ -82,3 +82,8 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link(table(spark, sf_dir, "embeddings"))
