@@ -1,22 +1,52 @@
-"""The corpus pipeline: rules, near duplicates, repeated passages, mix, token ids."""
+"""The corpus pipeline: quality rules, near duplicates, repeated passages, mix, token ids.
+
+Every stage takes all that the one before kept and returns the columns of documents; the
+last adds the ids of each text, packed as little-endian unsigned 32-bit integers, and
+their number, in place of the text. What a stage does with nulls, empty texts, repeated
+rows, empty tables and further columns is said by its operator; here a document with a
+null text fails the quality rules.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from berth.llm import bpe
+from berth.llm import bpe, mixing, ngram_join, quality_rules, substring_dedup
 from berth.session import scratch
 
 
-def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the robust quality rules keep."""
+    return quality_rules.filter_documents(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return ngram_join.deduplicate(docs)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier one has."""
+    return substring_dedup.remove(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mix(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text."""
-    return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    out = bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ids="__ids")
+    kept = [c for c in docs.columns if c not in ("text", "ids", "n_tokens")]
+    return out.select(*kept, (F.octet_length("__ids") / 4).cast("long").alias("n_tokens"), F.col("__ids").alias("ids"))
 
 
-STAGES = [("byte_bpe", byte_bpe)]
+STAGES = [("rules", rules), ("near_duplicates", near_duplicates), ("passages", passages), ("mix", mix), ("token_ids", token_ids)]
 
-#: No SQL for robust covariance estimates or merges; the tests compare with plain versions.
+#: SQL expresses neither the covariance estimates nor the merges; tests compare with a plain version.
 ORACLE_SQL = None
 
 
