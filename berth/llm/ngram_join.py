@@ -19,8 +19,9 @@ never a pair, as both sides of a pair see the same numbers.
 Classes that share a subset are candidates. In each bucket all are first compared with the
 bucket's smallest class; what is alike forms components. Then only classes of different
 components within a bucket are compared, those outside the bucket's largest component with
-all others. So a group of near copies costs its size, not its square. All pairs are checked
-on whole sets. Buckets that the sketch shows to be large are split by salt for the first
+all others. So a group of near copies costs its size, not its square. Pairs whose sizes or
+profiles (shingles counted in fixed parts of the universe) differ too much are dismissed,
+which no similar pair is; all others are checked on whole sets. Buckets that the sketch shows to be large are split by salt for the first
 comparison.
 
 Shingles are compared as 64-bit hashes and classes known by 64 bits; at 10^10 classes a
@@ -37,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from berth.llm.components import components
@@ -45,7 +46,9 @@ from berth.session import durable
 
 SHINGLE = 5
 #: Cells of the sketch; of each small band and way; ids above which a worker's memory of words starts anew.
-CELLS, SMALL_CELLS, KNOWN = 1 << 18, 1 << 14, 300_000
+CELLS, SMALL_CELLS, KNOWN = 1 << 18, 1 << 14, 100_000
+#: Parts of the universe in which shingles are counted, for a bound on how much two sets differ.
+PARTS = 256
 #: Largest size for which one-deletion neighbourhoods are weighed against more segments.
 SMALL = 15
 #: Estimated classes in a bucket above which it is salted.
@@ -90,6 +93,11 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(total)
 
 
+def profile(some: np.ndarray) -> bytes:
+    """Shingles in each part of the universe. Two sets differ at least as much as their profiles."""
+    return np.minimum(np.bincount((some % np.uint64(PARTS)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes()
+
+
 def class_id(some: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(some.tobytes())).astype(np.int64))
 
@@ -136,10 +144,11 @@ class Scheme:
         salted = _mix(some ^ np.uint64(2 * band + way))
         segment = (salted >> np.uint64(33)).astype(np.int64) % m
         part = _mix(salted)
-        order = np.argsort(segment, kind="stable")
-        found, first = np.unique(segment[order], return_index=True)
+        order = np.argsort(segment)
+        sorted_segment = segment[order]
+        first = np.flatnonzero(np.append(True, sorted_segment[1:] != sorted_segment[:-1]))
         sums = np.zeros(m, np.uint64)
-        sums[found] = np.add.reduceat(part[order], first)
+        sums[sorted_segment[first]] = np.add.reduceat(part[order], first)
         return sums, segment, part
 
     @staticmethod
@@ -151,15 +160,17 @@ class Scheme:
         signs = self._signed(sums, np.arange(len(sums)), band, way)
         return np.append(signs, self._signed(sums[segment] - part, segment, band, way)) if way else signs
 
-    def count(self, some: np.ndarray, cells: np.ndarray) -> None:
-        """Add a set's subsets to the sketch."""
+    def cells(self, some: np.ndarray) -> np.ndarray:
+        """Cells of the sketch in which a set's subsets count."""
+        found = [np.zeros(0, np.int64)]
         for band in self.bands(len(some)):
             signs = self.all_signatures(some, band, 0)
-            np.add.at(cells, signs % np.uint64(CELLS), 1)
+            found.append((signs % np.uint64(CELLS)).astype(np.int64))
             if band < SMALL.bit_length():
                 for way in (0, 1):
                     small = signs if not way else self.all_signatures(some, band, 1)
-                    np.add.at(cells[self._small(band, way)], small % np.uint64(SMALL_CELLS), 1)
+                    found.append(self._small(band, way).start + (small % np.uint64(SMALL_CELLS)).astype(np.int64))
+        return np.concatenate(found)
 
     def signatures(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What a set indexes, and how often each is seen, by the sketch."""
@@ -177,26 +188,33 @@ class Scheme:
         return (np.concatenate(found), np.concatenate(seen)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
 
 
+def _row(docs: DataFrame, key: str, text: str) -> Column:
+    """Digest that only rows with equal key and text share."""
+    return F.xxhash64(docs[key].cast("long"), docs[key].isNull(), docs[text].cast("string"))
+
+
 def _classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, Scheme]:
     """Class and size of every document, and the scheme with its sketch."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, scheme, seen = np.zeros(Scheme.width(), np.uint32), Scheme(), set()
-        names = ["key", "cid", "n", "chunk", "counts"]
+        names = ["key", "row", "cid", "n", "profile", "chunk", "counts"]
         for batch in batches:
-            ids, sizes = [], []
-            for t in batch.column(1):
+            ids, sizes, profiles, counted = [], [], [], [np.zeros(0, np.int64)]
+            for t in batch.column(2):
                 some = shingles(t.as_py())
                 cid = class_id(some) if len(some) else None
                 ids.append(cid)
                 sizes.append(len(some))
-                if cid not in seen and len(some):
+                profiles.append(profile(some) if len(some) else None)
+                if len(some) and cid not in seen:
                     seen.add(cid)
-                    scheme.count(some, cells)
-            nothing = pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), *nothing], names)
+                    counted.append(scheme.cells(some))
+            cells += np.bincount(np.concatenate(counted), minlength=len(cells)).astype(np.uint32)
+            found = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(profiles, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found, pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names)
         parts = [i for i in range(0, len(cells), _CHUNK) if cells[i : i + _CHUNK].any()]
-        none = [pa.nulls(len(parts), pa.int64())] * 3
+        none = [pa.nulls(len(parts), pa.int64())] * 4 + [pa.nulls(len(parts), pa.binary())]
         counts = pa.array([cells[i : i + _CHUNK].astype("<u4").tobytes() for i in parts], pa.binary())
         yield pa.RecordBatch.from_arrays([*none, pa.array(parts, pa.int32()), counts], names)
 
@@ -207,13 +225,13 @@ def _classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, Scheme]:
                 sums[part] = sums.get(part, 0) + np.frombuffer(counts, "<u4")
         yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(sums), pa.int32()), "counts": pa.array([s.astype("<u4").tobytes() for s in sums.values()], pa.binary())})
 
-    rows = docs.select(docs[key].cast("long"), docs[text].cast("string")).mapInArrow(task, "key long, cid long, n long, chunk int, counts binary")
-    rows = durable(rows)
+    rows = docs.select(docs[key].cast("long"), _row(docs, key, text), docs[text].cast("string"))
+    rows = durable(rows.mapInArrow(task, "key long, row long, cid long, n long, profile binary, chunk int, counts binary"))
     cells = np.zeros(Scheme.width(), np.uint32)
     sketch = rows.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(added, "chunk int, counts binary")
     for r in sketch.collect():  # of fixed size: at most ``width`` cells
         cells[r["chunk"] : r["chunk"] + _CHUNK] = np.frombuffer(r["counts"], "<u4")
-    return rows.where("chunk is null").select("key", "cid", "n"), Scheme(cells)
+    return rows.where("chunk is null").select("key", "row", "cid", "n", "profile"), Scheme(cells)
 
 
 def _index(docs: DataFrame, text: str, scheme: Scheme) -> DataFrame:
@@ -243,43 +261,47 @@ def _index(docs: DataFrame, text: str, scheme: Scheme) -> DataFrame:
     return durable(signs.where("lead < last or salt >= 0").drop("last"))
 
 
-def _sets(docs: DataFrame, classes: DataFrame, members: DataFrame, key: str, text: str) -> DataFrame:
-    """The set of every class in a bucket, from its first document."""
+def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sizes and profiles allow for Jaccard 0.8 or more."""
 
-    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            yield pa.array([class_id(shingles(t)) for t in texts.to_pylist()], pa.int64())
+    def check(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for n, m, left, right in batches:
+            x, y = (np.frombuffer(b"".join(side.to_pylist()), np.uint8).reshape(-1, PARTS).astype(np.int16) for side in (left, right))
+            n, m = n.to_numpy(), m.to_numpy()
+            similar = np.minimum(n, m) * 100 >= 80 * np.maximum(n, m)
+            yield pa.array(similar & (np.abs(x - y).sum(1) <= (n + m) // 9))
 
-    def packed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            yield pa.array([shingles(t).tobytes() for t in texts.to_pylist()], pa.binary())
+    left, right = classes.select(F.col("cid").alias("a"), F.col("n").alias("n_"), F.col("profile").alias("x")), classes.select(F.col("cid").alias("b"), F.col("n").alias("m_"), F.col("profile").alias("y"))
+    rows = pairs.join(left, "a").join(right, "b")
+    near = F.arrow_udf(check, "boolean").asNondeterministic()("n_", "m_", "x", "y")
+    return durable(rows.where(near).select("a", "b"))
 
-    first = classes.groupBy("cid").agg(F.min("key").alias("key_")).join(members.select("cid").distinct(), "cid", "left_semi")
-    first = durable(first.withColumnRenamed("cid", "cid_"))
-    rows = docs.select(docs[key].cast("long").alias("key"), docs[text].cast("string").alias("text"))
-    rows = rows.withColumn("cid", F.arrow_udf(ids, "long").asNondeterministic()("text"))
-    rows = rows.join(first, (F.col("cid") == F.col("cid_")) & F.col("key").eqNullSafe(F.col("key_")), "left_semi")
-    rows = rows.select("cid", F.arrow_udf(packed, "binary").asNondeterministic()("text").alias("some"))
-    return durable(rows.groupBy("cid").agg(F.first("some").alias("some")))
 
+def _alike(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """The pairs (a, b) with Jaccard 0.8 or more, on the sets of the classes' first documents."""
 
-def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) with Jaccard 0.8 or more."""
+    def packed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([shingles(t).tobytes() for t in texts.to_pylist()], pa.binary())
 
     def check(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for left, right in batches:
             found = []
             for a, b in zip(left, right, strict=True):
                 x, y = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
-                if min(len(x), len(y)) * 100 < 80 * max(len(x), len(y)):
-                    found.append(False)
-                    continue
-                common = len(x) + len(y) - len(np.union1d(x, y))
-                found.append(100 * common >= 80 * (len(x) + len(y) - common))
+                both = np.sort(np.concatenate([x, y]), kind="stable")
+                common = int((both[1:] == both[:-1]).sum())
+                found.append(100 * common >= 80 * (len(both) - common))
             yield pa.array(found, pa.bool_())
 
+    near = _near(pairs, classes)
+    needed = near.select(F.col("a").alias("cid")).union(near.select("b")).distinct()
+    needed = durable(classes.select("cid", F.col("row").alias("row_")).join(needed, "cid"))
+    rows = docs.select(_row(docs, key, text).alias("row"), docs[text].cast("string").alias("text"))
+    rows = rows.join(needed, F.col("row") == F.col("row_")).groupBy("row", "cid").agg(F.first("text").alias("text"))
+    sets = durable(rows.select("cid", F.arrow_udf(packed, "binary").asNondeterministic()("text").alias("some")))
     left, right = sets.withColumnsRenamed({"cid": "a", "some": "x"}), sets.withColumnsRenamed({"cid": "b", "some": "y"})
-    rows = pairs.join(left, "a").join(right, "b")
+    rows = near.join(left, "a").join(right, "b")
     return durable(rows.where(F.arrow_udf(check, "boolean").asNondeterministic()("x", "y")).select("a", "b"))
 
 
@@ -289,13 +311,15 @@ def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document, a written table: key, cid, n (size of its set) and root (of its component of classes, or null)."""
-    classes, scheme = _classes(docs, key, text)
+    rows, scheme = _classes(docs, key, text)
     members = _index(docs, text, scheme)
-    sets = _sets(docs, classes, members, key, text)
+    first = F.min(F.struct(F.col("key").isNull().alias("i"), F.col("key").alias("k"), "row", "n", "profile"))
+    classes = rows.where("cid is not null").groupBy("cid").agg(first.alias("f")).select("cid", "f.row", "f.n", "f.profile")
+    classes = durable(classes.join(members.select("cid").distinct(), "cid"))
     stars = members.select(F.col("lead").alias("a"), F.col("cid").alias("b"))
     leads = members.where("salt >= 0").groupBy("sign").agg(F.min("lead").alias("a"), F.collect_set("lead").alias("b")).select("a", F.explode("b").alias("b"))
     stars = durable(stars.union(leads).where("a <> b").distinct())
-    linked = _alike(stars, sets)
+    linked = _alike(stars, classes, docs, key, text)
     roots = components(linked)
     placed = durable(_rooted(members.select("sign", "cid").distinct(), roots))
     counts = placed.groupBy("sign", "root").agg(F.count("*").alias("n"))
@@ -306,10 +330,9 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     pairs = minor.join(other, "sign").where((F.col("root") != F.col("root_")) & ((F.col("root_") == F.col("major")) | (F.col("cid") < F.col("cid_"))))
     pairs = pairs.select(F.least("cid", "cid_").alias("a"), F.greatest("cid", "cid_").alias("b")).distinct()
     pairs = durable(pairs.join(stars, ["a", "b"], "left_anti"))
-    more = _alike(pairs, sets)
-    if not more.isEmpty():
-        roots = components(linked.union(more))
-    return durable(_rooted(classes, roots))
+    if not pairs.isEmpty():
+        roots = components(linked.union(_alike(pairs, classes, docs, key, text)))
+    return durable(_rooted(rows.select("key", "cid", "n"), roots))
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
