@@ -11,7 +11,6 @@ from berth.functions.expr import (  # noqa: F401
     running_days,
     seat_code,
     seat_sort_key,
-    text_slice,
     utc_clock,
     utc_instant,
     weekday3,

@@ -75,12 +75,12 @@ def parse_seat_code(code: Column | str, cls: Column | str) -> Column:
 
 
 def pnr(key: Column | str, as_of: dt.datetime) -> Column:
-    """Booking reference: six hex digits of the key's digest, then the epoch second.
+    """Booking reference: ten hex digits of the key's digest, then the epoch second, 20 characters as declared.
 
     The same key always yields the same reference, so a rerun writes the same rows.
     """
     epoch = int(as_of.replace(tzinfo=dt.timezone.utc).timestamp())
-    return F.concat(F.upper(F.substring(F.md5(_c(key).cast("string")), 1, 6)), F.lit(str(epoch)))
+    return F.concat(F.upper(F.substring(F.md5(_c(key).cast("string")), 1, 10)), F.lit(str(epoch)))
 
 
 def concession_percent(category: Column | str) -> Column:
@@ -123,13 +123,5 @@ def seat_sort_key(seat_no: Column | str, seat_order: str) -> Column:
     raise ValueError(f"seat_order must be lexical or numeric, not {seat_order!r}")
 
 
-def text_slice(c: Column | str, chars: int = 4) -> Column:
-    """Long that grows with the leading characters of an ASCII text."""
-    out = F.lit(0).cast("long")
-    for i in range(1, chars + 1):
-        out = out * 256 + F.ascii(F.substring(_c(c), i, 1))
-    return out
-
-
 def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c

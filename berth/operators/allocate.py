@@ -14,11 +14,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from berth.functions import queue_code, seat_code, seat_sort_key, text_slice
+from berth.functions import queue_code, seat_code, seat_sort_key
 from berth.operators.rank import HOT_ROWS, ranked
 from berth.session import durable
 
-SCOPE = ("schedule_id", "class_no")
+# A seat is sold once per service and date; services that run once may leave the date out.
+SCOPE = ("schedule_id", "journey_date", "class_no")
+SEAT_KEY = ("schedule_id", "journey_date", "coach_id", "seat_no")
 RAC_CAPACITY = 8  # fixed value
 
 CONFIRMED, RAC, WL, CANCELLED = "Confirmed", "RAC", "WL", "cancelled"
@@ -221,7 +223,7 @@ def emptied_tickets(passengers: DataFrame) -> DataFrame:
     ).where(F.col("n_passengers") == F.col("n_cancelled"))
 
 
-def seat_status(seats: DataFrame, tickets: DataFrame, key: Sequence[str] = ("schedule_id", "coach_id", "seat_no")) -> DataFrame:
+def seat_status(seats: DataFrame, tickets: DataFrame, key: Sequence[str] = SEAT_KEY) -> DataFrame:
     """Seats with ``is_booked`` set where a confirmed ticket holds them."""
     key = list(key)
     held = tickets.where(F.col("status") == CONFIRMED).select(*key).distinct().withColumn("_held", F.lit(True))
@@ -255,6 +257,6 @@ def availability_status(
     )
 
 
-def available_seats(seats: DataFrame, tickets: DataFrame, key: Sequence[str] = ("schedule_id", "coach_id", "seat_no")) -> DataFrame:
+def available_seats(seats: DataFrame, tickets: DataFrame, key: Sequence[str] = SEAT_KEY) -> DataFrame:
     """Seats no confirmed ticket holds."""
     return seats.join(tickets.where(F.col("status") == CONFIRMED).select(*key), list(key), "left_anti")

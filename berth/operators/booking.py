@@ -17,6 +17,9 @@ from berth.session import durable
 
 MAX_PASSENGERS = 4  # fixed value
 
+NO_LIST, TOO_MANY, NO_FARE = "no passenger list", "too many passengers", "no fare"
+NO_FUNDS = "Insufficient wallet balance"  # fixed value
+
 PASSENGER_JSON = (
     "array<struct<name:string,age:int,gender:string,contact:string,email:string,concession:string>>"
 )
@@ -25,17 +28,20 @@ PASSENGER_JSON = (
 def explode_passengers(
     bookings: DataFrame, column: str = "passengers", cap: int = MAX_PASSENGERS
 ) -> tuple[DataFrame, DataFrame]:
-    """Passenger JSON as rows: those within the cap, and the rest.
+    """Passenger JSON as rows: those within the cap, and the rest with a reason.
 
-    ``passenger_no`` counts from 1 in array order.
+    ``passenger_no`` counts from 1 in array order. A list that is no list, or is empty, is
+    one row of the rest, without a passenger.
     """
     rows = (
         bookings.withColumn("_list", F.from_json(column, PASSENGER_JSON))
-        .select(*[c for c in bookings.columns if c != column], F.posexplode("_list").alias("_pos", "_p"))
+        .select(*[c for c in bookings.columns if c != column], F.posexplode_outer("_list").alias("_pos", "_p"))
         .select("*", (F.col("_pos") + 1).alias("passenger_no"), "_p.*")
         .drop("_pos", "_p")
     )
-    return rows.where(F.col("passenger_no") <= cap), rows.where(F.col("passenger_no") > cap)
+    within = F.coalesce(F.col("passenger_no") <= cap, F.lit(False))
+    reason = F.when(F.col("passenger_no").isNull(), F.lit(NO_LIST)).otherwise(F.lit(TOO_MANY))
+    return rows.where(within), rows.where(~within).withColumn("reason", reason)
 
 
 def book_tickets(
@@ -51,23 +57,29 @@ def book_tickets(
     scope: Sequence[str] = SCOPE,
     hot_rows: int = HOT_ROWS,
     wallet_slice: Column | None = None,
-) -> DataFrame:
-    """Book whole requests: distance fare, wallet check, then seats.
+) -> tuple[DataFrame, DataFrame]:
+    """Book whole requests: distance fare, wallet check, then seats; tickets and rejects.
 
     ``requests``: one row per passenger with user_id, method, train, route, class,
     stations, scope and order columns. The fare never depends on the seat, so all
     requests are priced first, then the wallets, then the accepted ones seated.
-    The priced requests are written once, since both steps read them.
+    The priced requests are written once, since all steps read them. A request without
+    a fare, or whose user's wallet is short, is a reject with its reason.
     """
-    priced = durable(price_distance(requests.drop("kind", "amount"), stops, coaches))
+    asked = durable(price_distance(requests.drop("kind", "amount"), stops, coaches, how="left"))
+    priced = asked.where(F.col("total_fare").isNotNull())
+    unpriced = asked.where(F.col("total_fare").isNull()).withColumn("reason", F.lit(NO_FARE))
     by_wallet = priced.where(F.col("method") == "wallet").withColumn("kind", F.lit(DEBIT)).withColumn("amount", F.col("total_fare"))
     paid = wallet_ledger(by_wallet, opening, event_order, wallet_slice, hot_rows)
     accepted = paid.where("accepted").drop("kind", "amount", "accepted", "balance")
-    others = priced.where(F.col("method") != "wallet")
-    return allocate(
+    refused = paid.where(~F.coalesce("accepted", F.lit(False))).drop("kind", "amount", "accepted", "balance")
+    others = priced.where(~F.coalesce(F.col("method") == "wallet", F.lit(False)))
+    rejects = unpriced.unionByName(refused.withColumn("reason", F.lit(NO_FUNDS)), allowMissingColumns=True)
+    tickets = allocate(
         others.unionByName(accepted), seats, passenger_order, slice_by, rac_capacity=rac_capacity, scope=scope,
         hot_rows=hot_rows, hot_from=priced,
     )
+    return tickets, rejects
 
 
 def book_groups(
@@ -80,21 +92,25 @@ def book_groups(
     rac_capacity: int | DataFrame = RAC_CAPACITY,
     scope: Sequence[str] = SCOPE,
     hot_rows: int = HOT_ROWS,
+    cap: int = MAX_PASSENGERS,
 ) -> tuple[DataFrame, DataFrame]:
-    """Book up to four passengers per request from their JSON.
+    """Book up to ``cap`` passengers per request from their JSON.
 
     ``bookings``: booking_id, train_id, class_no, src_station, dst_station, the
-    scope columns and ``passengers``. Returns tickets and the dropped passengers.
+    scope columns and ``passengers``. Returns tickets and rejects: passengers over the
+    cap or without a fare, and bookings without a list, each with a reason.
     """
-    rows, rejects = explode_passengers(bookings)
-    priced = price_route(rows, route_fares)
+    rows, rejects = explode_passengers(bookings, cap=cap)
+    asked = price_route(rows, route_fares, how="left")
+    priced = asked.where(F.col("fare").isNotNull())
+    unpriced = asked.where(F.col("fare").isNull()).withColumn("reason", F.lit(NO_FARE))
     # No booking has more passengers than the cap, so copies of the bookings bound
     # the size of each scope without reading the JSON.
-    bound = bookings.select(*scope, F.explode(F.array_repeat(F.lit(1), MAX_PASSENGERS)))
+    bound = bookings.select(*scope, F.explode(F.array_repeat(F.lit(1), cap)))
     tickets = allocate(
         priced, seats, order, slice_by, rac_capacity=rac_capacity, scope=scope, hot_rows=hot_rows, hot_from=bound
     )
-    return tickets.withColumn("pnr", pnr("booking_id", as_of)), rejects
+    return tickets.withColumn("pnr", pnr("booking_id", as_of)), rejects.unionByName(unpriced.drop("fixed_fare", "fare"))
 
 
 def booking_summary(tickets: DataFrame, by: Sequence[str] = ("booking_id",), amount: str = "fare") -> DataFrame:

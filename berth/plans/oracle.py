@@ -84,7 +84,7 @@ CTES = {
         FROM b_request_rank q LEFT JOIN b_seat_rank s
              ON q.schedule_id = s.schedule_id AND q.class_no = s.class_no AND q.r = s.r""",
     "b_tickets": """
-        SELECT a.*, upper(substring(md5(CAST(booking_id AS VARCHAR)), 1, 6)) || '1009843200' AS pnr, booking_date, user_id
+        SELECT a.*, upper(substring(md5(CAST(booking_id AS VARCHAR)), 1, 10)) || '1009843200' AS pnr, booking_date, user_id
         FROM b_alloc a JOIN b_orders USING (booking_id)""",
     "b_cancellations": """
         SELECT ticket_id, cancelled_on AS cancellation_date, 'passenger request' AS reason,
@@ -157,11 +157,21 @@ CTES = {
                CASE WHEN o_orderkey % 3 = 0 THEN 'id@upi' END AS upi_id
         FROM orders""",
     "b_reg_valid": """
-        SELECT *, row_number() OVER (PARTITION BY username ORDER BY user_id) AS name_no FROM b_registrations
+        SELECT * FROM b_registrations
         WHERE username IS NOT NULL AND (phone_primary IS NOT NULL OR phone_secondary IS NOT NULL)""",
-    "b_reg_named": """
-        SELECT *, row_number() OVER (PARTITION BY email ORDER BY user_id) AS email_no FROM b_reg_valid WHERE name_no = 1""",
-    "b_reg_users": "SELECT * FROM b_reg_named WHERE email_no = 1",
+    "b_reg_rounds": """
+        SELECT user_id, username, email, user_id = min(user_id) OVER (PARTITION BY username)
+               AND user_id = min(user_id) OVER (PARTITION BY email) AS stands FROM b_reg_valid
+        UNION ALL
+        SELECT user_id, username, email, user_id = min(user_id) OVER (PARTITION BY username)
+               AND user_id = min(user_id) OVER (PARTITION BY email) FROM b_reg_rounds
+        WHERE NOT stands AND username NOT IN (SELECT username FROM b_reg_rounds WHERE stands)
+              AND email NOT IN (SELECT email FROM b_reg_rounds WHERE stands)""",
+    "b_reg_users": "SELECT * FROM b_reg_valid WHERE user_id IN (SELECT user_id FROM b_reg_rounds WHERE stands)",
+    "b_reg_late": """
+        SELECT v.*, CASE WHEN EXISTS (SELECT 1 FROM b_reg_users u WHERE u.username = v.username AND u.user_id < v.user_id)
+                         THEN 'username taken' ELSE 'email taken' END AS reason
+        FROM b_reg_valid v WHERE user_id NOT IN (SELECT user_id FROM b_reg_users)""",
     "b_booking_events": """
         SELECT r.*, o.user_id, o.method, c.base_fare,
                CAST(round(c.base_fare * 150 * (to_stop - from_stop) * 0.01, 2) AS DECIMAL(12,2)) AS fare

@@ -258,9 +258,13 @@ def append_new(b: Bound) -> DataFrame:
 
 # --- allocation and queues --------------------------------------------------
 
+# The services bound here run once a season, so their id stands for the date as well.
+SERVICE = ("schedule_id", "class_no")
+SERVICE_SEAT = ("schedule_id", "coach_id", "seat_no")
+
 
 def _alloc(b: Bound, **options) -> DataFrame:
-    return b.label(al.allocate(b.narrow_requests, b.seats, PASSENGER_ORDER, b.slice_by, **options))
+    return b.label(al.allocate(b.narrow_requests, b.seats, PASSENGER_ORDER, b.slice_by, scope=SERVICE, **options))
 
 
 def _tickets(b: Bound) -> DataFrame:
@@ -280,6 +284,50 @@ def allocate(b: Bound) -> DataFrame:
     return _alloc(b)
 
 
+_HALF = "make_date(CAST(year(journey_date) AS BIGINT), CASE WHEN month(journey_date) > 6 THEN 7 ELSE 1 END, 1)"
+_DATED_RANK = f"""
+    WITH r AS (SELECT * REPLACE ({_HALF} AS journey_date), journey_date AS asked_for FROM b_requests),
+         k AS (SELECT *, row_number() OVER (PARTITION BY schedule_id, journey_date, class_no
+                  ORDER BY booking_id, line_no, part_id, train_id, asked_for) AS k FROM r)"""
+
+
+def _dated(b: Bound) -> tuple[DataFrame, DataFrame]:
+    """Requests on services that run on two dates a season, and the seats of both dates."""
+    half = F.make_date(F.year("journey_date"), F.when(F.month("journey_date") > 6, 7).otherwise(1), F.lit(1))
+    requests = b.requests.withColumn("asked_for", F.col("journey_date")).withColumn("journey_date", half)
+    return requests, b.seats.join(requests.select("schedule_id", "journey_date").distinct(), "schedule_id")
+
+
+def _allocated_dated(b: Bound) -> tuple[DataFrame, DataFrame]:
+    requests, seats = _dated(b)
+    return al.allocate(requests, seats, ["booking_id", "line_no", "part_id", "train_id", "asked_for"], b.slice_by), seats
+
+
+@query(
+    "allocate_dated", "ticket_id string, journey_date date, class_no bigint, status string, coach_id bigint, seat_no string, queue_no bigint",
+    f"""{_DATED_RANK}
+       SELECT k.ticket_id, k.journey_date, k.class_no, CASE WHEN k <= 10 THEN 'Confirmed' WHEN k <= 18 THEN 'RAC' ELSE 'WL' END AS status,
+              s.coach_id, s.seat_no, CASE WHEN k <= 10 THEN NULL WHEN k <= 18 THEN k - 10 ELSE k - 18 END AS queue_no
+       FROM k LEFT JOIN b_seat_rank s ON k.schedule_id = s.schedule_id AND k.class_no = s.class_no AND k.k = s.r""",
+)
+def allocate_dated(b: Bound) -> DataFrame:
+    """Seats are sold once per service, date and class, the default scope."""
+    return _allocated_dated(b)[0]
+
+
+@query(
+    "available_seats_dated", "schedule_id bigint, journey_date date, coach_id bigint, seat_no string",
+    f"""{_DATED_RANK}
+       SELECT s.schedule_id, d.journey_date, s.coach_id, s.seat_no
+       FROM b_seat_rank s JOIN (SELECT DISTINCT schedule_id, journey_date FROM r) d USING (schedule_id)
+       LEFT JOIN k ON k.schedule_id = s.schedule_id AND k.journey_date = d.journey_date AND k.class_no = s.class_no AND k.k = s.r
+       WHERE k.k IS NULL""",
+)
+def available_seats_dated(b: Bound) -> DataFrame:
+    done, seats = _allocated_dated(b)
+    return al.available_seats(seats, done)
+
+
 @query(
     "allocate_numeric", _ALLOCATED,
     """SELECT q.ticket_id, q.schedule_id, q.class_no,
@@ -328,9 +376,21 @@ def allocate_existing(b: Bound) -> DataFrame:
     """A second batch behind an earlier one: seats taken, queues numbered on."""
     early = (F.col("season") < 1999) | F.col("is_cancelled")
     requests = b.requests.withColumn("season", F.year("journey_date"))
-    done = durable(al.allocate(requests.where(early), b.seats, PASSENGER_ORDER, b.slice_by))
-    free = al.available_seats(b.seats, done)
-    return al.allocate(requests.where(~early), free, PASSENGER_ORDER, b.slice_by, existing=done.where(F.col("status") != al.CONFIRMED))
+    done = durable(al.allocate(requests.where(early), b.seats, PASSENGER_ORDER, b.slice_by, scope=SERVICE))
+    free = al.available_seats(b.seats, done, SERVICE_SEAT)
+    return al.allocate(requests.where(~early), free, PASSENGER_ORDER, b.slice_by, existing=done.where(F.col("status") != al.CONFIRMED), scope=SERVICE)
+
+
+def _booked(b: Bound) -> tuple[DataFrame, DataFrame]:
+    requests = (
+        b.routed_requests.withColumn("route_id", F.col("train_id")).drop("amount", "is_cancelled")
+        .join(b.orders.select("booking_id", "user_id", "method"), "booking_id")
+    )
+    opening = b.opening.withColumn("balance", money(F.col("balance") * F.lit("0.01").cast("decimal(3,2)")))
+    return booking.book_tickets(
+        requests, b.stops, b.coaches, b.seats, opening, PASSENGER_ORDER, b.slice_by,
+        event_order=PASSENGER_ORDER, wallet_slice=id_slice("booking_id"), scope=SERVICE,
+    )
 
 
 @query(
@@ -342,19 +402,19 @@ def allocate_existing(b: Bound) -> DataFrame:
             ON q.schedule_id = s.schedule_id AND q.class_no = s.class_no AND q.r = s.r""",
 )
 def book_tickets(b: Bound) -> DataFrame:
-    requests = (
-        b.routed_requests.withColumn("route_id", F.col("train_id")).drop("amount", "is_cancelled")
-        .join(b.orders.select("booking_id", "user_id", "method"), "booking_id")
-    )
-    opening = b.opening.withColumn("balance", money(F.col("balance") * F.lit("0.01").cast("decimal(3,2)")))
-    return booking.book_tickets(
-        requests, b.stops, b.coaches, b.seats, opening, PASSENGER_ORDER, b.slice_by,
-        event_order=PASSENGER_ORDER, wallet_slice=id_slice("booking_id"),
-    ).withColumn("ticket_id", b.ticket_id())
+    return _booked(b)[0].withColumn("ticket_id", b.ticket_id())
+
+
+@query(
+    "book_tickets_rejects", "ticket_id string, total_fare decimal(12,2), reason string",
+    "SELECT ticket_id, fare AS total_fare, 'Insufficient wallet balance' AS reason FROM b_paid_order WHERE ticket_id IN (SELECT ticket_id FROM b_paid_fold WHERE NOT accepted)",
+)
+def book_tickets_rejects(b: Bound) -> DataFrame:
+    return _booked(b)[1].withColumn("ticket_id", b.ticket_id())
 
 
 def _groups(b: Bound) -> tuple[DataFrame, DataFrame]:
-    return booking.book_groups(b.group_bookings, b.route_fares, b.seats, AS_OF, slice_by=b.slice_by)
+    return booking.book_groups(b.group_bookings, b.route_fares, b.seats, AS_OF, slice_by=b.slice_by, scope=SERVICE)
 
 
 @query(
@@ -365,21 +425,23 @@ def _groups(b: Bound) -> tuple[DataFrame, DataFrame]:
 )
 def explode_passengers(b: Bound) -> DataFrame:
     kept, rest = booking.explode_passengers(b.group_bookings)
-    return kept.withColumn("is_kept", F.lit(True)).unionByName(rest.withColumn("is_kept", F.lit(False)))
+    return kept.withColumn("is_kept", F.lit(True)).unionByName(rest.drop("reason").withColumn("is_kept", F.lit(False)))
 
 
 @query(
     "book_groups",
     "booking_id bigint, passenger_no bigint, pnr string, fare decimal(10,2), status string, seat_no string, queue_no bigint",
-    """SELECT *, upper(substring(md5(CAST(booking_id AS VARCHAR)), 1, 6)) || '1009843200' AS pnr FROM b_group_tickets""",
+    """SELECT *, upper(substring(md5(CAST(booking_id AS VARCHAR)), 1, 10)) || '1009843200' AS pnr FROM b_group_tickets""",
 )
 def book_groups(b: Bound) -> DataFrame:
     return _groups(b)[0]
 
 
 @query(
-    "book_groups_rejects", "booking_id bigint, passenger_no bigint, name string",
-    "SELECT booking_id, passenger_no, name FROM b_group_all WHERE passenger_no > 4",
+    "book_groups_rejects", "booking_id bigint, passenger_no bigint, name string, reason string",
+    """SELECT booking_id, passenger_no, name, 'too many passengers' AS reason FROM b_group_all WHERE passenger_no > 4
+       UNION ALL SELECT booking_id, passenger_no, name, 'no fare' FROM b_group_all g
+       WHERE passenger_no <= 4 AND NOT EXISTS (SELECT 1 FROM b_route_fares f WHERE f.train_id = g.train_id AND f.class_no = g.class_no)""",
 )
 def book_groups_rejects(b: Bound) -> DataFrame:
     return _groups(b)[1]
@@ -388,7 +450,7 @@ def book_groups_rejects(b: Bound) -> DataFrame:
 @query(
     "booking_summary",
     "booking_id bigint, pnr string, total_tickets bigint, confirmed bigint, rac bigint, waitlist bigint, total_amount decimal(12,2)",
-    """SELECT booking_id, upper(substring(md5(CAST(booking_id AS VARCHAR)), 1, 6)) || '1009843200' AS pnr, count(*) AS total_tickets,
+    """SELECT booking_id, upper(substring(md5(CAST(booking_id AS VARCHAR)), 1, 10)) || '1009843200' AS pnr, count(*) AS total_tickets,
               count(*) FILTER (status = 'Confirmed') AS confirmed, count(*) FILTER (status = 'RAC') AS rac,
               count(*) FILTER (status = 'WL') AS waitlist, sum(fare) AS total_amount
        FROM b_group_tickets GROUP BY booking_id""",
@@ -418,7 +480,7 @@ def ticket_status(b: Bound) -> DataFrame:
 )
 def availability_status(b: Bound) -> DataFrame:
     done = durable(_alloc(b))
-    return al.availability_status(b.seats, al.available_seats(b.seats, done), done.where(F.col("status") != al.CONFIRMED))
+    return al.availability_status(b.seats, al.available_seats(b.seats, done, SERVICE_SEAT), done.where(F.col("status") != al.CONFIRMED), scope=SERVICE)
 
 
 @query(
@@ -428,7 +490,7 @@ def availability_status(b: Bound) -> DataFrame:
        WHERE a.ticket_id IS NULL""",
 )
 def available_seats(b: Bound) -> DataFrame:
-    return al.available_seats(b.seats, _alloc(b))
+    return al.available_seats(b.seats, _alloc(b), SERVICE_SEAT)
 
 
 @query(
@@ -437,7 +499,7 @@ def available_seats(b: Bound) -> DataFrame:
        LEFT JOIN b_alloc a ON a.schedule_id = s.schedule_id AND a.coach_id = s.coach_id AND a.seat_no = s.seat_no""",
 )
 def seat_status(b: Bound) -> DataFrame:
-    return al.seat_status(b.seats, _alloc(b))
+    return al.seat_status(b.seats, _alloc(b), SERVICE_SEAT)
 
 
 @query(
@@ -452,7 +514,7 @@ def seat_status(b: Bound) -> DataFrame:
 )
 def cancel(b: Bound) -> DataFrame:
     done = durable(_alloc(b))
-    return al.cancel(done.where("is_cancelled"), done, al.available_seats(b.seats, done), key=["ticket_id"])
+    return al.cancel(done.where("is_cancelled"), done, al.available_seats(b.seats, done, SERVICE_SEAT), key=["ticket_id"], scope=SERVICE)
 
 
 @query(
@@ -465,7 +527,7 @@ def promote(b: Bound) -> DataFrame:
     done = durable(_alloc(b))
     queue = done.where(~F.col("is_cancelled") & (F.col("status") != al.CONFIRMED))
     kept = done.where(~F.col("is_cancelled") & (F.col("status") == al.CONFIRMED))
-    return al.promote(queue, al.available_seats(b.seats, kept))
+    return al.promote(queue, al.available_seats(b.seats, kept, SERVICE_SEAT), scope=SERVICE)
 
 
 @query(
@@ -681,7 +743,7 @@ def _cancellations(b: Bound) -> DataFrame:
 @query(
     "cancellation_records",
     "ticket_id string, pnr string, service_status string, refund_status string, cancellation_date date, reason string, charge decimal(12,2)",
-    """SELECT p.ticket_id, upper(substring(md5(CAST(p.booking_id AS VARCHAR)), 1, 6)) || '1009843200' AS pnr, s.status AS service_status,
+    """SELECT p.ticket_id, upper(substring(md5(CAST(p.booking_id AS VARCHAR)), 1, 10)) || '1009843200' AS pnr, s.status AS service_status,
               p.refund_status, c.cancellation_date, c.reason, c.charge
        FROM b_payments p JOIN b_requests r ON r.ticket_id = p.ticket_id JOIN b_services s ON s.schedule_id = r.schedule_id
        LEFT JOIN b_cancellations c ON c.ticket_id = p.ticket_id
@@ -712,7 +774,7 @@ def busiest_stations_top5(b: Bound) -> DataFrame:
     "itemized_bills",
     "ticket_id string, pnr string, class_name string, distance bigint, fare_per_km decimal(6,2), base_amount decimal(12,2), "
     "total_amount decimal(12,2), payment_mode string, payment_date date",
-    """SELECT p.ticket_id, upper(substring(md5(CAST(p.booking_id AS VARCHAR)), 1, 6)) || '1009843200' AS pnr, class_name,
+    """SELECT p.ticket_id, upper(substring(md5(CAST(p.booking_id AS VARCHAR)), 1, 10)) || '1009843200' AS pnr, class_name,
               150 * (to_stop - from_stop) AS distance, base_fare AS fare_per_km, 150 * (to_stop - from_stop) * base_fare AS base_amount,
               p.amount AS total_amount, p.payment_mode, p.payment_date
        FROM b_payments p JOIN b_requests r ON r.ticket_id = p.ticket_id JOIN b_classes c ON c.class_no = r.class_no""",
@@ -823,8 +885,7 @@ def ingest_users_wallets(b: Bound) -> DataFrame:
     """SELECT user_id, username, email,
               CASE WHEN username IS NULL THEN 'missing username, dob or email' ELSE 'At least one phone number must be provided.' END AS reason
        FROM b_registrations WHERE username IS NULL OR (phone_primary IS NULL AND phone_secondary IS NULL)
-       UNION ALL SELECT user_id, username, email, 'username taken' FROM b_reg_valid WHERE name_no > 1
-       UNION ALL SELECT user_id, username, email, 'email taken' FROM b_reg_named WHERE email_no > 1""",
+       UNION ALL SELECT user_id, username, email, reason FROM b_reg_late""",
 )
 def ingest_users_rejects(b: Bound) -> DataFrame:
     return _registered(b).rejects
@@ -865,7 +926,7 @@ def unique_violations(b: Bound) -> DataFrame:
 
 @query(
     "pnr_collisions", "pnr string, n_rows bigint",
-    "SELECT upper(substring(md5(CAST(o_orderkey AS VARCHAR)), 1, 6)) || '1009843200' AS pnr, count(*) AS n_rows FROM orders GROUP BY 1 HAVING count(*) > 1",
+    "SELECT upper(substring(md5(CAST(o_orderkey AS VARCHAR)), 1, 10)) || '1009843200' AS pnr, count(*) AS n_rows FROM orders GROUP BY 1 HAVING count(*) > 1",
 )
 def pnr_collisions(b: Bound) -> DataFrame:
     return audit.unique_violations(b.orders.select(b.reference().alias("pnr")), ["pnr"])
@@ -925,14 +986,21 @@ def domain_violations(b: Bound) -> DataFrame:
 @query(
     "double_bookings", "ticket_id string, claim_no bigint",
     """SELECT ticket_id, claim_no FROM (SELECT ticket_id, row_number() OVER (PARTITION BY schedule_id, class_no, part_id % 10
-              ORDER BY booking_id, line_no, part_id, train_id, journey_date) AS claim_no FROM b_requests) WHERE claim_no > 1""",
+              ORDER BY booking_id, line_no, part_id, train_id, journey_date) AS claim_no FROM b_requests WHERE NOT is_cancelled) WHERE claim_no > 1""",
 )
 def double_bookings(b: Bound) -> DataFrame:
-    """Passengers who ask for a fixed seat, taken by part number."""
-    claims = b.requests.withColumn("seat_no", F.col("part_id") % 10)
+    """Passengers who hold a fixed seat, taken by part number, unless they cancelled."""
+    status = F.when(F.col("is_cancelled"), F.lit(al.CANCELLED)).otherwise(F.lit(al.CONFIRMED))
+    claims = b.requests.withColumns({"seat_no": F.col("part_id") % 10, "status": status})
     return audit.double_bookings(claims, PASSENGER_ORDER, b.slice_by, key=["schedule_id", "class_no", "seat_no"])
 
 
+@query("double_bookings_allocated", "ticket_id string, claim_no bigint", "SELECT ticket_id, CAST(1 AS BIGINT) AS claim_no FROM b_alloc WHERE false")
+def double_bookings_allocated(b: Bound) -> DataFrame:
+    """Allocated tickets never hold a seat twice, and queued ones hold none."""
+    return audit.double_bookings(_alloc(b), PASSENGER_ORDER, b.slice_by, key=SERVICE_SEAT)
+
+
 @query(
     "fd_violations", "booking_id bigint, dependent string",
     """SELECT booking_id, 'train_id' AS dependent FROM b_requests GROUP BY 1 HAVING count(DISTINCT train_id) > 1

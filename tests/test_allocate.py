@@ -1,3 +1,5 @@
+import datetime as dt
+from functools import partial
 import random
 
 import pytest
@@ -12,6 +14,12 @@ from tests.conftest import rows
 REQUEST = "rid bigint, schedule_id bigint, class_no bigint"
 SEAT = "schedule_id bigint, class_no bigint, coach_id bigint, seat_no string"
 
+# The services of these cases run once.
+SERVICE = ("schedule_id", "class_no")
+allocate, cancel = partial(al.allocate, scope=SERVICE), partial(al.cancel, scope=SERVICE)
+promote, availability_status = partial(al.promote, scope=SERVICE), partial(al.availability_status, scope=SERVICE)
+available_seats = partial(al.available_seats, key=("schedule_id", "coach_id", "seat_no"))
+
 
 def batch(seed, scopes=4, requests=120, seats=7):
     rng = random.Random(seed)
@@ -25,7 +33,7 @@ def batch(seed, scopes=4, requests=120, seats=7):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_allocate_equals_replay(spark, seed, hot_rows):
     ask, have = batch(seed)
-    got = al.allocate(
+    got = allocate(
         spark.createDataFrame(ask, REQUEST), spark.createDataFrame(have, SEAT), ["rid"], id_slice("rid", 8), rac_capacity=3, hot_rows=hot_rows
     )
     want = []
@@ -39,7 +47,7 @@ def test_allocate_equals_replay(spark, seed, hot_rows):
 def test_class_wide_queue(spark, hot_rows):
     ask, have = batch(3)
     old = [(1, "RAC")] * 2 + [(1, "WL")] * 4
-    got = al.allocate(
+    got = allocate(
         spark.createDataFrame(ask, REQUEST), spark.createDataFrame(have, SEAT), ["rid"], id_slice("rid", 8),
         existing=spark.createDataFrame(old, "class_no bigint, status string"), rac_capacity=6, queue_scope=["class_no"], hot_rows=hot_rows,
     )
@@ -59,7 +67,7 @@ def test_class_wide_queue(spark, hot_rows):
 
 
 def test_no_seats_queue_starts_at_one(spark):
-    got = al.allocate(
+    got = allocate(
         spark.createDataFrame([(1, 1, 1)], REQUEST), spark.createDataFrame([], SEAT), ["rid"], id_slice("rid")
     )
     assert rows(got.select("status", "seat_no", "queue_no")) == [("RAC", None, 1)]
@@ -68,12 +76,12 @@ def test_no_seats_queue_starts_at_one(spark):
 def test_seat_order(spark):
     ask = spark.createDataFrame([(i, 1, 1) for i in range(2)], REQUEST)
     seats = spark.createDataFrame([(1, 1, 9, "S2"), (1, 1, 9, "S10"), (1, 1, 9, "S1")], SEAT)
-    lexical = al.allocate(ask, seats, ["rid"], id_slice("rid"))
-    numeric = al.allocate(ask, seats, ["rid"], id_slice("rid"), seat_order="numeric")
+    lexical = allocate(ask, seats, ["rid"], id_slice("rid"))
+    numeric = allocate(ask, seats, ["rid"], id_slice("rid"), seat_order="numeric")
     assert rows(lexical.select("rid", "seat_no")) == [(0, "S1"), (1, "S10")]
     assert rows(numeric.select("rid", "seat_no")) == [(0, "S1"), (1, "S2")]
     with pytest.raises(ValueError):
-        al.allocate(ask, seats, ["rid"], id_slice("rid"), seat_order="random")
+        allocate(ask, seats, ["rid"], id_slice("rid"), seat_order="random")
 
 
 @pytest.mark.parametrize("hot_rows", [1_000_000, 5])
@@ -82,9 +90,9 @@ def test_cancel_equals_replay(spark, seed, hot_rows):
     ask, have = batch(seed, requests=100, seats=4)
     rng = random.Random(seed)
     gone = [a[0] for a in ask if rng.random() < 0.35]
-    done = al.allocate(spark.createDataFrame(ask, REQUEST), spark.createDataFrame(have, SEAT), ["rid"], id_slice("rid"), rac_capacity=3).cache()
-    after = al.cancel(
-        spark.createDataFrame([(g,) for g in gone], "rid bigint"), done, al.available_seats(spark.createDataFrame(have, SEAT), done),
+    done = allocate(spark.createDataFrame(ask, REQUEST), spark.createDataFrame(have, SEAT), ["rid"], id_slice("rid"), rac_capacity=3).cache()
+    after = cancel(
+        spark.createDataFrame([(g,) for g in gone], "rid bigint"), done, available_seats(spark.createDataFrame(have, SEAT), done),
         key=["rid"], rac_capacity=3, hot_rows=hot_rows,
     ).collect()
     want = {}
@@ -132,7 +140,7 @@ def test_partition_count_does_not_matter(spark):
     results = []
     for n in ("3", "20"):
         spark.conf.set("spark.sql.shuffle.partitions", n)
-        results.append(rows(al.allocate(spark.createDataFrame(ask, REQUEST), spark.createDataFrame(have, SEAT), ["rid"], id_slice("rid"))))
+        results.append(rows(allocate(spark.createDataFrame(ask, REQUEST), spark.createDataFrame(have, SEAT), ["rid"], id_slice("rid"))))
     spark.conf.set("spark.sql.shuffle.partitions", "2")
     assert results[0] == results[1]
 
@@ -141,7 +149,7 @@ def test_availability(spark):
     free = spark.createDataFrame([(1, 1, 9, "S1")], SEAT)
     queue = spark.createDataFrame([(2, 1, "RAC")] * 3 + [(3, 1, "RAC")] * 8 + [(3, 1, "WL")] * 2, "schedule_id bigint, class_no bigint, status string")
     asked = spark.createDataFrame([(i, 1) for i in (1, 2, 3, 4)], "schedule_id bigint, class_no bigint")
-    got = al.availability_status(asked, free, queue)
+    got = availability_status(asked, free, queue)
     assert rows(got.drop("class_no")) == [(1, "Available", 1, None), (2, "RAC", None, 4), (3, "Waitlist", None, 3), (4, "RAC", None, 1)]
 
 
@@ -170,3 +178,15 @@ def test_first_coach_only(spark):
     coaches = spark.createDataFrame([(7, 1, 1), (8, 1, 1), (9, 1, 2)], "coach_id bigint, train_id bigint, class_no bigint")
     seats = spark.createDataFrame([(1, 1, 7, "S1"), (1, 1, 8, "S1"), (1, 2, 9, "S1")], SEAT)
     assert rows(al.first_coach_only(seats, coaches).select("coach_id")) == [(7,), (9,)]
+
+
+def test_seats_are_sold_per_date(spark):
+    one, two = dt.date(2025, 1, 1), dt.date(2025, 1, 2)
+    seats = spark.createDataFrame([(1, one, 1, 10, "S1"), (1, two, 1, 10, "S1")], "schedule_id bigint, journey_date date, class_no bigint, coach_id bigint, seat_no string")
+    ask = spark.createDataFrame([(i, 1, one, 1) for i in (1, 2, 3)], "rid bigint, schedule_id bigint, journey_date date, class_no bigint")
+    done = al.allocate(ask, seats, ["rid"], id_slice("rid"))
+    assert rows(done.select("rid", "status", "seat_no", "queue_no")) == [(1, "Confirmed", "S1", None), (2, "RAC", None, 1), (3, "RAC", None, 2)]
+    assert rows(al.available_seats(seats, done).select("journey_date")) == [(two,)]
+    assert rows(al.seat_status(seats, done).select("journey_date", "is_booked")) == [(one, True), (two, False)]
+    after = al.cancel(spark.createDataFrame([(1,)], "rid bigint"), done, key=["rid"])
+    assert rows(after.select("rid", "status", "seat_no", "queue_no")) == [(1, "cancelled", None, None), (2, "Confirmed", "S1", None), (3, "RAC", None, 1)]

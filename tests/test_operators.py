@@ -28,7 +28,7 @@ def test_pnr_is_repeatable(spark):
     df = spark.range(3).select(pnr("id", dt.datetime(2002, 1, 1)).alias("p"))
     first = [r.p for r in df.collect()]
     assert first == [r.p for r in df.collect()]
-    assert all(p.endswith("1009843200") and len(p) == 16 for p in first)
+    assert all(p.endswith("1009843200") and len(p) == 20 for p in first)
 
 
 @pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
@@ -178,7 +178,8 @@ def test_join_loss(spark):
 
 @pytest.mark.parametrize("hot_rows", [1_000_000, 1])
 def test_double_bookings(spark, hot_rows):
-    df = spark.createDataFrame([(3, 1), (1, 1), (2, 2), (5, 1)], "id bigint, seat int")
+    held = [(3, 1, "Confirmed"), (1, 1, "Confirmed"), (2, 2, "Confirmed"), (5, 1, "Confirmed"), (4, 1, "RAC"), (6, None, "RAC"), (7, None, "RAC"), (8, None, "Confirmed"), (9, 1, None)]
+    df = spark.createDataFrame(held, "id bigint, seat int, status string")
     got = audit.double_bookings(df, ["id"], F.floor(F.col("id") / 2), ["seat"], hot_rows)
     assert rows(got.select("id", "claim_no")) == [(3, 2), (5, 3)]
 
@@ -210,3 +211,40 @@ def test_declared_rules_name_declared_columns():
         used += [(t, c) for t, cs in required.items() for c in cs] + [(t, c) for t, cs in lengths.items() for c, _ in cs]
         used += [(t, c) for t, c, _, _ in foreign] + [(t, c) for _, _, t, c in foreign]
         assert [u for u in used if u[1] not in columns[u[0]]] == []
+
+
+def test_refused_registrations_own_nothing(spark):
+    raw = spark.createDataFrame(
+        [(1, "a", "x@m"), (2, "b", "x@m"), (3, "b", "y@m"), (4, "c", "y@m"), (5, "c", "z@m"), (6, "c", "w@m")], "user_id bigint, username string, email string"
+    )
+    text = {c: F.lit(None).cast("string") for c in ("phone_secondary", "user_type", "card_number", "card_expiry", "card_holder", "upi_id")}
+    got = ingest.ingest_users(raw.withColumns({"dob": F.lit(dt.date(2000, 1, 1)), "phone_primary": F.lit("1"), **text}), dt.datetime(2025, 1, 1))
+    assert rows(got.users.select("user_id")) == [(1,), (3,), (5,)]
+    assert rows(got.rejects.select("user_id", "reason")) == [(2, ingest.TAKEN_EMAIL), (4, ingest.TAKEN_EMAIL), (6, ingest.TAKEN_NAME)]
+
+
+def test_no_booking_vanishes(spark):
+    person = '{"name": "n", "age": 3, "concession": "None"}'
+    bookings = spark.createDataFrame(
+        [(1, 1, f"[{person}, {person}, {person}]"), (2, 1, "no list"), (3, 9, f"[{person}]"), (4, 1, "[]"), (5, 1, None)], "booking_id bigint, train_id bigint, passengers string"
+    ).withColumns({"class_no": F.lit(1), "src_station": F.lit(1), "dst_station": F.lit(2), "schedule_id": F.lit(1), "journey_date": F.lit(dt.date(2025, 1, 1))})
+    fares = spark.createDataFrame([(1, 1, 1, 2, Decimal("10.00"))], "train_id bigint, class_no int, src_station int, dst_station int, fixed_fare decimal(10,2)")
+    seats = spark.createDataFrame([(1, dt.date(2025, 1, 1), 1, 10, "S1")], "schedule_id int, journey_date date, class_no int, coach_id bigint, seat_no string")
+    tickets, rejects = booking.book_groups(bookings, fares, seats, dt.datetime(2025, 1, 1), cap=2)
+    assert rows(tickets.select("booking_id", "passenger_no", "status")) == [(1, 1, "Confirmed"), (1, 2, "RAC")]
+    assert rows(rejects.select("booking_id", "reason")) == [(1, booking.TOO_MANY), (2, booking.NO_LIST), (3, booking.NO_FARE), (4, booking.NO_LIST), (5, booking.NO_LIST)]
+
+
+def test_refused_and_unpriced_requests_are_rejects(spark):
+    day = dt.date(2025, 1, 1)
+    asked = [(1, 1, "wallet", 1, 2), (2, 2, "wallet", 1, 2), (3, 1, "card", 1, 2), (4, 1, "card", 1, 7), (5, 1, None, 1, 2)]
+    requests = spark.createDataFrame(asked, "event_id bigint, user_id bigint, method string, from_station int, to_station int").withColumns(
+        {"route_id": F.lit(1), "train_id": F.lit(1), "class_no": F.lit(1), "schedule_id": F.lit(1), "journey_date": F.lit(day), "ts": F.lit(dt.datetime(2025, 1, 1)).cast("timestamp_ntz")}
+    )
+    stops = spark.createDataFrame([(1, 1, 0), (1, 2, 100)], "route_id int, station_id int, distance int")
+    coaches = spark.createDataFrame([(1, 1, 10, Decimal("50.00"))], "train_id int, class_no int, coach_id bigint, base_fare decimal(10,2)")
+    seats = spark.createDataFrame([(1, day, 1, 10, "S1")], "schedule_id int, journey_date date, class_no int, coach_id bigint, seat_no string")
+    opening = spark.createDataFrame([(1, Decimal("50.00")), (2, Decimal("49.99"))], "user_id bigint, balance decimal(12,2)")
+    tickets, rejects = booking.book_tickets(requests, stops, coaches, seats, opening, ["event_id"], None)
+    assert rows(tickets.select("event_id", "status")) == [(1, "Confirmed"), (3, "RAC"), (5, "RAC")]
+    assert rows(rejects.select("event_id", "reason")) == [(2, booking.NO_FUNDS), (4, booking.NO_FARE)]

@@ -8,10 +8,11 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import __spark_entry__ as entry  # noqa: E402
+from berth.plans import queries as plans  # noqa: E402
 from tools.check import compare, database  # noqa: E402
 
 SF = os.environ.get("BERTH_TEST_SF", "/root/testdata/sf0.001")
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = {name: q.run for name, q in plans.QUERIES.items()}, plans.oracles()
 
 
 @pytest.fixture(scope="module")
@@ -28,5 +29,9 @@ def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE)
 
 
+def test_all_are_registered():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
+
+
 def test_entry_has_rows(spark):
     assert not entry.entry(spark).isEmpty()
