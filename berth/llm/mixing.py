@@ -5,8 +5,9 @@ source's target over its size, times the document's own appeal if there is a col
 it. The whole part of them is certain; the fraction is its inclusion probability p. With
 a uniform u drawn from the document's digest, documents rank by (u / (1 - u)) / (p / (1 -
 p)), random odds over inclusion odds, and are taken in that order as long as the words
-still missing allow: a sample of fixed size in words and unequal probabilities. One more
-document, the one whose size is nearest to the gap that is left, closes it.
+still missing allow: a sample of fixed size in words and unequal probabilities. A document
+that would overshoot ends that; ``FILL`` times the largest one that fits into the gap that
+is left is added, and at last the one whose size is nearest to it, if that helps.
 
 The cut is found from a histogram of the ranks per source; only the rows in the bin of
 the cut, one in thousands, are ordered exactly. What is grouped by source is combined
@@ -27,7 +28,7 @@ from berth.llm.common import WORD
 from berth.session import durable
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
-BINS = 4096
+BINS, FILL = 4096, 4
 
 
 def words(text: Column) -> Column:
@@ -120,11 +121,22 @@ def plan(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHA
     edge = edge.withColumn("__upto", F.col("__before") + F.sum("__size").over(Window.partitionBy("__source").orderBy("__rank")))
     edge = edge.where(F.col("__upto") <= F.col("__rest")).groupBy("__source").agg(F.max("__rank").alias("__last"), F.max("__upto").alias("__got"))
     sources = sources.join(edge.withColumnRenamed("__source", "s"), F.col("__source").eqNullSafe(F.col("s")), "left").drop("s")
-    sources = durable(sources.withColumn("__gap", F.col("__rest") - F.coalesce("__got", "__before")).drop("__got"))
-    away = F.abs(F.col("__size") - F.col("__gap"))
-    more = _drawn(rows, sources, most).where(F.col("__rank").isNotNull() & ~_inside() & (away < F.col("__gap")))
-    more = more.groupBy("__source").agg(F.min(F.struct(away.alias("a"), F.col("__rank").alias("r"))).alias("m")).select(F.col("__source").alias("s"), F.col("m.r").alias("__more"))
-    return durable(sources.join(more, F.col("__source").eqNullSafe(F.col("s")), "left").drop("s"))
+    sources = sources.withColumns({"__gap": F.col("__rest") - F.coalesce("__got", "__before"), "__more": F.array().cast("array<double>")}).drop("__got")
+    for k in range(FILL + 1):
+        sources = durable(sources)
+        left = _drawn(rows, sources, most).where(F.col("__rank").isNotNull() & ~_inside() & ~F.array_contains("__more", F.col("__rank")))
+        away = F.abs(F.col("__size") - F.col("__gap"))
+        if k < FILL:
+            left = left.where((F.col("__size") > 0) & (F.col("__size") <= F.col("__gap")))
+            pick = F.max(F.struct(F.col("__size").alias("s"), (-F.col("__rank")).alias("r"), (-F.col("__size")).alias("x")))
+        else:
+            left = left.where(away < F.col("__gap"))
+            pick = F.min(F.struct(away.alias("x"), F.col("__rank").alias("r"), F.col("__size").alias("s")))
+        picks = left.groupBy(F.col("__source").alias("s")).agg(pick.alias("pick"))
+        sources = sources.join(picks, F.col("__source").eqNullSafe(F.col("s")), "left").drop("s")
+        added = F.when(F.col("pick").isNull(), F.col("__more")).otherwise(F.array_append("__more", F.abs(F.col("pick.r"))))
+        sources = sources.withColumns({"__more": added, "__gap": F.col("__gap") - F.coalesce("pick.s", F.lit(0))}).drop("pick")
+    return durable(sources)
 
 
 def _inside() -> Column:
@@ -136,7 +148,7 @@ def _inside() -> Column:
 def copies(rows: DataFrame, sources: DataFrame, most: float = MOST) -> DataFrame:
     """``rows`` with __copies, the whole number of times that the mix takes each."""
     drawn = _drawn(rows, sources, most)
-    sampled = F.col("__rank").isNotNull() & (_inside() | F.coalesce(F.col("__rank") == F.col("__more"), F.lit(False)))
+    sampled = F.col("__rank").isNotNull() & (_inside() | F.coalesce(F.array_contains("__more", F.col("__rank")), F.lit(False)))
     return drawn.withColumn("__copies", F.col("__whole") + sampled.cast("long"))
 
 
@@ -165,6 +177,11 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     return out.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
 
 
+_FILLED = """f{j} AS (
+  SELECT * EXCLUDE (pick) REPLACE (inside OR coalesce(q = -pick.q, false) AS inside, gap - coalesce(pick.s, 0) AS gap)
+  FROM (SELECT *, max(CASE WHEN q IS NOT NULL AND NOT inside AND size > 0 AND size <= gap THEN {{'s': size, 'q': -q}} END) OVER (PARTITION BY source) AS pick FROM f{i})
+), """
+
 SQL = rf"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size,
@@ -189,8 +206,10 @@ WITH d AS (
   SELECT *, CASE WHEN q IS NOT NULL THEN sum(CASE WHEN q IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY q) END AS upto FROM q
 ), g AS (
   SELECT *, coalesce(upto <= rest, false) AS inside, rest - coalesce(max(CASE WHEN upto <= rest THEN upto END) OVER (PARTITION BY source), 0) AS gap FROM c
-), m AS (
-  SELECT *, min(CASE WHEN q IS NOT NULL AND NOT inside AND abs(size - gap) < gap THEN {{'a': abs(size - gap), 'q': q}} END) OVER (PARTITION BY source) AS more FROM g
+), f0 AS (
+  SELECT * FROM g
+), """ + "".join(_FILLED.format(i=i, j=i + 1) for i in range(FILL)) + f"""m AS (
+  SELECT *, min(CASE WHEN q IS NOT NULL AND NOT inside AND abs(size - gap) < gap THEN {{'a': abs(size - gap), 'q': q}} END) OVER (PARTITION BY source) AS more FROM f{FILL}
 )
 SELECT doc_id, size, total AS source_size, target, CAST((whole + CASE WHEN inside OR coalesce(q = more.q, false) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken,
   CAST(whole + CASE WHEN inside OR coalesce(q = more.q, false) THEN 1 ELSE 0 END AS BIGINT) AS copies
