@@ -3,9 +3,10 @@
 Vectors link when their labels are equal and their cosine is ``LEAST`` or more; for unit
 vectors that is a distance of sqrt(2 - 2 * LEAST) at most. Equal vectors of a label are one
 class, joined once and counted as often as they occur. Every class belongs to the cell of
-its nearest pivot. By the triangle inequality a vector y of another cell can only be within
-reach of x if d(x, its pivot) - d(x, own pivot) is at most twice the reach, and if d(x, its
-pivot) is at most the reach beyond that cell's radius; x is copied into those cells. Each
+its nearest pivot. A vector of another cell can only be within reach of x if x is within
+reach of the plane between the two pivots, which (d(x, its pivot)^2 - d(x, own pivot)^2) /
+(2 d(pivots)) tells and the triangle inequality bounds, and if d(x, its pivot) is at most
+the reach beyond that cell's radius; x is copied into those cells. Each
 cell is joined on its own, its own vectors against all in it, so each vector finds all its
 links in its own cell, once.
 
@@ -37,7 +38,7 @@ from berth.session import durable
 
 LEAST = 0.98
 #: Pivots at most; classes for which there is one; vectors in a block.
-PIVOTS, PER_PIVOT, BLOCK = 1024, 2000, 1024
+PIVOTS, PER_PIVOT, BLOCK = 1024, 5000, 1024
 _CLOSE = 1e-12
 
 
@@ -80,7 +81,8 @@ def _assigned(batches: Iterator[pa.RecordBatch], pivots: dict[int, np.ndarray],
             inside = np.zeros(d.shape, bool)
             if radii is not None:
                 limit = np.array([radii.get(int(k), -np.inf) for k in range(len(points))])
-                inside = (d - nearest[:, None] <= 2 * reach) & (d <= limit + reach)
+                apart = np.maximum(_distances(points, points), _CLOSE)[home]
+                inside = ((d * d - (nearest * nearest)[:, None]) / (2 * apart) <= reach) & (d <= limit + reach)
             inside[np.arange(len(rows)), home] = True
             r, c = np.nonzero(inside)
             parts.append((rows[r], c, home[r] == c, d[r, c]))
