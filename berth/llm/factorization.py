@@ -30,7 +30,7 @@ SAMPLE = 3000
 BUCKETS, RANK = 1 << 18, 8
 EPOCHS, BATCH, RATE, DECAY = 25, 128, 0.1, 2e-4
 #: A bucket needs this many documents, and this many standard errors between the labels or this share of all.
-LEAST_DOCS, LEAST_ERRORS, COMMON = 4, 4.0, 0.02
+LEAST_DOCS, LEAST_ERRORS, COMMON = 4, 4.5, 0.25
 KNOWN = 300_000
 _words = re.compile(r"[^\W\d_]+").findall
 
