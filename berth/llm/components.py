@@ -17,15 +17,18 @@ def components(edges: DataFrame) -> DataFrame:
     are shuffled; nodes with many neighbours meet theirs in joins that Spark can split.
     """
     now = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct())
-    state = None
-    while True:
-        found = now.agg(F.count("*"), F.bit_xor(F.xxhash64("x", "y"))).first()
-        if tuple(found) == state or not found[0]:
-            return now.select(F.col("x").alias("node"), F.col("y").alias("root"))
-        state = tuple(found)
+    while not _stars(now):
         both = now.select(F.col("x").alias("u"), F.col("y").alias("v")).union(now.select("y", "x"))
         lowest = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = durable(both.join(lowest, "u").where("v > u").select(F.col("v").alias("x"), F.col("m").alias("y")).distinct())
         lowest = durable(large.groupBy("x").agg(F.min("y").alias("m")))
         small = large.join(lowest, "x").where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y"))
         now = durable(small.union(lowest).distinct())
+    return now.select(F.col("x").alias("node"), F.col("y").alias("root"))
+
+
+def _stars(now: DataFrame) -> bool:
+    """Whether every x has one y, which is no x itself."""
+    several = now.groupBy("x").agg(F.count("*").alias("n")).where("n > 1").select("x")
+    inner = now.select(F.col("y").alias("x")).join(now.select(F.col("x").alias("x_")), F.col("x") == F.col("x_"), "left_semi")
+    return several.isEmpty() and inner.isEmpty()
