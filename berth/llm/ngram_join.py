@@ -48,7 +48,7 @@ SHINGLE = 5
 #: Cells of the sketch; of each small band and way; ids above which a worker's memory of words starts anew.
 CELLS, SMALL_CELLS, KNOWN = 1 << 18, 1 << 14, 100_000
 #: Parts of the universe in which shingles are counted, for a bound on how much two sets differ.
-PARTS = 256
+PARTS = 64
 #: Largest size for which one-deletion neighbourhoods are weighed against more segments.
 SMALL = 15
 #: Estimated classes in a bucket above which it is salted.
@@ -267,14 +267,20 @@ def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     def check(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         for n, m, left, right in batches:
             x, y = (np.frombuffer(b"".join(side.to_pylist()), np.uint8).reshape(-1, PARTS).astype(np.int16) for side in (left, right))
-            n, m = n.to_numpy(), m.to_numpy()
-            similar = np.minimum(n, m) * 100 >= 80 * np.maximum(n, m)
-            yield pa.array(similar & (np.abs(x - y).sum(1) <= (n + m) // 9))
-
-    left, right = classes.select(F.col("cid").alias("a"), F.col("n").alias("n_"), F.col("profile").alias("x")), classes.select(F.col("cid").alias("b"), F.col("n").alias("m_"), F.col("profile").alias("y"))
-    rows = pairs.join(left, "a").join(right, "b")
+            yield pa.array(np.abs(x - y).sum(1) <= (n.to_numpy() + m.to_numpy()) // 9)
+
+    for side, size, counts in (("a", "n_", None), ("b", "m_", None), ("a", None, "x"), ("b", None, "y")):
+        # sizes first, as they are narrow
+        column = F.col("n").alias(size) if size else F.col("profile").alias(counts)
+        pairs = pairs.join(classes.select(F.col("cid").alias(side), column), side)
+        if size == "m_":
+            pairs = pairs.where(_sizes_fit("n_", "m_"))
     near = F.arrow_udf(check, "boolean").asNondeterministic()("n_", "m_", "x", "y")
-    return durable(rows.where(near).select("a", "b"))
+    return durable(pairs.where(near).select("a", "b"))
+
+
+def _sizes_fit(n: str, m: str) -> Column:
+    return F.least(n, m) * 100 >= F.greatest(n, m) * 80
 
 
 def _alike(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -321,13 +327,15 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     stars = durable(stars.union(leads).where("a <> b").distinct())
     linked = _alike(stars, classes, docs, key, text)
     roots = components(linked)
-    placed = durable(_rooted(members.select("sign", "cid").distinct(), roots))
-    counts = placed.groupBy("sign", "root").agg(F.count("*").alias("n"))
-    mixed = durable(counts.groupBy("sign").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.count("*").alias("k")).where("k > 1").drop("k"))
+    sizes = classes.select(F.col("cid").alias("node"), "n")
+    placed = _rooted(members.select("sign", "cid").distinct(), roots).join(sizes, F.col("cid") == F.col("node")).drop("node")
+    placed = durable(placed)
+    counts = placed.groupBy("sign", "root").agg(F.count("*").alias("c"))
+    mixed = durable(counts.groupBy("sign").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.count("*").alias("k")).where("k > 1").drop("k"))
     within = durable(placed.join(mixed, "sign"))
-    other = within.select("sign", F.col("cid").alias("cid_"), F.col("root").alias("root_"))
+    other = within.select("sign", F.col("cid").alias("cid_"), F.col("root").alias("root_"), F.col("n").alias("n_"))
     minor = within.where("root <> major")
-    pairs = minor.join(other, "sign").where((F.col("root") != F.col("root_")) & ((F.col("root_") == F.col("major")) | (F.col("cid") < F.col("cid_"))))
+    pairs = minor.join(other, "sign").where(_sizes_fit("n", "n_") & (F.col("root") != F.col("root_")) & ((F.col("root_") == F.col("major")) | (F.col("cid") < F.col("cid_"))))
     pairs = pairs.select(F.least("cid", "cid_").alias("a"), F.greatest("cid", "cid_").alias("b")).distinct()
     pairs = durable(pairs.join(stars, ["a", "b"], "left_anti"))
     if not pairs.isEmpty():
