@@ -52,6 +52,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op1_substring_dedup"] = substring_dedup.SQL
 
 
+@query
+def op1_piece_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(table(spark, sf_dir, "documents"), unit="piece")
+
+
 def _scored(out: DataFrame, held_out: Column, least: float) -> DataFrame:
     held = F.coalesce(held_out, F.lit(False)).alias("held_out")
     return out.select("doc_id", "score", held).select("doc_id", "held_out", "score", (F.col("score") >= least).cast("int").alias("predicted"))

@@ -1,4 +1,4 @@
-"""Substring dedup by lines: of every recurring passage the earliest occurrence stays.
+"""Substring dedup by lines or pieces: of every recurring passage the earliest occurrence stays.
 
 Lines are normalised (A-Z to lower case, white space to single spaces) and digested. A
 digest that occurs more than once keeps its earliest occurrence: by key, null last, then
@@ -7,6 +7,13 @@ in a document, blank lines aside, that has ``RUN_WORDS`` words or more is a pass
 cut out; a shorter one, such as a heading or a licence line, stays. The offsets of what is
 cut refer to the original text, in characters.
 
+With ``unit="piece"`` the units don't depend on line breaks, so a passage inside a longer
+line or broken differently has digests of its own. A piece ends after the first word, from
+its ``PIECE_WORDS``th on, that ends in a sentence mark or whose own digest falls in one of
+``ENDS`` of 256 parts; both are found again wherever the words stand. Of a passage the
+words before its first such end, and after its last, share a piece with what stands beside
+it and stay. Offsets are those of a whole run, from its first word to its last.
+
 The earliest occurrence comes from a minimum that Spark combines before it shuffles, and
 only digests that recur meet the lines again, in a join whose hot keys Spark splits. What
 is gathered per document is bounded by the document.
@@ -19,15 +26,22 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from berth.session import durable
 
 RUN_WORDS = 30
+#: Least words of a piece, and in how many of 256 parts the digest of a word ends one.
+PIECE_WORDS, ENDS = 4, 32
+KNOWN = 300_000
+_SENTENCE = tuple(m.encode() for m in ".!?;:…。！？；：")
+_word_spans = re.compile(r"[^\x20\x09-\x0D]+").finditer
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _CUT = "struct<text: string, n_units: bigint, n_removed: bigint, starts: array<bigint>, ends: array<bigint>>"
 
@@ -44,7 +58,54 @@ def _units(docs: DataFrame, key: str, text: str) -> DataFrame:
     return lines.select(F.xxhash64("__line").alias("__d1"), F.xxhash64(F.lit("line"), "__line").alias("__d2"), rank.alias("__rank"))
 
 
-def _cut(run_words: int):
+class _Ends(dict):
+    """Whether a word (lower case, bytes) ends a piece."""
+
+    def __missing__(self, word: bytes) -> bool:
+        ends = word.endswith(_SENTENCE) or (xxhash.xxh32_intdigest(word) & 255) < ENDS
+        if len(self) >= KNOWN:
+            self.clear()
+        if len(word) <= 64:
+            self[word] = ends
+        return ends
+
+
+def piece_ends(words: list[bytes], known: dict) -> list[int]:
+    """Number of words up to the end of each piece."""
+    out, last = [], 0
+    for i, ends in enumerate(map(known.__getitem__, words), 1):
+        if ends and i - last >= PIECE_WORDS:
+            out.append(i)
+            last = i
+    return out if last == len(words) else [*out, len(words)]
+
+
+def _digests(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    known = _Ends()
+    for texts in batches:
+        sizes, first, second = [0], [], []
+        for text in texts.to_pylist():
+            words, at = (text or "").encode().lower().split(), 0
+            for end in piece_ends(words, known):
+                digest = xxhash.xxh3_128_digest(b" ".join(words[at:end]))
+                first.append(int.from_bytes(digest[:8], "big", signed=True))
+                second.append(int.from_bytes(digest[8:], "big", signed=True))
+                at = end
+            sizes.append(len(first))
+        digests = pa.StructArray.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64())], ["d1", "d2"])
+        yield pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), digests)
+
+
+def _pieces(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Pieces of the words: digest, rank and document."""
+    digests = F.arrow_udf(_digests, "array<struct<d1: bigint, d2: bigint>>").asNondeterministic()
+    found = docs.select(docs[key].alias("__key"), F.xxhash64(docs[text]).alias("__hash"), digests(docs[text]).alias("__found"))
+    found = found.select("__key", "__hash", F.posexplode("__found").alias("__pos", "__d"))
+    rank = F.struct(F.col("__key").isNull().alias("n"), F.col("__key").alias("k"), F.col("__hash").alias("h"), F.col("__pos").alias("p"))
+    return found.select(F.col("__d.d1").alias("__d1"), F.col("__d.d2").alias("__d2"), rank.alias("__rank"))
+
+
+def _cut(passages: Callable, run_words: int):
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, repeats in batches:
             found = [passages(t, r, run_words) for t, r in zip(texts.to_pylist(), repeats.to_pylist(), strict=True)]
@@ -78,28 +139,55 @@ def passages(text: str | None, repeats: list[int] | None, run_words: int = RUN_W
     return kept, sum(n > 0 for n in sizes), len(cut), [starts[i] for i in gone], [starts[i] + len(lines[i]) for i in gone]
 
 
-def annotate(docs: DataFrame, key: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
+def piece_passages(text: str | None, repeats: list[int] | None, run_words: int = RUN_WORDS) -> tuple:
+    """Text without the passages among the repeated pieces; pieces, pieces cut, offsets of the passages."""
+    if text is None:
+        return None, 0, 0, [], []
+    ends, again = piece_ends(text.encode().lower().split(), _Ends()), set(repeats or ())
+    runs, cut, run = [], 0, []
+    for i in range(len(ends) + 1):
+        if i in again:
+            run.append(i)
+            continue
+        first = ends[run[0] - 1] if run and run[0] else 0
+        if run and ends[run[-1]] - first >= run_words:
+            runs.append((first, ends[run[-1]] - 1))
+            cut += len(run)
+        run = []
+    if not runs:
+        return text, len(ends), 0, [], []
+    spans = [m.span() for m in _word_spans(text)]
+    starts, stops = [spans[a][0] for a, _ in runs], [spans[b][1] for _, b in runs]
+    kept = "".join(text[a:b] for a, b in zip([0, *stops], [*starts, len(text)], strict=True))
+    return kept, len(ends), cut, starts, stops
+
+
+UNITS = {"line": (_units, passages), "piece": (_pieces, piece_passages)}
+
+
+def annotate(docs: DataFrame, key: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS, unit: str = "line") -> DataFrame:
     """``docs`` with __cut: the text that stays, n_units, n_removed, and starts and ends of what goes."""
-    units = _units(docs, key, text)
+    find, cut_out = UNITS[unit]
+    units = find(docs, key, text)
     first = durable(units.groupBy("__d1", "__d2").agg(F.min("__rank").alias("__first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     again = units.join(first, ["__d1", "__d2"]).where(F.col("__rank") != F.col("__first"))
     again = again.groupBy(F.col("__rank.k").alias("__key_"), F.col("__rank.h").alias("__hash_")).agg(F.collect_list("__rank.p").alias("__again"))
     keyed = docs.withColumns({"__key": docs[key], "__hash": F.xxhash64(docs[text])})
     joined = keyed.join(again, F.col("__key").eqNullSafe(F.col("__key_")) & (F.col("__hash") == F.col("__hash_")), "left")
-    cut = F.arrow_udf(_cut(run_words), _CUT).asNondeterministic()
+    cut = F.arrow_udf(_cut(cut_out, run_words), _CUT).asNondeterministic()
     return joined.withColumn("__cut", cut(F.col(text), F.col("__again"))).drop("__key", "__hash", "__key_", "__hash_", "__again")
 
 
-def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
+def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS, unit: str = "line") -> DataFrame:
     """The documents, without their repeated passages."""
-    out = annotate(docs, key, text, run_words)
+    out = annotate(docs, key, text, run_words, unit)
     return out.select(*[F.col("__cut.text").alias(c) if c == text else F.col(c) for c in docs.columns])
 
 
-def report(docs: DataFrame, key: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
+def report(docs: DataFrame, key: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS, unit: str = "line") -> DataFrame:
     """Per document: key, n_units, n_removed, removed (start:end, ...) and the text that stays."""
     spans = F.array_join(F.zip_with("__cut.starts", "__cut.ends", lambda a, b: F.concat_ws(":", a, b)), ",")
-    out = annotate(docs.select(key, text), key, text, run_words)
+    out = annotate(docs.select(key, text), key, text, run_words, unit)
     return out.select(key, "__cut.n_units", "__cut.n_removed", spans.alias("removed"), "__cut.text")
 
 

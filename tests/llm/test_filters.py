@@ -48,6 +48,41 @@ def test_passages_go_from_all_but_the_earliest(spark, edge, empty):
     assert substring_dedup.report(empty).count() == 0
 
 
+def test_passages_inside_lines_go(spark, edge, empty):
+    """One stands inside a longer line, one is broken differently; line units see neither."""
+    passage = [f"p{i}" for i in range(80)]
+    own = {i: [f"own{i}x{k}" for k in range(40)] for i in (1, 2, 3)}
+    texts = {1: " ".join(own[1] + passage), 2: " ".join(own[2][:20] + passage + own[2][20:]), 3: "\n".join([*own[3], *(" ".join(passage[i : i + 7]) for i in range(0, 80, 7))])}
+    docs = frame(spark, [(i, t, "en", "a") for i, t in texts.items()])
+    assert {r["doc_id"]: r["text"] for r in substring_dedup.remove(docs).collect()} == texts
+    out = {r["doc_id"]: r for r in substring_dedup.report(docs, unit="piece").collect()}
+    assert out[1]["text"] == texts[1] and out[1]["removed"] == ""
+    for i in (2, 3):
+        (start, end), = [map(int, span.split(":")) for span in out[i]["removed"].split(",")]
+        gone = texts[i][start:end].split()
+        assert set(gone) <= set(passage) and len(gone) >= 55 and out[i]["text"] == texts[i][:start] + texts[i][end:]
+    kept = substring_dedup.remove(edge, unit="piece")
+    assert kept.columns == edge.columns and kept.count() == edge.count()
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert (2, None) in got and (3, "") in got and (4, " \n\t ") in got
+    assert [t for i, t in got if i == 1] == [rows_of(edge, 1)] * 2
+    assert substring_dedup.report(empty, unit="piece").count() == 0
+
+
+def test_pieces_are_their_plain_version(spark, rules_sf):
+    rows = sorted((r["doc_id"], r["text"]) for r in rules_sf.collect())
+    first, want = {}, {}
+    for i, text in rows:
+        words, at, again = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)), 0, []
+        for p, end in enumerate(substring_dedup.piece_ends([w.encode() for w in words], substring_dedup._Ends())):
+            if first.setdefault(tuple(words[at:end]), (i, p)) != (i, p):
+                again.append(p)
+            at = end
+        want[i] = substring_dedup.piece_passages(text, again)[0]
+    assert {r["doc_id"]: r["text"] for r in substring_dedup.remove(rules_sf, unit="piece").collect()} == want
+    assert any(want[i] != text for i, text in rows)
+
+
 def rows_of(df, key):
     return next(r["text"] for r in df.collect() if r["doc_id"] == key)
 
