@@ -2,8 +2,10 @@
 
 Each text becomes a vector of transformed statistics. Per language and source a
 minimum-covariance-determinant estimate gives the centre and the covariance of the
-bulk: from a start by medians, concentration steps keep the share ``CORE`` of the rows
-nearest to the centre and estimate anew, over all rows of the group. A document whose
+bulk: from each of three starts, concentration steps keep the share ``CORE`` of the rows
+nearest to the centre and estimate anew, over all rows of the group, until no determinant
+falls any more or ``STEPS`` are done; the start that ends at the least determinant counts.
+As the core is half of the rows, up to that share of junk is outside it. A document whose
 Mahalanobis distance from the bulk is beyond the cut-off goes, as does one that fails
 the base rules (too short, or mostly repetition).
 
@@ -35,10 +37,12 @@ from pyspark.sql import functions as F
 from berth.session import durable
 
 LEAST_WORDS, MOST_REPEATED = 50, 0.5
-#: Share of a group in the core, concentration steps, rows that a group's own estimate needs.
-CORE, STEPS, LEAST_GROUP = 0.75, 4, 100
-#: What makes the covariance of the inner three quarters that of a normal bulk in seven dimensions.
-CONSISTENCY = 1.325
+#: Share of a group in the core, concentration steps at most, rows that a group's own estimate needs.
+CORE, STEPS, LEAST_GROUP = 0.5, 10, 100
+#: What makes the covariance of the inner half that of a normal bulk in seven dimensions.
+CONSISTENCY = 1.695
+#: Fall of a logarithm of a determinant that still counts.
+SETTLED = 1e-4
 #: Squared Mahalanobis distance above which a document goes.
 CUTOFF = 60.0
 
@@ -102,17 +106,18 @@ _PAIRS = [(i, j) for i in range(_P) for j in range(i, _P)]
 
 
 def _estimate(n: pa.Array, sums: pa.Array, products: pa.Array) -> pa.Array:
-    """Centre and inverse covariance from sums; the upper triangle with doubled off-diagonal."""
-    floors, means, precisions = np.array(list(FLOORS.values())), [], []
+    """Centre, inverse covariance (upper triangle, off-diagonal doubled) and logarithm of its determinant from sums."""
+    floors, means, precisions, sizes = np.array(list(FLOORS.values())), [], [], []
     for count, total, product in zip(n.to_pylist(), sums.to_pylist(), products.to_pylist(), strict=True):
         mean, cov = np.array(total) / count, np.zeros((_P, _P))
         for (i, j), v in zip(_PAIRS, product, strict=True):
             cov[i, j] = cov[j, i] = CONSISTENCY * (v / count - mean[i] * mean[j])
         inverse = np.linalg.inv(cov + np.diag(floors**2))
+        sizes.append(float(np.linalg.slogdet(cov + np.diag(floors**2))[1]))
         means.append(mean)
         precisions.append([inverse[i, j] * (1 + (i != j)) for i, j in _PAIRS])
     kind = pa.list_(pa.float64())
-    return pa.StructArray.from_arrays([pa.array(means, kind), pa.array(precisions, kind)], ["mean", "precision"])
+    return pa.StructArray.from_arrays([pa.array(means, kind), pa.array(precisions, kind), pa.array(sizes, pa.float64())], ["mean", "precision", "size"])
 
 
 def _distance(at: str, fit: str) -> Column:
@@ -142,22 +147,34 @@ def estimates(rows: DataFrame) -> DataFrame:
     levels = F.array(F.struct(F.lit(0).alias("l"), "__lang", "__source"), F.struct(F.lit(1).alias("l"), "__lang", F.lit(None).cast("string").alias("__source")), F.struct(F.lit(2).alias("l"), F.lit(None).cast("string").alias("__lang"), F.lit(None).cast("string").alias("__source")))
     rows = rows.select("__stats", F.explode(levels).alias("g")).select("__stats", F.col("g.l").alias("__level"), "g.__lang", "g.__source")
     x = [F.col(f"__stats.{c}") for c in FLOORS]
-    medians = rows.groupBy(*_GROUP).agg(F.count("*").alias("__n"), F.array(*[F.percentile_approx(c, 0.5, 1000) for c in x]).alias("__median"))
+    middles = [F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5)), 1000) for c in x]
+    medians = rows.groupBy(*_GROUP).agg(F.count("*").alias("__n"), *[F.array(*[m[k] for m in middles]).alias(c) for k, c in enumerate(("__quarter", "__median"))])
     medians = durable(medians.where(F.col("__n") >= LEAST_GROUP))
     spreads = [F.percentile_approx(F.abs(c - F.col("__median")[i]), 0.5, 1000) for i, c in enumerate(x)]
-    diagonal = [F.pow(1.4826 * s + f, F.lit(-2.0)) for s, f in zip(spreads, FLOORS.values(), strict=True)]
-    at = {(i, i): d for i, d in enumerate(diagonal)}
-    precision = F.array(*[at.get(p, F.lit(0.0)) for p in _PAIRS])
-    start = _with(rows, medians).groupBy(*_GROUP).agg(F.first("__median").alias("__median"), precision.alias("__precision"))
-    estimate = F.arrow_udf(_estimate, "struct<mean: array<double>, precision: array<double>>")
-    fit = durable(start.select(*_GROUP, F.struct(F.col("__median").alias("mean"), F.col("__precision").alias("precision")).alias("__fit")))
+
+    def diagonal(widths: list[Column]) -> Column:
+        at = {(i, i): F.pow(w, F.lit(-2.0)) for i, w in enumerate(widths)}
+        return F.array(*[at.get(p, F.lit(0.0)) for p in _PAIRS])
+
+    wide = diagonal([1.4826 * s + f for s, f in zip(spreads, FLOORS.values(), strict=True)])
+    start = _with(rows, medians).groupBy(*_GROUP).agg(F.first("__median").alias("__median"), F.first("__quarter").alias("__quarter"), wide.alias("__wide"))
+    narrow = diagonal([F.lit(f) for f in FLOORS.values()])
+    starts = [(F.col("__median"), F.col("__wide")), (F.col("__median"), narrow), (F.col("__quarter"), F.col("__wide"))]
+    starts = [F.struct(F.lit(k).alias("k"), F.struct(m.alias("mean"), p.alias("precision"), F.lit(math.inf).alias("size")).alias("fit")) for k, (m, p) in enumerate(starts)]
+    start = start.select(*_GROUP, F.explode(F.array(*starts)).alias("__s"))
+    fit = durable(start.select(*_GROUP, F.col("__s.k").alias("__start"), F.col("__s.fit").alias("__fit")))
+    estimate = F.arrow_udf(_estimate, "struct<mean: array<double>, precision: array<double>, size: double>")
+    each = [*_GROUP, "__start"]
     for _ in range(STEPS):
         away = _with(rows, fit).withColumn("__d", _distance("__stats", "__fit"))
-        limits = durable(_with(fit, away.groupBy(*_GROUP).agg(F.percentile_approx("__d", CORE, 1000).alias("__limit"))))
+        limits = durable(away.groupBy(*each).agg(F.first("__fit").alias("__fit"), F.percentile_approx("__d", CORE, 1000).alias("__limit")))
         core = _with(rows, limits).where(_distance("__stats", "__fit") <= F.col("__limit"))
-        sums = core.groupBy(*_GROUP).agg(F.count("*").alias("n"), F.array(*[F.sum(c) for c in x]).alias("s"), F.array(*[F.sum(x[i] * x[j]) for i, j in _PAIRS]).alias("p"))
-        fit = durable(sums.select(*_GROUP, estimate("n", "s", "p").alias("__fit")))
-    return fit
+        sums = core.groupBy(*each).agg(F.first("__fit.size").alias("__before"), F.count("*").alias("n"), F.array(*[F.sum(c) for c in x]).alias("s"), F.array(*[F.sum(x[i] * x[j]) for i, j in _PAIRS]).alias("p"))
+        fit = durable(sums.select(*each, "__before", estimate("n", "s", "p").alias("__fit")))
+        falls, fit = fit.where(F.col("__before") - F.col("__fit.size") > SETTLED), fit.drop("__before")
+        if falls.isEmpty():
+            break
+    return fit.groupBy(*_GROUP).agg(F.min_by("__fit", F.struct("__fit.size", "__start")).alias("__fit"))
 
 
 def judge(rows: DataFrame, fits: DataFrame) -> DataFrame:

@@ -190,6 +190,17 @@ def test_rules_are_brute_force(spark, monkeypatch, edge, empty):
     assert quality_rules.assess(empty).count() == 0 and quality_rules.filter_documents(empty).count() == 0
 
 
+def test_junk_of_two_fifths_is_rejected(spark):
+    """A core of three quarters takes such junk for the bulk."""
+    rng = np.random.default_rng(3)
+    words = lambda some: " ".join("".join(rng.choice(list("abcdefghij"), rng.integers(2, 9))) for _ in range(some)) + "."
+    clean = [words(rng.integers(60, 90)) for _ in range(180)]
+    junk = [" ".join(w + "#$%"[: rng.integers(1, 4)] for w in words(70).split()) for _ in range(120)]
+    rows = [(i, t, "en", "hot") for i, t in enumerate(clean + junk)]
+    kept = {r["doc_id"] for r in quality_rules.filter_documents(frame(spark, rows)).collect()}
+    assert kept == set(range(180))
+
+
 def test_pipeline_is_its_plain_version(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = {r["doc_id"]: r.asDict() for r in docs.collect()}
