@@ -60,6 +60,21 @@ def search_trips(b: Bound) -> DataFrame:
     return search.search_trips_by_key(b.searches, b.trains, b.services, b.stops, b.coaches, active="Running")
 
 
+@query(
+    "search_trips_full",
+    "from_station bigint, to_station bigint, journey_date date, train_id bigint, train_name string, train_type string, "
+    "schedule_id bigint, dep_s bigint, arr_s bigint, distance bigint, running_days string, class_name string, "
+    "coach_no string, available_seats bigint, base_fare decimal(10,2), fare decimal(10,2)",
+    f"""SELECT r.from_station, r.to_station, r.journey_date, f.train_id, f.train_name, f.train_type, f.schedule_id, f.dep_s, f.arr_s,
+               f.distance, f.running_days, f.class_name, f.coach_no, f.available_seats, f.base_fare, f.fare
+        FROM b_routed r JOIN ({_OFFERS}) f ON r.from_station = f.from_station AND r.to_station = f.to_station
+             AND r.season = f.season AND f.weekday = strftime(r.journey_date, '%a')""",
+)
+def search_trips_full(b: Bound) -> DataFrame:
+    """Every offer of every request."""
+    return search.search_trips(b.searches, b.trains, b.services, b.stops, b.coaches, active="Running")
+
+
 @query(
     "search_trips_cheapest",
     "from_station bigint, to_station bigint, journey_date date, n_offers bigint, min_fare decimal(10,2), first_dep_s bigint",
@@ -114,6 +129,26 @@ def find_dated_trips(b: Bound) -> DataFrame:
     return search.first_by_duration(search.find_dated_trips(b.searches, b.trains, dated, b.stops))
 
 
+@query(
+    "find_dated_trips_full",
+    "from_station bigint, to_station bigint, journey_date date, schedule_id bigint, train_id bigint, train_name string, "
+    "train_type string, dep_s bigint, arr_s bigint, distance bigint, duration_s bigint, elapsed_s bigint",
+    """SELECT r.from_station, r.to_station, r.journey_date, s.schedule_id, t.train_id, t.train_name, t.train_type, o.dep_s, d.arr_s,
+              d.distance - o.distance AS distance, d.arr_s - o.dep_s AS duration_s,
+              ((d.arr_s - o.dep_s) % 86400 + 86400) % 86400 AS elapsed_s
+       FROM (SELECT DISTINCT from_station, to_station, journey_date, season FROM b_routed) r
+       JOIN b_stops o ON o.station_id = r.from_station
+       JOIN b_stops d ON d.station_id = r.to_station AND d.route_id = o.route_id AND o.stop_no < d.stop_no
+       JOIN b_services s ON s.train_id = o.route_id AND s.season = r.season
+            AND contains(s.running_days, strftime(r.journey_date, '%a'))
+       JOIN b_trains t ON t.train_id = s.train_id""",
+)
+def find_dated_trips_full(b: Bound) -> DataFrame:
+    """Every dated trip of every request with its durations."""
+    dated = inventory.expand_services(b.services, dt.date(SEASONS[0], 1, 1), dt.date(SEASONS[1], 12, 31))
+    return search.find_dated_trips(b.searches, b.trains, dated, b.stops)
+
+
 @query(
     "trip_durations",
     "train_id bigint, from_station bigint, to_station bigint, duration_s bigint, elapsed_s bigint, source string, target string",

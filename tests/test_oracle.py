@@ -35,3 +35,10 @@ def test_all_are_registered():
 
 def test_entry_has_rows(spark):
     assert not entry.entry(spark).isEmpty()
+
+
+def test_full_answers_hold_the_folded_ones(spark):
+    dated, folded = (QUERIES[n](spark, SF) for n in ("find_dated_trips_full", "find_dated_trips"))
+    assert dated.count() == folded.agg({"n_trips": "sum"}).first()[0]
+    offers, keyed = (QUERIES[n](spark, SF) for n in ("search_trips_full", "search_trips"))
+    assert offers.count() == keyed.agg({"n_requests": "sum"}).first()[0]
