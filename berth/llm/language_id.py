@@ -5,7 +5,8 @@ backward, and both states together give every byte its language probabilities. T
 over all bytes of the whole text is the document's. The network is trained in numpy by
 backpropagation through time, every byte of a window towards the language of its document,
 on a bounded sample: of each language the ``SAMPLE`` documents, about, whose keys have the
-smallest digests, and ``TAKEN`` windows of each. Scoring runs on the executors.
+smallest digests, and ``TAKEN`` windows of each. All languages are learned; above ``MANY`` of
+them each has fewer documents, but not under ``FEWEST``. Scoring runs on the executors.
 
 Documents without a language teach nothing; neither do those without a letter. A null
 text, or one without a letter, is ``und`` with score 0, as is every text when nothing was
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, TAKEN, MOST_LANGUAGES = 300, 6, 200
+SAMPLE, TAKEN, MANY, FEWEST = 300, 6, 200, 20
 WINDOW, HIDDEN = 64, 8
 STEPS, BATCH, RATE = 500, 192, 0.02
 #: Windows that run through the network at once.
@@ -163,14 +164,15 @@ def train(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
     """A network from the labelled rows that ``learn`` (a condition on the key) lets pass; None without any."""
     rows = docs.select(F.col(key), F.col(lang).alias("__lang"), F.col(text).alias("__text"))
     rows = rows.where(learn & F.col("__lang").isNotNull() & has_letter(F.col("__text")) & F.col(key).isNotNull())
-    counts = rows.groupBy("__lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "__lang").limit(MOST_LANGUAGES).collect()
+    counts = rows.groupBy("__lang").agg(F.count("*").alias("n")).collect()
     if not counts:
         return None
     languages = sorted(r["__lang"] for r in counts)
-    rates = F.create_map(*[F.lit(x) for r in counts for x in (r["__lang"], min(1.0, SAMPLE / r["n"]))])
+    each = min(SAMPLE, max(FEWEST, SAMPLE * MANY // len(languages)))
+    rates = docs.sparkSession.createDataFrame([(r["__lang"], min(1.0, each / r["n"])) for r in counts], "__lang string, __rate double")
     drawn = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)) / float(1 << 30)
     taken = F.arrow_udf(lambda texts: pa.array([_windows(t) for t in texts.to_pylist()], pa.list_(pa.binary())), "array<binary>").asNondeterministic()
-    sample = rows.where(drawn < rates[F.col("__lang")]).orderBy(F.xxhash64(key), key).limit(2 * SAMPLE * len(languages))
+    sample = rows.join(F.broadcast(rates), "__lang").where(drawn < F.col("__rate")).orderBy(F.xxhash64(key), key).limit(2 * each * len(languages))
     found = sample.select("__lang", taken("__text").alias("w")).collect()
     place = {name: i for i, name in enumerate(languages)}
     windows = [(np.frombuffer(w, np.uint8), place[r["__lang"]]) for r in found for w in r["w"]]

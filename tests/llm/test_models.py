@@ -91,6 +91,13 @@ def test_languages(spark, edge, empty):
     assert {r["lang_pred"] for r in language_id.identify(edge, None).collect()} == {"und"}
 
 
+def test_no_language_is_dropped(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "STEPS", 3)
+    rows = [(3 * i + k, chr(0x4E00 + i) * 40, f"l{i:03}") for i in range(205) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language_id.train(docs, learn=F.lit(True)).languages == sorted({r[2] for r in rows})
+
+
 def test_all_positions_of_long_texts_count():
     net = language_id.Network(["x", "y"])
     text = bytes(range(97, 123)) * 30
