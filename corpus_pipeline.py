@@ -1,8 +1,8 @@
 """The corpus pipeline: quality rules, near duplicates, repeated passages, mix, token ids.
 
 Every stage takes all that the one before kept and returns the columns of documents; the
-last adds the ids of each text, packed as little-endian unsigned 32-bit integers, and
-their number, in place of the text. What a stage does with nulls, empty texts, repeated
+last adds the ids of each text, packed as little-endian unsigned 32-bit integers, their
+number and the digest of the bytes decoded from them, in place of the text. What a stage does with nulls, empty texts, repeated
 rows, empty tables and further columns is said by its operator; here a document with a
 null text fails the quality rules.
 """
@@ -38,10 +38,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text."""
-    out = bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ids="__ids")
-    kept = [c for c in docs.columns if c not in ("text", "ids", "n_tokens")]
-    return out.select(*kept, (F.octet_length("__ids") / 4).cast("long").alias("n_tokens"), F.col("__ids").alias("ids"))
+    """Token ids of every text, and the digest of what they decode to."""
+    out = bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ids="__ids", out="__decoded")
+    kept = [c for c in docs.columns if c not in ("text", "ids", "n_tokens", "decoded_sha256")]
+    return out.select(*kept, (F.octet_length("__ids") / 4).cast("long").alias("n_tokens"), F.col("__ids").alias("ids"), F.sha2("__decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [("rules", rules), ("near_duplicates", near_duplicates), ("passages", passages), ("mix", mix), ("token_ids", token_ids)]

@@ -1,4 +1,5 @@
 import base64
+import hashlib
 import math
 import re
 from collections import Counter
@@ -228,6 +229,13 @@ def test_pipeline_is_its_plain_version(spark):
     assert all(r["n_tokens"] * 4 == len(r["ids"]) for r in out.collect())
 
 
+def test_ids_of_the_last_stage_lead_back(spark, edge):
+    short = edge.where("doc_id not in (5, 6)")
+    out = corpus_pipeline.token_ids(spark, short, SF).collect()
+    digest = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    assert sorted(r["decoded_sha256"] for r in out) == sorted(digest(r["text"]) for r in short.collect())
+
+
 @pytest.mark.parametrize("k", range(len(corpus_pipeline.STAGES)))
 def test_stages_take_any_rows(spark, edge, empty, k):
     name, stage = corpus_pipeline.STAGES[k]
