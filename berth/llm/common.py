@@ -16,3 +16,14 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 def fold(key: str, parts: int) -> Column:
     """Fold of a row by its key: crc32 of the key as text, modulo ``parts``; null for a null key."""
     return F.crc32(F.col(key).cast("string")) % parts
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for working columns, longer by underscores than any column of ``df`` that has them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

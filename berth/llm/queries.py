@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from berth.llm import bpe, embedding_dedup, language_id, mixing, ngram_join, quality_classifier, quality_rules, substring_dedup, token_files, toxicity
+from berth.llm import bpe, embedding_dedup, fill_middle, language_id, mixing, ngram_join, quality_classifier, quality_rules, secret_links, spelling, substring_dedup, token_files, toxicity
 from berth.llm.common import fold, table
 
 QUERIES = {}
@@ -92,3 +92,27 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op11_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_links.report(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_secret_links"] = secret_links.SQL
+
+
+@query
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.report(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_fill_middle"] = fill_middle.SQL
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.report(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_spelling_variants"] = spelling.SQL
