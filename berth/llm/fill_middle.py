@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,8 @@ from berth.llm.common import unused
 #: Fixed values of the forms: marks, percent of rows with a form other than plain, percent of these in spm.
 PREFIX, SUFFIX, MIDDLE = b"<P>", b"<S>", b"<M>"
 FORMED, SPM = 90, 20
+#: Bytes of text that are worked on at a time; a longer text is a part of its own.
+PART = 2 << 20
 _OUT = "struct<n: bigint, form: string, prefix_chars: bigint, middle_chars: bigint, output: string>"
 
 
@@ -63,6 +66,19 @@ def _utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, bounds - bounds[0]
 
 
+def _in_parts(work):
+    """The work on batches, done in parts of about ``PART`` bytes: positions take several times the bytes."""
+
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch[0]), 0).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // PART)) + 1).tolist(), len(sizes)]
+            done = [work(*(column.slice(a, b - a) for column in batch)) for a, b in zip(edges, edges[1:], strict=False)]
+            yield pa.concat_arrays(done)
+
+    return run
+
+
 def cuts(data: np.ndarray, bounds: np.ndarray, first: np.ndarray, second: np.ndarray, unit: str = "word") -> tuple[np.ndarray, ...]:
     """Units of each text, the bytes at which its middle begins and ends, and the code points of prefix and middle."""
     index = Exceptions(data)
@@ -89,47 +105,46 @@ def cuts(data: np.ndarray, bounds: np.ndarray, first: np.ndarray, second: np.nda
     return n, low, high, chars - index.chars(begin), index.chars(high) - chars
 
 
+def _text(parts: list[bytes]) -> pa.Array:
+    return pa.array(parts, pa.binary()).cast(pa.string())
+
+
 def _formed(unit: str):
-    def formed(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        for texts, *numbers in batches:
-            data, bounds = _utf8(texts)
-            known = np.asarray(numbers[0].is_valid())
-            h = [x.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for x in numbers]
-            n, low, high, prefix, middle = cuts(data, bounds, h[0], h[1], unit)
-            plain = ~known | (h[2] % 100 >= FORMED) | (n == 0)
-            spm, whole, forms, outputs = h[3] % 100 < SPM, data.tobytes(), [], []
-            for i, (begin, end, a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), low.tolist(), high.tolist(), strict=True)):
-                if not plain[i]:
-                    plain[i] = any(whole.find(mark, begin, end) >= 0 for mark in (PREFIX, SUFFIX, MIDDLE))
-                if plain[i]:
-                    forms.append("plain")
-                    outputs.append(whole[begin:end])
-                    continue
-                head, tail = PREFIX + whole[begin:a], SUFFIX + whole[b:end]
-                forms.append("spm" if spm[i] else "psm")
-                outputs.append((tail + head if spm[i] else head + tail) + MIDDLE + whole[a:b])
-            yield pa.StructArray.from_arrays(
-                [pa.array(n, pa.int64()), pa.array(forms, pa.string()), pa.array(prefix, pa.int64(), mask=plain), pa.array(middle, pa.int64(), mask=plain),
-                 pa.array(outputs, pa.binary()).cast(pa.string())],
-                ["n", "form", "prefix_chars", "middle_chars", "output"],
-            )
-
-    return formed
-
-
-def _rebuilt(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    for outputs, forms in batches:
-        data, bounds = _utf8(outputs)
-        whole, texts = data.tobytes(), []
-        for begin, end, form in zip(bounds[:-1].tolist(), bounds[1:].tolist(), forms.to_pylist(), strict=True):
-            if form not in ("psm", "spm"):
-                texts.append(whole[begin:end])
+    def formed(texts: pa.Array, *numbers: pa.Array) -> pa.Array:
+        data, bounds = _utf8(texts)
+        plain = ~np.asarray(numbers[0].is_valid())
+        h = [x.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for x in numbers]
+        n, low, high, prefix, middle = cuts(data, bounds, h[0], h[1], unit)
+        plain |= (h[2] % 100 >= FORMED) | (n == 0)
+        spm, whole, forms, outputs = h[3] % 100 < SPM, data.tobytes(), [], []
+        for i, (begin, end, a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), low.tolist(), high.tolist(), strict=True)):
+            if not plain[i]:
+                plain[i] = any(whole.find(mark, begin, end) >= 0 for mark in (PREFIX, SUFFIX, MIDDLE))
+            if plain[i]:
+                forms.append("plain")
+                outputs.append(whole[begin:end])
                 continue
-            second = whole.index(SUFFIX if form == "psm" else PREFIX, begin + len(PREFIX), end)
-            third = whole.index(MIDDLE, second + len(SUFFIX), end)
-            one, two, middle = whole[begin + len(PREFIX) : second], whole[second + len(SUFFIX) : third], whole[third + len(MIDDLE) : end]
-            texts.append(one + middle + two if form == "psm" else two + middle + one)
-        yield pa.array(texts, pa.binary()).cast(pa.string())
+            head, tail = PREFIX + whole[begin:a], SUFFIX + whole[b:end]
+            forms.append("spm" if spm[i] else "psm")
+            outputs.append((tail + head if spm[i] else head + tail) + MIDDLE + whole[a:b])
+        columns = [pa.array(n, pa.int64()), pa.array(forms, pa.string()), pa.array(prefix, pa.int64(), mask=plain), pa.array(middle, pa.int64(), mask=plain), _text(outputs)]
+        return pa.StructArray.from_arrays(columns, ["n", "form", "prefix_chars", "middle_chars", "output"])
+
+    return _in_parts(formed)
+
+
+def _rebuilt(outputs: pa.Array, forms: pa.Array) -> pa.Array:
+    data, bounds = _utf8(outputs)
+    whole, texts = data.tobytes(), []
+    for begin, end, form in zip(bounds[:-1].tolist(), bounds[1:].tolist(), forms.to_pylist(), strict=True):
+        if form not in ("psm", "spm"):
+            texts.append(whole[begin:end])
+            continue
+        second = whole.index(SUFFIX if form == "psm" else PREFIX, begin + len(PREFIX), end)
+        third = whole.index(MIDDLE, second + len(SUFFIX), end)
+        one, two, middle = whole[begin + len(PREFIX) : second], whole[second + len(SUFFIX) : third], whole[third + len(MIDDLE) : end]
+        texts.append(one + middle + two if form == "psm" else two + middle + one)
+    return _text(texts)
 
 
 def numbers(key: str, seed: str = "1") -> list[Column]:
@@ -151,7 +166,7 @@ def transform(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: st
 
 def restore(docs: DataFrame, output: str = "output", form: str = "form", out: str = "restored") -> DataFrame:
     """``docs`` with ``out``: the text that output and form were made of."""
-    return docs.withColumn(out, F.arrow_udf(_rebuilt, "string").asNondeterministic()(F.col(f"`{output}`"), F.col(f"`{form}`")))
+    return docs.withColumn(out, F.arrow_udf(_in_parts(_rebuilt), "string").asNondeterministic()(F.col(f"`{output}`"), F.col(f"`{form}`")))
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
