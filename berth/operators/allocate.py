@@ -15,8 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from berth.functions import queue_code, seat_code, seat_sort_key
-from berth.operators.rank import HOT_ROWS, ranked
-from berth.session import durable
+from berth.operators.rank import ranked
 
 # A seat is sold once per service and date; services that run once may leave the date out.
 SCOPE = ("schedule_id", "journey_date", "class_no")
@@ -47,14 +46,14 @@ def first_coach_only(seats: DataFrame, coaches: DataFrame) -> DataFrame:
     return seats.join(first.select("coach_id"), "coach_id", "left_semi")
 
 
-def seat_pool(seats: DataFrame, scope: Sequence[str], seat_order: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def seat_pool(seats: DataFrame, scope: Sequence[str], seat_order: str) -> DataFrame:
     """Free seats ranked within their scope, pooled over the coaches.
 
     The slice follows the coach id, the leading key of the order.
     """
     order = ["coach_id", seat_sort_key("seat_no", seat_order), "seat_no"]
     columns = [*scope, "coach_id", "seat_no"]
-    return ranked(seats.select(*columns), scope, order, "_seat_rank", F.col("coach_id").cast("long"), hot_rows=hot_rows)
+    return ranked(seats.select(*columns), scope, order, "_seat_rank", F.col("coach_id").cast("long"))
 
 
 def allocate(
@@ -67,8 +66,6 @@ def allocate(
     scope: Sequence[str] = SCOPE,
     queue_scope: Sequence[str] | None = None,
     seat_order: str = "lexical",
-    hot_rows: int = HOT_ROWS,
-    hot_from: DataFrame | None = None,
 ) -> DataFrame:
     """Add status, coach_id, seat_no and queue_no to every request.
 
@@ -77,24 +74,22 @@ def allocate(
     be coarser than ``scope``, such as the class alone. ``order`` must be total;
     ``slice_by`` is a long that never falls along it. ``rac_capacity`` is a
     number or a frame with that column and some of the queue scope's columns.
-    Large scopes are sought in ``hot_from`` (see ``ranked``).
     """
     scope = list(scope)
-    hot_from = requests if hot_from is None else hot_from
     queue_scope = scope if queue_scope is None else list(queue_scope)
     free = seats.groupBy(*scope).agg(F.count(F.lit(1)).alias("_free"))
     queued = queue_counts(existing, queue_scope)
 
     if queue_scope == scope:
         facts = free if queued is None else free.join(queued, scope, "full")
-        rows = ranked(requests, scope, order, "_r", slice_by, facts, hot_rows, hot_from)
+        rows = ranked(requests, scope, order, "_r", slice_by, facts)
         rows = rows.withColumn("_q", F.col("_r") - F.coalesce("_free", F.lit(0)))
     else:
-        rows = ranked(requests, scope, order, "_r", slice_by, free, hot_rows, hot_from)
+        rows = ranked(requests, scope, order, "_r", slice_by, free)
         has_seat = F.col("_r") <= F.coalesce("_free", F.lit(0))
-        over = ranked(rows.where(~has_seat), queue_scope, order, "_q", slice_by, queued, hot_rows, hot_from)
+        over = ranked(rows.where(~has_seat), queue_scope, order, "_q", slice_by, queued)
         rows = rows.where(has_seat).withColumn("_q", F.lit(0).cast("long")).unionByName(over, allowMissingColumns=True)
-    return _place(rows, seat_pool(seats, scope, seat_order, hot_rows), scope, queue_scope, rac_capacity, requests.columns)
+    return _place(rows, seat_pool(seats, scope, seat_order), scope, queue_scope, rac_capacity, requests.columns)
 
 
 def _place(
@@ -149,8 +144,6 @@ def promote(
     rac_capacity: int | DataFrame = RAC_CAPACITY,
     scope: Sequence[str] = SCOPE,
     seat_order: str = "lexical",
-    hot_rows: int = HOT_ROWS,
-    hot_from: DataFrame | None = None,
 ) -> DataFrame:
     """Move queued passengers up: the k-th takes the k-th free seat, the rest
     close up as RAC 1..n and WL 1..m.
@@ -161,10 +154,10 @@ def promote(
     is_wl = F.when(F.col("status") == WL, F.lit(1)).otherwise(F.lit(0)).cast("long")
     free = free_seats.groupBy(*scope).agg(F.count(F.lit(1)).alias("_free"))
     slice_by = is_wl * (1 << 40) + F.floor(F.col("queue_no") / (1 << 20)).cast("long")
-    rows = ranked(queue, scope, [is_wl, "queue_no"], "_r", slice_by, free, hot_rows, hot_from)
+    rows = ranked(queue, scope, [is_wl, "queue_no"], "_r", slice_by, free)
     rows = rows.withColumn("_q", F.col("_r") - F.coalesce("_free", F.lit(0)))
     keep = [c for c in queue.columns if c not in ("status", "coach_id", "seat_no", "queue_no")]
-    return _place(rows, seat_pool(free_seats, scope, seat_order, hot_rows), scope, scope, rac_capacity, keep)
+    return _place(rows, seat_pool(free_seats, scope, seat_order), scope, scope, rac_capacity, keep)
 
 
 def cancel(
@@ -175,7 +168,6 @@ def cancel(
     rac_capacity: int | DataFrame = RAC_CAPACITY,
     scope: Sequence[str] = SCOPE,
     seat_order: str = "lexical",
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Cancel a batch of passengers and promote the queue behind them.
 
@@ -206,7 +198,7 @@ def cancel(
             for c in passengers.columns
         ]
     )
-    moved = promote(queue, durable(freed), rac_capacity, scope, seat_order, hot_rows, hot_from=passengers)
+    moved = promote(queue, freed, rac_capacity, scope, seat_order)
     moved = moved.select(*passengers.columns)
     return settled.unionByName(moved)
 

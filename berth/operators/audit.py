@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from berth.operators.rank import HOT_ROWS, ranked
+from berth.operators.rank import ranked
 from berth.sources import constraints as c
 from berth.sources.schemas import DOMAINS
 
@@ -110,11 +110,11 @@ def audit_tables(tables: Mapping[str, DataFrame], schema: str) -> DataFrame:
 
 def double_bookings(
     tickets: DataFrame, order: Sequence[Column | str], slice_by: Column | None,
-    key: Sequence[str] = ("schedule_id", "journey_date", "coach_id", "seat_no"), hot_rows: int = HOT_ROWS,
+    key: Sequence[str] = ("schedule_id", "journey_date", "coach_id", "seat_no"),
 ) -> DataFrame:
     """Confirmed tickets for a seat that an earlier confirmed ticket already holds; queued tickets hold none."""
     held = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key], F.col("status") == "Confirmed")
-    return ranked(tickets.where(held), key, order, "claim_no", slice_by, hot_rows=hot_rows).where(F.col("claim_no") > 1)
+    return ranked(tickets.where(held), key, order, "claim_no", slice_by).where(F.col("claim_no") > 1)
 
 
 def fd_violations(df: DataFrame, lhs: Sequence[str], rhs: Sequence[str]) -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from berth.functions import pnr
 from berth.operators.allocate import CONFIRMED, RAC, RAC_CAPACITY, SCOPE, WL, allocate
 from berth.operators.pricing import price_distance, price_route
-from berth.operators.rank import HOT_ROWS
 from berth.operators.wallet import DEBIT, wallet_ledger
 from berth.session import durable
 
@@ -55,7 +54,6 @@ def book_tickets(
     event_order: Sequence[str] = ("ts", "event_id"),
     rac_capacity: int = RAC_CAPACITY,
     scope: Sequence[str] = SCOPE,
-    hot_rows: int = HOT_ROWS,
     wallet_slice: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Book whole requests: distance fare, wallet check, then seats; tickets and rejects.
@@ -70,14 +68,13 @@ def book_tickets(
     priced = asked.where(F.col("total_fare").isNotNull())
     unpriced = asked.where(F.col("total_fare").isNull()).withColumn("reason", F.lit(NO_FARE))
     by_wallet = priced.where(F.col("method") == "wallet").withColumn("kind", F.lit(DEBIT)).withColumn("amount", F.col("total_fare"))
-    paid = wallet_ledger(by_wallet, opening, event_order, wallet_slice, hot_rows)
+    paid = wallet_ledger(by_wallet, opening, event_order, wallet_slice)
     accepted = paid.where("accepted").drop("kind", "amount", "accepted", "balance")
     refused = paid.where(~F.coalesce("accepted", F.lit(False))).drop("kind", "amount", "accepted", "balance")
     others = priced.where(~F.coalesce(F.col("method") == "wallet", F.lit(False)))
     rejects = unpriced.unionByName(refused.withColumn("reason", F.lit(NO_FUNDS)), allowMissingColumns=True)
     tickets = allocate(
         others.unionByName(accepted), seats, passenger_order, slice_by, rac_capacity=rac_capacity, scope=scope,
-        hot_rows=hot_rows, hot_from=priced,
     )
     return tickets, rejects
 
@@ -91,7 +88,6 @@ def book_groups(
     slice_by: Column | None = None,
     rac_capacity: int | DataFrame = RAC_CAPACITY,
     scope: Sequence[str] = SCOPE,
-    hot_rows: int = HOT_ROWS,
     cap: int = MAX_PASSENGERS,
 ) -> tuple[DataFrame, DataFrame]:
     """Book up to ``cap`` passengers per request from their JSON.
@@ -104,12 +100,7 @@ def book_groups(
     asked = price_route(rows, route_fares, how="left")
     priced = asked.where(F.col("fare").isNotNull())
     unpriced = asked.where(F.col("fare").isNull()).withColumn("reason", F.lit(NO_FARE))
-    # No booking has more passengers than the cap, so copies of the bookings bound
-    # the size of each scope without reading the JSON.
-    bound = bookings.select(*scope, F.explode(F.array_repeat(F.lit(1), cap)))
-    tickets = allocate(
-        priced, seats, order, slice_by, rac_capacity=rac_capacity, scope=scope, hot_rows=hot_rows, hot_from=bound
-    )
+    tickets = allocate(priced, seats, order, slice_by, rac_capacity=rac_capacity, scope=scope)
     return tickets.withColumn("pnr", pnr("booking_id", as_of)), rejects.unionByName(unpriced.drop("fixed_fare", "fare"))
 
 

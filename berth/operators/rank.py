@@ -1,9 +1,10 @@
 """Ranks and running sums per key that hold when one key owns much of the data.
 
-A plain window sorts a whole key in one task. Here a key above a size limit is
-cut into slices along its order; slices are ranked apart, and the counts of the
-earlier slices (one small row each) are added back. Without such keys the plan
-is the plain window.
+A plain window sorts a whole key in one task. Here every key is cut into slices along its
+order: a slice is ranked or summed apart, and the totals of the earlier slices of its key,
+one small row each, are joined back. The plan is the same for all sizes and keys, and
+nothing is counted or collected while it is built. Totals are combined before they are
+shuffled, so they cost little beside the rows.
 """
 
 from __future__ import annotations
@@ -13,18 +14,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A key with more rows than this is cut into slices. Only the HOT_KEYS largest
-# are, so the list stays small enough to broadcast whatever the data; any other
-# key holds less than one row in HOT_KEYS.
-HOT_ROWS = 1_000_000
-HOT_KEYS = 10_000
+_NULL_SLICE = -(2**62)  # nulls sort first, as in an ascending window
+_PART = "_part"
 
-SLICE = "_slice"
-_NO_SLICE = -(2**62)
-_NULL_SLICE = _NO_SLICE + 1  # nulls sort first, as in an ascending window
 
-
-def id_slice(column: str, width: int = 1 << 20) -> Column:
+def id_slice(column: str, width: int = 1 << 16) -> Column:
     """Slice for orders that start with a dense id."""
     return F.floor(F.col(column) / width).cast("long")
 
@@ -40,38 +34,30 @@ def time_slice(column: str, seconds: int = 3600) -> Column:
     return F.floor(clock / seconds).cast("long")
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """The keys to slice, as a small local frame, or None where there are none.
-
-    One counting pass over the key columns; at most ``HOT_KEYS`` keys reach the
-    driver, the largest first. Fixing them here keeps the slices the same when a
-    task is run again.
-    """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-    found = counts.orderBy(F.desc("_n"), *keys).limit(HOT_KEYS).select(*keys).collect()
-    if not found:
-        return None
-    return df.sparkSession.createDataFrame(found, df.select(*keys).schema)
-
-
-def with_slice(df: DataFrame, keys: Sequence[str], slice_by: Column, hot: DataFrame | None) -> DataFrame:
-    """Add the slice number: ``slice_by`` for rows of hot keys, one constant otherwise.
+def accumulated(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], values: dict[str, str | None], slice_by: Column,
+    facts: DataFrame | None = None,
+) -> DataFrame:
+    """Running totals per ``keys`` along ``order``, up to and including each row.
 
-    ``slice_by`` must be a long that never falls along the order.
+    ``values`` names the results: the column to add up, or None for the row number.
+    ``order`` must be total and ``slice_by`` a long that never falls along it. ``facts``
+    (one row per key) travel with the totals of the slices. Null keys are one key.
     """
-    if hot is None:
-        return df.withColumn(SLICE, F.lit(_NO_SLICE).cast("long"))
-    marked = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), list(keys), "left")
-    number = F.when(F.col("_hot"), F.coalesce(slice_by, F.lit(_NULL_SLICE))).otherwise(F.lit(_NO_SLICE))
-    return marked.withColumn(SLICE, number).drop("_hot")
-
-
-def slice_window(keys: Sequence[str], order: Sequence[Column | str]) -> Window:
-    return Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-
-def earlier_slices(keys: Sequence[str]) -> Window:
-    return Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    key = F.struct(*keys)
+    rows = df.withColumn(_PART, F.struct(key.alias("key"), F.coalesce(slice_by, F.lit(_NULL_SLICE)).alias("no")))
+    total = {n: F.count(F.lit(1)) if c is None else F.sum(c) for n, c in values.items()}
+    parts = rows.groupBy(_PART).agg(*[t.alias(f"_t_{n}") for n, t in total.items()])
+    before = Window.partitionBy(f"{_PART}.key").orderBy(f"{_PART}.no").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(_PART, *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in values])
+    if facts is not None:
+        more = [c for c in facts.columns if c not in keys]
+        parts = parts.join(facts.select(key.alias("_key"), *more), F.col(f"{_PART}.key") == F.col("_key"), "left").drop("_key")
+    within = Window.partitionBy(_PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    steps = {f"_w_{n}": (F.row_number() if c is None else F.sum(c)).over(within) for n, c in values.items()}
+    joined = rows.select("*", *[step.alias(n) for n, step in steps.items()]).join(parts, _PART)
+    out = joined.withColumns({n: (F.col(f"_w_{n}") + F.col(f"_b_{n}")).cast("long") for n in values})
+    return out.drop(_PART, *[f"_{p}_{n}" for p in "wb" for n in values])
 
 
 def ranked(
@@ -81,59 +67,18 @@ def ranked(
     name: str = "rank",
     slice_by: Column | None = None,
     facts: DataFrame | None = None,
-    hot_rows: int = HOT_ROWS,
-    hot_from: DataFrame | None = None,
 ) -> DataFrame:
-    """Row number per ``keys`` along ``order``; ``order`` must be total.
+    """Row number per ``keys`` along ``order``, with ``facts`` of the key; ``order`` must be total.
 
-    ``facts`` (one row per key) is attached on the partitioning the rank already
-    has. Hot keys are sought in ``hot_from``, which may be any frame that counts
-    at least the rows of ``df``; by default ``df`` itself. Without ``slice_by``
-    the caller vouches that keys are small.
+    Without ``slice_by`` the caller vouches that every key fits one task: a plain window.
     """
     keys = list(keys)
-    hot = None if slice_by is None else hot_keys(df if hot_from is None else hot_from, keys, hot_rows)
-    if hot is None:
-        number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-        out = df.withColumn(name, number.cast("long"))
-        return out if facts is None else out.join(facts, keys, "left")
-    rows = with_slice(df, keys, slice_by, hot)
-    heads = rows.groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("_n"))
-    if facts is None:
-        heads = heads.where(F.col(SLICE) != _NO_SLICE)
-    heads = heads.withColumn("_before", F.coalesce(F.sum("_n").over(earlier_slices(keys)), F.lit(0))).drop("_n")
-    if facts is not None:
-        heads = heads.join(facts, keys, "left")
-    return (
-        rows.withColumn("_rn", F.row_number().over(slice_window(keys, order)).cast("long"))
-        .join(heads, [*keys, SLICE], "left")
-        .withColumn(name, F.col("_rn") + F.coalesce("_before", F.lit(0)))
-        .drop("_rn", "_before", SLICE)
-    )
+    if slice_by is not None:
+        return accumulated(df, keys, order, {name: None}, slice_by, facts)
+    out = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
+    return out if facts is None else out.join(facts, keys, "left")
 
 
-def running_sum(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column | str],
-    value: str,
-    name: str,
-    slice_by: Column,
-    hot_rows: int = HOT_ROWS,
-    hot_from: DataFrame | None = None,
-) -> DataFrame:
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], value: str, name: str, slice_by: Column) -> DataFrame:
     """Sum of ``value`` up to and including each row per ``keys`` along ``order``."""
-    keys = list(keys)
-    hot = hot_keys(df if hot_from is None else hot_from, keys, hot_rows)
-    if hot is None:
-        so_far = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.withColumn(name, F.sum(value).over(so_far))
-    rows = with_slice(df, keys, slice_by, hot)
-    heads = rows.where(F.col(SLICE) != _NO_SLICE).groupBy(*keys, SLICE).agg(F.sum(value).alias("_n"))
-    heads = heads.withColumn("_before", F.coalesce(F.sum("_n").over(earlier_slices(keys)), F.lit(0))).drop("_n")
-    return (
-        rows.withColumn("_run", F.sum(value).over(slice_window(keys, order)))
-        .join(heads, [*keys, SLICE], "left")
-        .withColumn(name, F.col("_run") + F.coalesce("_before", F.lit(0)))
-        .drop("_run", "_before", SLICE)
-    )
+    return accumulated(df, list(keys), order, {name: value}, slice_by)

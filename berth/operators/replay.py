@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from berth.operators.allocate import CANCELLED, CONFIRMED, RAC, RAC_CAPACITY, WL
-from berth.operators.rank import HOT_ROWS, ranked, running_sum
+from berth.operators.rank import ranked, running_sum
 
 
 def place_status(place: Column, seats: Column, rac_capacity: int) -> tuple[Column, Column]:
@@ -31,7 +31,6 @@ def replay_bookings(
     order: Sequence[str],
     slice_by: Column,
     rac_capacity: int = RAC_CAPACITY,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Status of every passenger when booked and after all events.
 
@@ -54,13 +53,12 @@ def replay_bookings(
     steps = booked.withColumn("_step", F.lit(1)).unionByName(
         cancelled.withColumn("n_seats", F.lit(None).cast("int")).withColumn("_step", F.lit(-1)).select(*booked.columns, "_step")
     )
-    active = running_sum(steps, scope, order, "_step", "_place", slice_by, hot_rows, hot_from=events)
+    active = running_sum(steps, scope, order, "_step", "_place", slice_by)
     status, number = place_status(F.col("_place"), F.col("n_seats"), rac_capacity)
     first = active.where(F.col("_step") == 1).select(
         *scope, "passenger_id", status.alias("booked_status"), number.alias("booked_queue_no")
     )
     rest = ranked(
         booked.join(cancelled.select("passenger_id"), "passenger_id", "left_anti"), scope, order, "_place", slice_by,
-        hot_rows=hot_rows, hot_from=events,
     ).select("passenger_id", status.alias("final_status"), number.alias("final_queue_no"))
     return first.join(rest, "passenger_id", "left").withColumn("final_status", F.coalesce("final_status", F.lit(CANCELLED)))

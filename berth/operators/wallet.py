@@ -1,27 +1,28 @@
 """Wallet ledger with a funds check, and the transaction log.
 
-A debit that exceeds the balance is rejected and leaves the balance alone. While
-nothing is rejected a balance is a running sum, which needs no order-dependent
-code: a user (or, for a very large user, a time slice) whose running sum never
-falls below zero is answered by windows alone. Only the others are folded event
-by event, one bounded piece per task.
+A debit that exceeds the balance is refused and leaves the balance alone. A refund that
+names its debit is void if that debit was refused. While nothing is refused a balance is
+a running sum, so histories are cut into runs of ``RUN_ROWS`` counted events, and a run
+whose running sum cannot fall below zero is answered by that sum. Only the others are
+folded event by event, by built-in functions over sorted arrays of bounded size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
+from math import isqrt
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from berth.functions import money
-from berth.operators.rank import HOT_ROWS, SLICE, _NO_SLICE, earlier_slices, hot_keys, slice_window, time_slice, with_slice
+from berth.operators.rank import accumulated, time_slice
 from berth.session import durable
 
 TOPUP, DEBIT, REFUND = "topup", "debit", "refund"
-LONGEST_RUN = 256  # slices replayed in one go
+#: Events of a run; a run is folded in pieces of the square root of that.
+RUN_ROWS = 1 << 16
 
 
 def wallet_events(
@@ -41,163 +42,159 @@ def wallet_ledger(
     opening: DataFrame | None = None,
     order: Sequence[str] = ("ts", "event_id"),
     slice_by: Column | None = None,
-    hot_rows: int = HOT_ROWS,
+    refund_of: str | None = None,
+    key: str = "event_id",
+    run_rows: int = RUN_ROWS,
 ) -> DataFrame:
     """Add ``accepted`` and ``balance`` (after the event) to wallet events.
 
-    ``events``: user_id, kind, amount (two digits) and the ``order`` columns,
-    total per user. ``opening``: user_id, balance; users without a row start at 0.
-    ``slice_by`` cuts the history of very large users; by default hours of ``ts``.
+    ``events``: user_id, kind, amount (two digits) and the ``order`` columns, total per
+    user. ``opening``: user_id, balance; users without a row start at 0. ``slice_by``
+    cuts histories to number them (see ``rank``); by default hours of ``ts``.
+    ``refund_of`` names a column of refunds with the ``key`` of their debit: a refund of a
+    refused debit, or of none that came before, is void. A refund without one counts.
+
+    Rounds: each folds, for every user, the next run that can run short or holds a refund
+    of a refused debit; what it refused moves the sums of all later runs. Users never
+    short take no round, others one per such run.
     """
-    if slice_by is None:
-        slice_by = time_slice("ts")
     columns = events.columns
-    cents = (F.col("amount") * 100).cast("long")
-    hot = hot_keys(events, ["user_id"], hot_rows)
-    rows = with_slice(events, ["user_id"], slice_by, hot).withColumn(
-        "_delta", F.when(F.col("kind") == DEBIT, -cents).otherwise(cents)
-    )
-    rows = rows.withColumn("_run", F.sum("_delta").over(slice_window(["user_id"], [*order])))
-    if hot is None:
-        return _settle(rows, opening, order, columns)
-    small = _settle(rows.where(F.col(SLICE) == _NO_SLICE), opening, order, columns)
-    return small.unionByName(_settle_large(rows.where(F.col(SLICE) != _NO_SLICE), opening, order, columns))
+    rows = durable(_numbered(events, order, time_slice("ts") if slice_by is None else slice_by, refund_of, key, run_rows))
+    heads = durable(_heads(rows, opening))
+    refunds = rows.where(F.col("_ref").isNotNull()).select("_u", "_run", "_ref") if refund_of else None
+    history, folded, refused, shifts = [], [], None, None
+    while True:
+        due = durable(_due(heads, shifts, refunds, refused))
+        if due.isEmpty():
+            break
+        piece = durable(_fold(rows.join(due.select("_u", "_run", "_start"), ["_u", "_run"]), refused, refund_of is not None))
+        folded.append(piece)
+        lost = piece.where(~F.col("accepted")).groupBy("_u").agg(F.sum(-F.col("_delta")).alias("_lost"))
+        shifts = durable(due.join(lost, "_u", "left").select("_u", F.col("_run").alias("_after"), (F.col("_shift") + F.coalesce("_lost", F.lit(0))).alias("_shift")))
+        history.append(shifts)
+        if refund_of:
+            new = piece.where((F.col("_delta") < 0) & ~F.col("accepted")).select("_u", F.col("_key").alias("_refused"))
+            refused = new if refused is None else refused.unionByName(new)
+    if not folded:
+        return _closed(rows.join(heads.select("_u", "_run", F.col("_open").alias("_from")), ["_u", "_run"]), columns)
+    closed = _closed(rows.join(_in_force(heads, history), ["_u", "_run"]), columns)
+    return reduce(DataFrame.unionByName, [closed, *[_told(p, columns, F.col("_cents")) for p in folded]])
 
 
-def _with_opening(heads: DataFrame, opening: DataFrame | None) -> DataFrame:
+def _numbered(events: DataFrame, order: Sequence[str], slice_by: Column, refund_of: str | None, key: str, run_rows: int) -> DataFrame:
+    """Events with user, signed cents, number, running sum, run and piece; void ones with 0 cents."""
+    cents = (F.col("amount") * 100).cast("long")
+    rows = events.withColumns({
+        "_u": F.struct("user_id"), "_delta": F.when(F.col("kind") == DEBIT, -cents).otherwise(cents), "_ok": F.lit(True),
+        "_key": F.col(key) if refund_of else F.lit(None).cast("long"),
+        "_ref": F.when(F.col("kind") == REFUND, F.col(refund_of)) if refund_of else F.lit(None).cast("long"),
+    })
+    if refund_of:
+        debits = rows.where(F.col("kind") == DEBIT).select(F.col("_u").alias("_du"), F.col("_key").alias("_dk"), F.struct(*order).alias("_at"))
+        rows = rows.join(debits, (F.col("_u") == F.col("_du")) & (F.col("_ref") == F.col("_dk")), "left")
+        known = F.col("_ref").isNull() | F.coalesce(F.col("_at") < F.struct(*order), F.lit(False))
+        rows = rows.withColumns({"_ok": known, "_delta": F.when(known, F.col("_delta")).otherwise(F.lit(0))}).drop("_du", "_dk", "_at")
+    rows = accumulated(rows, ["user_id"], order, {"_no": None, "_sum": "_delta"}, slice_by)
+    first = F.col("_no") - 1
+    return rows.withColumns({"_run": F.floor(first / run_rows).cast("long"), "_piece": F.floor(first / isqrt(run_rows)).cast("long")})
+
+
+def _heads(rows: DataFrame, opening: DataFrame | None) -> DataFrame:
+    """Per user and run: opening balance, sum before the run, and the lowest sum within."""
+    heads = rows.groupBy("_u", "_run").agg(F.min("_sum").alias("_dip"), F.min_by(F.col("_sum") - F.col("_delta"), "_no").alias("_base"))
     if opening is None:
         return heads.withColumn("_open", F.lit(0).cast("long"))
-    start = opening.select("user_id", (F.col("balance") * 100).cast("long").alias("_open"))
-    return heads.join(start, "user_id", "left").withColumn("_open", F.coalesce("_open", F.lit(0)))
+    start = opening.select(F.struct("user_id").alias("_u"), (F.col("balance") * 100).cast("long").alias("_open"))
+    return heads.join(start, "_u", "left").withColumn("_open", F.coalesce("_open", F.lit(0)))
 
 
-def _summary(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("user_id", SLICE).agg(F.sum("_delta").alias("_net"), F.min("_run").alias("_dip"))
+def _due(heads: DataFrame, shifts: DataFrame | None, refunds: DataFrame | None, refused: DataFrame | None) -> DataFrame:
+    """The next run of each user that has to be folded, with the balance it starts from."""
+    left = heads.withColumns({"_after": F.lit(-1).cast("long"), "_shift": F.lit(0).cast("long")}) if shifts is None else heads.join(shifts, "_u")
+    left = left.where(F.col("_run") > F.col("_after"))
+    short = F.col("_open") + F.col("_dip") + F.col("_shift") < 0
+    if refused is not None:
+        void = refunds.join(refused.withColumnRenamed("_u", "_ru"), (F.col("_u") == F.col("_ru")) & (F.col("_ref") == F.col("_refused")), "left_semi")
+        left = left.join(void.select("_u", "_run").distinct().withColumn("_void", F.lit(True)), ["_u", "_run"], "left")
+        short = short | F.coalesce("_void", F.lit(False))
+    start = F.struct((F.col("_open") + F.col("_base") + F.col("_shift")).alias("_start"), "_shift", "_run")
+    return left.where(short).groupBy("_u").agg(F.min_by(start, "_run").alias("s")).select("_u", "s.*")
 
 
-def _settle(rows: DataFrame, opening: DataFrame | None, order: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Users with one slice: running sums, and a fold where funds may run out."""
-    whole = Window.partitionBy("user_id", SLICE)
-    rows = _with_opening(rows.withColumn("_dip", F.min("_run").over(whole)), opening)
-    short = F.col("_open") + F.col("_dip") < 0
-    safe = _closed(rows.where(~short).withColumn("_start", F.col("_open")), columns)
-    folded = _fold(rows.where(short).withColumn("_start", F.col("_open")), order, columns)
-    return safe.unionByName(folded)
+def _fold(todo: DataFrame, refused: DataFrame | None, linked: bool) -> DataFrame:
+    """Events of runs that start from ``_start``, in order: accepted and _cents after each.
 
-
-def _closed(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return rows.select(
-        *columns,
-        F.lit(True).alias("accepted"),
-        money(((F.col("_start") + F.col("_run")) * F.lit(0.01).cast("decimal(3,2)")), 18).alias("balance"),
+    First the balances from which the pieces of a run start, by a fold that keeps nothing
+    else; then every piece on its own, event by event.
+    """
+    todo = todo.withColumn("_row", F.struct(*[c for c in todo.columns if c not in ("_u", "_run", "_piece", "_start")]))
+    if refused is not None:
+        known = refused.select(F.col("_u").alias("_ru"), "_refused")
+        todo = todo.join(known, (F.col("_u") == F.col("_ru")) & (F.col("_ref") == F.col("_refused")), "left")
+    void = ~F.col("_ok") if refused is None else ~F.col("_ok") | F.col("_refused").isNotNull()
+    each = F.struct("_no", "_delta", "_key", "_ref", void.alias("_void"), "_row")
+    pieces = todo.groupBy("_u", "_run", "_piece").agg(F.first("_start").alias("_start"), F.sort_array(F.collect_list(each)).alias("_events"))
+
+    def decided(state: Column, e: Column) -> tuple[Column, Column]:
+        counts = ~e["_void"] & ~F.coalesce(F.array_contains(state["gone"], e["_ref"]), F.lit(False)) if linked else ~e["_void"]
+        accepted = counts & ((e["_delta"] >= 0) | (state["cents"] + e["_delta"] >= 0))
+        return accepted, state["cents"] + F.when(accepted, e["_delta"]).otherwise(F.lit(0))
+
+    def step(state: Column, e: Column) -> Column:
+        accepted, cents = decided(state, e)
+        gone = F.when((e["_delta"] < 0) & ~accepted, F.concat(state["gone"], F.array(e["_key"]))).otherwise(state["gone"]) if linked else state["gone"]
+        return F.struct(cents.alias("cents"), gone.alias("gone"))
+
+    keys = todo.schema["_key"].dataType
+    nobody = F.array().cast(f"array<{keys.simpleString()}>")
+    start = F.struct("_start", nobody.alias("gone"))
+    lean = F.transform("_events", lambda e: F.struct(e["_delta"].alias("_delta"), e["_key"].alias("_key"), e["_ref"].alias("_ref"), e["_void"].alias("_void")))
+    runs = pieces.select("_u", "_run", "_piece", "_start", lean.alias("_lean")).groupBy("_u", "_run").agg(
+        F.first("_start").alias("_start"), F.sort_array(F.collect_list(F.struct("_piece", "_lean"))).alias("_pieces")
+    )
+    state = f"struct<cents: bigint, gone: array<{keys.simpleString()}>>"
+    starts = F.aggregate(
+        "_pieces",
+        F.struct(start.cast(state).alias("now"), F.array().cast(f"array<struct<_piece: bigint, _from: {state}>>").alias("starts")),
+        lambda acc, p: F.struct(
+            F.aggregate(p["_lean"], acc["now"], step).alias("now"),
+            F.concat(acc["starts"], F.array(F.struct(p["_piece"].alias("_piece"), acc["now"].alias("_from")))).alias("starts"),
+        ),
+        lambda acc: acc["starts"],
     )
+    begun = runs.select("_u", "_run", F.inline(starts))
 
+    def tell(acc: Column, e: Column) -> Column:
+        accepted, cents = decided(acc["now"], e)
+        said = F.array(F.struct(accepted.alias("accepted"), cents.alias("_cents")))
+        return F.struct(step(acc["now"], e).alias("now"), F.concat(acc["said"], said).alias("said"))
 
-def _fold(rows: DataFrame, order: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Replay the events of each (user, slice) in order.
-
-    Partitions stream through in sorted batches, so no user is held in memory.
-    """
-    frame = (
-        rows.select(*columns, "_delta", "_start", SLICE)
-        .repartition("user_id", SLICE)
-        .sortWithinPartitions("user_id", SLICE, *order)
-    )
-    kept = frame.select(*columns)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema] + ["accepted boolean", "_cents bigint"])
-    names = list(columns)
-
-    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owner, balance = None, 0
-        for batch in batches:
-            accepted, after = [], []
-            steps = (batch.column(c).to_pylist() for c in ("user_id", SLICE, "_start", "_delta"))
-            for user, part, start, delta in zip(*steps):
-                if (user, part) != owner:
-                    owner, balance = (user, part), start
-                funded = delta >= 0 or balance + delta >= 0
-                if funded:
-                    balance += delta
-                accepted.append(funded)
-                after.append(balance)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in names] + [pa.array(accepted, pa.bool_()), pa.array(after, pa.int64())],
-                [*names, "accepted", "_cents"],
-            )
-
-    return (
-        frame.mapInArrow(replay, schema)
-        .withColumn("balance", money(F.col("_cents") * F.lit(0.01).cast("decimal(3,2)"), 18))
-        .drop("_cents")
+    told = F.aggregate(
+        "_events", F.struct(F.col("_from").alias("now"), F.array().cast("array<struct<accepted: boolean, _cents: bigint>>").alias("said")), tell, lambda acc: acc["said"]
     )
+    done = pieces.drop("_start").join(begun, ["_u", "_run", "_piece"]).withColumn("_said", told)
+    pairs = F.zip_with("_events", "_said", lambda e, s: F.struct(e["_row"].alias("_row"), s["accepted"].alias("accepted"), s["_cents"].alias("_cents")))
+    return done.select("_u", "_run", F.inline(pairs)).select("_u", "_run", "_row.*", "accepted", "_cents")
 
 
-def _settle_large(rows: DataFrame, opening: DataFrame | None, order: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Users cut into slices.
-
-    A slice that cannot run out of funds is a running sum moved by the total of
-    the debits rejected before it. Each round folds, for every user, a run of
-    slices from the next one that can run out, and skips to the one after that
-    which can. Runs double in length up to ``LONGEST_RUN``, so users who are
-    always short need few rounds. Between rounds only one row per slice is kept.
-    """
-    by_slice = Window.partitionBy("user_id").orderBy(SLICE)
-    heads = _with_opening(_summary(rows), opening)
-    heads = durable(
-        heads.withColumn("_start", F.col("_open") + F.coalesce(F.sum("_net").over(earlier_slices(["user_id"])), F.lit(0)))
-        .withColumn("_no", F.row_number().over(by_slice))
-    )
-    shifts = heads.select("user_id").distinct().select(
-        "user_id", F.lit(_NO_SLICE).cast("long").alias("_after"), F.lit(0).cast("long").alias("_shift")
-    )
-    history, pieces, runs, length = [shifts], [], [], 1
-    while True:
-        due = (
-            heads.join(shifts, "user_id")
-            .where((F.col(SLICE) > F.col("_after")) & (F.col("_start") + F.col("_dip") + F.col("_shift") < 0))
-            .groupBy("user_id")
-            .agg(F.min_by(F.struct(F.col(SLICE).alias("_piece"), F.col("_no").alias("_from"), (F.col("_start") + F.col("_shift")).alias("_start"), "_shift"), SLICE).alias("s"))
-            .select("user_id", "s.*")
-        )
-        run = durable(
-            heads.select("user_id", SLICE, "_no").join(due, "user_id")
-            .where((F.col("_no") >= F.col("_from")) & (F.col("_no") < F.col("_from") + length))
-        )
-        if run.isEmpty():
-            break
-        todo = rows.join(run.select("user_id", SLICE, "_piece", "_start"), ["user_id", SLICE])
-        todo = todo.withColumn(SLICE, F.col("_piece")).drop("_piece")
-        piece = durable(_fold(todo, order, columns))
-        pieces.append(piece)
-        runs.append(run.select("user_id", SLICE))
-        lost = piece.where(~F.col("accepted")).groupBy("user_id").agg((F.sum("amount") * 100).cast("long").alias("_lost"))
-        shifts = durable(
-            run.groupBy("user_id").agg(F.max(SLICE).alias("_after"), F.max("_shift").alias("_shift"))
-            .join(lost, "user_id", "left")
-            .select("user_id", "_after", (F.col("_shift") + F.coalesce("_lost", F.lit(0))).alias("_shift"))
-        )  # users without a due slice are finished
-        history.append(shifts)
-        length = min(2 * length, LONGEST_RUN)
-    if not pieces:
-        starts = heads.select("user_id", SLICE, "_start")
-        return _closed(rows.join(starts, ["user_id", SLICE]), columns)
+def _in_force(heads: DataFrame, history: Sequence[DataFrame]) -> DataFrame:
+    """Runs that were not folded, with what their running sums start from."""
     marks = reduce(DataFrame.unionByName, history)
-    # The shift in force for a slice is the one of the latest folded slice before it.
-    last = Window.partitionBy("user_id").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    timeline = heads.select("user_id", F.col(SLICE).alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("_shift")).unionByName(
-        marks.select("user_id", F.col("_after").alias("_at"), F.lit(1).alias("_kind"), "_shift")
+    line = heads.select("_u", F.col("_run").alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("_shift"), "_open").unionByName(
+        marks.select("_u", F.col("_after").alias("_at"), F.lit(1).alias("_kind"), "_shift"), allowMissingColumns=True
     )
-    folded = reduce(DataFrame.unionByName, runs)
-    starts = (
-        timeline.withColumn("_now", F.last("_shift", ignorenulls=True).over(last))
-        .where(F.col("_kind") == 0)
-        .select("user_id", F.col("_at").alias(SLICE), "_now")
-        .join(folded, ["user_id", SLICE], "left_anti")
-        .join(heads.select("user_id", SLICE, "_start"), ["user_id", SLICE])
-        .select("user_id", SLICE, (F.col("_start") + F.col("_now")).alias("_start"))
-    )
-    closed = _closed(rows.join(starts, ["user_id", SLICE]), columns)
-    return reduce(DataFrame.unionByName, [closed, *pieces])
+    so_far = Window.partitionBy("_u").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    now = line.withColumn("_now", F.coalesce(F.last("_shift", ignorenulls=True).over(so_far), F.lit(0))).where(F.col("_kind") == 0)
+    runs = now.select("_u", F.col("_at").alias("_run"), (F.col("_open") + F.col("_now")).alias("_from"))
+    return runs.join(marks.select("_u", F.col("_after").alias("_run")), ["_u", "_run"], "left_anti")
+
+
+def _closed(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return _told(rows.withColumn("accepted", F.col("_ok")), columns, F.col("_from") + F.col("_sum"))
+
+
+def _told(rows: DataFrame, columns: Sequence[str], cents: Column) -> DataFrame:
+    return rows.select(*columns, "accepted", money(cents * F.lit(0.01).cast("decimal(3,2)"), 18).alias("balance"))
 
 
 def wallet_balances(ledger: DataFrame, opening: DataFrame | None = None, order: Sequence[str] = ("ts", "event_id")) -> DataFrame:

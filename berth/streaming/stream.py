@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from berth.functions import utc_clock, utc_instant
-from berth.operators.rank import HOT_ROWS
 from berth.operators.wallet import wallet_balances, wallet_ledger
 from berth.session import scratch
 
@@ -73,7 +72,7 @@ def stream_ingest(stream: DataFrame, valid: Column, out: str) -> None:
 
 
 def stream_wallet(
-    stream: DataFrame, out: str, opening: DataFrame | None = None, slice_by: Column | None = None, hot_rows: int = HOT_ROWS
+    stream: DataFrame, out: str, opening: DataFrame | None = None, slice_by: Column | None = None
 ) -> None:
     """Wallet ledger of a stream: entries in ``out/ledger``, balances in
     ``out/balances``. Each batch reads the balances the previous one left."""
@@ -82,7 +81,7 @@ def stream_wallet(
         spark = batch.sparkSession
         before = opening if batch_id == 0 else spark.read.parquet(f"{out}/balances/after={batch_id - 1}")
         entries = batch_folder(f"{out}/ledger", batch_id)
-        wallet_ledger(batch, before, slice_by=slice_by, hot_rows=hot_rows).write.mode("overwrite").parquet(entries)
+        wallet_ledger(batch, before, slice_by=slice_by).write.mode("overwrite").parquet(entries)
         ledger = spark.read.parquet(entries)
         wallet_balances(ledger, before).write.mode("overwrite").parquet(f"{out}/balances/after={batch_id}")
 

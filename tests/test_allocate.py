@@ -29,12 +29,12 @@ def batch(seed, scopes=4, requests=120, seats=7):
     return ask, have
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 5])
+@pytest.mark.parametrize("width", [1 << 16, 8])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_allocate_equals_replay(spark, seed, hot_rows):
+def test_allocate_equals_replay(spark, seed, width):
     ask, have = batch(seed)
     got = allocate(
-        spark.createDataFrame(ask, REQUEST), spark.createDataFrame(have, SEAT), ["rid"], id_slice("rid", 8), rac_capacity=3, hot_rows=hot_rows
+        spark.createDataFrame(ask, REQUEST), spark.createDataFrame(have, SEAT), ["rid"], id_slice("rid", width), rac_capacity=3
     )
     want = []
     for s in {a[1] for a in ask}:
@@ -43,13 +43,13 @@ def test_allocate_equals_replay(spark, seed, hot_rows):
     assert {tuple(r) for r in got.select("rid", "status", "coach_id", "seat_no", "queue_no").collect()} == set(want)
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 5])
-def test_class_wide_queue(spark, hot_rows):
+@pytest.mark.parametrize("width", [1 << 16, 8])
+def test_class_wide_queue(spark, width):
     ask, have = batch(3)
     old = [(1, "RAC")] * 2 + [(1, "WL")] * 4
     got = allocate(
-        spark.createDataFrame(ask, REQUEST), spark.createDataFrame(have, SEAT), ["rid"], id_slice("rid", 8),
-        existing=spark.createDataFrame(old, "class_no bigint, status string"), rac_capacity=6, queue_scope=["class_no"], hot_rows=hot_rows,
+        spark.createDataFrame(ask, REQUEST), spark.createDataFrame(have, SEAT), ["rid"], id_slice("rid", width),
+        existing=spark.createDataFrame(old, "class_no bigint, status string"), rac_capacity=6, queue_scope=["class_no"],
     )
     free = {s: sum(h[0] == s for h in have) for s in range(4)}
     want, rac, wl = {}, 2, 4
@@ -84,16 +84,16 @@ def test_seat_order(spark):
         allocate(ask, seats, ["rid"], id_slice("rid"), seat_order="random")
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 5])
+@pytest.mark.parametrize("width", [1 << 16, 8])
 @pytest.mark.parametrize("seed", [5, 6])
-def test_cancel_equals_replay(spark, seed, hot_rows):
+def test_cancel_equals_replay(spark, seed, width):
     ask, have = batch(seed, requests=100, seats=4)
     rng = random.Random(seed)
     gone = [a[0] for a in ask if rng.random() < 0.35]
-    done = allocate(spark.createDataFrame(ask, REQUEST), spark.createDataFrame(have, SEAT), ["rid"], id_slice("rid"), rac_capacity=3).cache()
+    done = allocate(spark.createDataFrame(ask, REQUEST), spark.createDataFrame(have, SEAT), ["rid"], id_slice("rid", width), rac_capacity=3).cache()
     after = cancel(
         spark.createDataFrame([(g,) for g in gone], "rid bigint"), done, available_seats(spark.createDataFrame(have, SEAT), done),
-        key=["rid"], rac_capacity=3, hot_rows=hot_rows,
+        key=["rid"], rac_capacity=3,
     ).collect()
     want = {}
     for s in {a[1] for a in ask}:
@@ -110,9 +110,9 @@ def test_cancel_equals_replay(spark, seed, hot_rows):
     assert None not in {h[2] for h in held} and len(held) == len(set(held))
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 5])
+@pytest.mark.parametrize("width", [1 << 16, 8])
 @pytest.mark.parametrize("seed", [8, 9])
-def test_interleaved_equals_replay(spark, seed, hot_rows):
+def test_interleaved_equals_replay(spark, seed, width):
     rng = random.Random(seed)
     events, booked = [], []
     for i in range(300):
@@ -123,7 +123,7 @@ def test_interleaved_equals_replay(spark, seed, hot_rows):
             booked.append((s, i))
             events.append((s, i, "book", i, 5))
     df = spark.createDataFrame(events, "scope bigint, n bigint, action string, passenger_id bigint, n_seats int")
-    got = replay_bookings(df, ["scope"], ["n"], id_slice("n", 16), 4, hot_rows).collect()
+    got = replay_bookings(df, ["scope"], ["n"], id_slice("n", width), 4).collect()
     desks, first = {s: replay.Desk([f"S{k}" for k in range(5)], 4) for s in range(3)}, {}
     for s, _, action, p, _ in events:
         if action == "book":

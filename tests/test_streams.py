@@ -24,8 +24,7 @@ def files(spark, folder, data, schema, parts):
     return st.read_stream(spark, str(folder), "*.parquet", max_files=1)
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 10])
-def test_wallet_stream(spark, tmp_path, hot_rows):
+def test_wallet_stream(spark, tmp_path):
     rng = random.Random(3)
     schema = "user_id bigint, ts timestamp_ntz, event_id bigint, kind string, amount decimal(12,2)"
     data = [
@@ -33,7 +32,7 @@ def test_wallet_stream(spark, tmp_path, hot_rows):
     ]
     stream = files(spark, tmp_path / "in", data, schema, 3)
     opening = spark.createDataFrame([(0, Decimal("3.00"))], "user_id bigint, balance decimal(12,2)")
-    st.stream_wallet(stream, str(tmp_path / "out"), opening, hot_rows=hot_rows)
+    st.stream_wallet(stream, str(tmp_path / "out"), opening)
     got = spark.read.parquet(str(tmp_path / "out" / "ledger")).select("event_id", "accepted", "balance")
     want = wallet_ledger(spark.createDataFrame(data, schema), opening).select("event_id", "accepted", "balance")
     assert rows(got) == rows(want)

@@ -23,13 +23,13 @@ def history(seed, users=4, n=300):
     return out
 
 
-@pytest.mark.parametrize("hot_rows", [1_000_000, 30])
+@pytest.mark.parametrize("run_rows", [1 << 16, 30])
 @pytest.mark.parametrize("seed", [1, 2, 3, 4])
-def test_ledger_equals_replay(spark, seed, hot_rows):
+def test_ledger_equals_replay(spark, seed, run_rows):
     events = history(seed)
     opening = {0: 12000, 1: 0, 2: 500000}
     frame = spark.createDataFrame([(u, Decimal(c) / 100) for u, c in opening.items()], "user_id bigint, balance decimal(12,2)")
-    got = wallet.wallet_ledger(spark.createDataFrame(events, EVENT), frame, hot_rows=hot_rows).collect()
+    got = wallet.wallet_ledger(spark.createDataFrame(events, EVENT), frame, run_rows=run_rows).collect()
     want = {}
     for user in {e[0] for e in events}:
         mine = [e for e in events if e[0] == user]
