@@ -31,12 +31,19 @@ def rac_fraction(seats: DataFrame, fraction: float = 0.5, by: Sequence[str] = ("
 
 
 def queue_counts(queue: DataFrame | None, scope: Sequence[str]) -> DataFrame | None:
-    """Members of the reserve queue and the waitlist per scope."""
+    """Members of the reserve queue and the waitlist per scope, and the last number of either.
+
+    Without a queue_no the queues count as dense, and the last number is the count.
+    """
     if queue is None:
         return None
-    return queue.groupBy(*scope).agg(
-        F.count_if(F.col("status") == RAC).alias("_rac"), F.count_if(F.col("status") == WL).alias("_wl")
-    )
+    parts = []
+    for name, status in (("_rac", RAC), ("_wl", WL)):
+        member = F.col("status") == status
+        count = F.count_if(member)
+        last = F.coalesce(F.max(F.when(member, F.col("queue_no"))), F.lit(0)) if "queue_no" in queue.columns else count
+        parts += [count.alias(name), last.cast("long").alias(f"{name}_no")]
+    return queue.groupBy(*scope).agg(*parts)
 
 
 def first_coach_only(seats: DataFrame, coaches: DataFrame) -> DataFrame:
@@ -70,7 +77,8 @@ def allocate(
     """Add status, coach_id, seat_no and queue_no to every request.
 
     ``seats``: the free seats (scope columns, coach_id, seat_no). ``existing``:
-    passengers already queued (queue scope columns, status). ``queue_scope`` may
+    passengers already queued (queue scope columns, status, queue_no): their count
+    takes of the capacity, new numbers go on from their largest, gaps stay. ``queue_scope`` may
     be coarser than ``scope``, such as the class alone. ``order`` must be total;
     ``slice_by`` is a long that never falls along it. ``rac_capacity`` is a
     number or a frame with that column and some of the queue scope's columns.
@@ -104,7 +112,8 @@ def _place(
     else:
         cap = F.lit(rac_capacity)
     rac = F.coalesce("_rac", F.lit(0)) if "_rac" in rows.columns else F.lit(0)
-    wl = F.coalesce("_wl", F.lit(0)) if "_wl" in rows.columns else F.lit(0)
+    last_rac = F.coalesce("_rac_no", F.lit(0)) if "_rac_no" in rows.columns else F.lit(0)
+    last_wl = F.coalesce("_wl_no", F.lit(0)) if "_wl_no" in rows.columns else F.lit(0)
     space = F.greatest(cap - rac, F.lit(0))
     q = F.col("_q")
     ranks = pool.select(
@@ -115,7 +124,7 @@ def _place(
         F.when(q <= 0, F.lit(CONFIRMED)).when(q <= space, F.lit(RAC)).otherwise(F.lit(WL)).alias("status"),
         F.col("_coach").alias("coach_id"),
         F.col("_seat").alias("seat_no"),
-        F.when(q <= 0, F.lit(None)).when(q <= space, rac + q).otherwise(wl + q - space).cast("long").alias("queue_no"),
+        F.when(q <= 0, F.lit(None)).when(q <= space, last_rac + q).otherwise(last_wl + q - space).cast("long").alias("queue_no"),
     )
 
 
@@ -240,15 +249,21 @@ def availability_status(
         cap = F.coalesce("_cap", F.lit(0))
     else:
         cap = F.lit(rac_capacity)
-    n, rac, wl = (F.coalesce(c, F.lit(0)) for c in ("_free", "_rac", "_wl"))
+    n, rac, last_rac, last_wl = (F.coalesce(c, F.lit(0)) for c in ("_free", "_rac", "_rac_no", "_wl_no"))
     return asked.select(
         *scope,
         F.when(n > 0, F.lit("Available")).when(rac < cap, F.lit("RAC")).otherwise(F.lit("Waitlist")).alias("status"),
         F.when(n > 0, n).alias("available_seats"),
-        F.when(n > 0, F.lit(None)).when(rac < cap, rac + 1).otherwise(wl + 1).cast("long").alias("queue_no"),
+        F.when(n > 0, F.lit(None)).when(rac < cap, last_rac + 1).otherwise(last_wl + 1).cast("long").alias("queue_no"),
     )
 
 
-def available_seats(seats: DataFrame, tickets: DataFrame, key: Sequence[str] = SEAT_KEY) -> DataFrame:
-    """Seats no confirmed ticket holds."""
+def available_seats(seats: DataFrame, tickets: DataFrame, key: Sequence[str] = SEAT_KEY, asked: DataFrame | None = None) -> DataFrame:
+    """Seats no confirmed ticket holds; of the asked services, dates or classes if given.
+
+    ``asked`` has some of the columns of ``seats``, such as train, date and class; it cuts
+    the seats down before they meet the tickets.
+    """
+    if asked is not None:
+        seats = seats.join(asked.distinct(), asked.columns, "left_semi")
     return seats.join(tickets.where(F.col("status") == CONFIRMED).select(*key), list(key), "left_anti")

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from berth.functions import pnr
+from berth.functions import money, pnr
 from berth.operators.allocate import CONFIRMED, RAC, RAC_CAPACITY, SCOPE, WL, allocate
 from berth.operators.pricing import price_distance, price_route
 from berth.operators.wallet import DEBIT, wallet_ledger
@@ -104,6 +104,17 @@ def book_groups(
     return tickets.withColumn("pnr", pnr("booking_id", as_of)), rejects.unionByName(unpriced.drop("fixed_fare", "fare"))
 
 
+def group_payments(tickets: DataFrame, bookings: DataFrame, ticket: Sequence[str] = ("booking_id", "passenger_no")) -> DataFrame:
+    """One payment per booking: the fares of its tickets, held by the last of them.
+
+    ``bookings``: booking_id, payment_mode and booking_date. Bookings without a ticket pay nothing.
+    """
+    paid = tickets.groupBy("booking_id").agg(
+        money(F.sum("fare"), 12).alias("amount"), F.count(F.lit(1)).alias("n_tickets"), F.max(F.struct(*ticket)).alias("last_ticket")
+    )
+    return paid.join(bookings.select("booking_id", "payment_mode", F.col("booking_date").alias("payment_date")), "booking_id").withColumn("refund_status", F.lit("No"))
+
+
 def booking_summary(tickets: DataFrame, by: Sequence[str] = ("booking_id",), amount: str = "fare") -> DataFrame:
     """Tickets per status and the total amount of each booking, in one pass."""
     return tickets.groupBy(*by).agg(

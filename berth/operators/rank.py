@@ -79,6 +79,16 @@ def ranked(
     return out if facts is None else out.join(facts, keys, "left")
 
 
+def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int, name: str = "position") -> DataFrame:
+    """The first ``k`` rows of every key along ``order``, with their position.
+
+    Spark keeps ``k`` rows of a key per task before it shuffles and sorts what is left, so
+    a key with most rows costs no full sort. ``order`` should be total, so that reruns agree.
+    """
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")
+    return df.withColumn(name, number).where(F.col(name) <= k)
+
+
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], value: str, name: str, slice_by: Column) -> DataFrame:
     """Sum of ``value`` up to and including each row per ``keys`` along ``order``."""
     return accumulated(df, list(keys), order, {name: value}, slice_by)

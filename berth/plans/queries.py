@@ -1055,7 +1055,8 @@ def join_loss(b: Bound) -> DataFrame:
     return audit.join_loss(rows, ["schedule_id", "class_no"], ["schedule_id", "name"])
 
 
-import berth.plans.stream_queries  # noqa: E402,F401  (registers the streaming queries)
+import berth.plans.operation_queries  # noqa: E402,F401  (register their queries)
+import berth.plans.stream_queries  # noqa: E402,F401
 
 
 def oracles() -> dict[str, str]:

@@ -21,6 +21,33 @@ def _events(b: Bound) -> DataFrame:
     return st.read_stream(b.spark, b.directory, EVENTS)
 
 
+class Turns:
+    """Rows that arrive in several turns by their time, as files of a stream."""
+
+    def __init__(self, b: Bound, rows: DataFrame, time: str = "ts", turns: int = 3):
+        self.b, self.path, self.turns = b, scratch(b.spark, "turns"), turns
+        seconds = F.unix_timestamp(F.col(time).cast("timestamp"))
+        low, high = rows.agg(F.min(seconds), F.max(seconds)).first()
+        width = ((high or 0) - (low or 0)) // turns + 1
+        self.rows = rows.withColumn("_turn", F.coalesce(F.floor((seconds - F.lit(low or 0)) / width), F.lit(0)))
+        rows.limit(0).write.parquet(self.path)  # so that the stream has a schema to start from
+
+    def stream(self) -> DataFrame:
+        return st.read_stream(self.b.spark, self.path, "*.parquet")
+
+    def arrive(self, turn: int) -> None:
+        self.rows.where(F.col("_turn") == turn).drop("_turn").write.mode("append").parquet(self.path)
+
+
+def _in_turns(found: st.Collected, *sources: Turns) -> DataFrame:
+    """The stream run once after every turn; its state lives on in the checkpoint."""
+    for turn in range(sources[0].turns):
+        for source in sources:
+            source.arrive(turn)
+        found.run()
+    return found.rows()
+
+
 def _wallet(events: DataFrame) -> DataFrame:
     kind = F.when(F.col("event_type") == "signup", F.lit(TOPUP)).when(F.col("event_type") == "purchase", F.lit(DEBIT)).when(
         F.col("event_type") == "click", F.lit(REFUND)
@@ -46,9 +73,26 @@ def stream_ingest(b: Bound) -> DataFrame:
     "SELECT user_id, event_id, accepted, balance FROM b_wallet_fold",
 )
 def stream_wallet(b: Bound) -> DataFrame:
-    out = scratch(b.spark, "wallet")
-    st.stream_wallet(_wallet(_events(b)), out)
-    return b.spark.read.parquet(f"{out}/ledger")
+    """Events in three batches; balances are state."""
+    source = Turns(b, _wallet(b.t["events"]))
+    return _in_turns(st.Collected(b.spark, st.stream_wallet(source.stream()), "wallet"), source)
+
+
+@query(
+    "stream_wallet_opening", "user_id bigint, event_id bigint, accepted boolean, balance decimal(18,2)",
+    """SELECT user_id, event_id, accepted, CAST(balance AS DECIMAL(18,2)) AS balance FROM (
+         WITH RECURSIVE f AS (
+           SELECT c_custkey AS user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, true AS accepted, CAST(c_acctbal AS DECIMAL(18,2)) AS balance FROM customer
+           UNION ALL
+           SELECT o.user_id, o.n, o.event_id, o.kind <> 'debit' OR f.balance >= o.amount,
+                  CAST(CASE WHEN o.kind <> 'debit' THEN f.balance + o.amount WHEN f.balance >= o.amount THEN f.balance - o.amount ELSE f.balance END AS DECIMAL(18,2))
+           FROM f JOIN b_wallet_order o ON o.user_id = f.user_id AND o.n = f.n + 1)
+         SELECT * FROM f WHERE n > 0) q""",
+)
+def stream_wallet_opening(b: Bound) -> DataFrame:
+    """The same from the customers' opening balances; customers' events only."""
+    source = Turns(b, _wallet(b.t["events"]).join(b.opening.select("user_id"), "user_id", "left_semi"))
+    return _in_turns(st.Collected(b.spark, st.stream_wallet(source.stream(), b.opening), "wallet"), source)
 
 
 @query(
@@ -80,16 +124,21 @@ def stream_dedup(b: Bound) -> DataFrame:
        WHERE r.schedule_id IN (SELECT user_id * 10000 + 1995 + event_id % 7 FROM events WHERE event_type = 'error')""",
 )
 def stream_refund_flags(b: Bound) -> DataFrame:
-    """An error event cancels the service of the train numbered as its user."""
+    """An error event cancels the service of the train numbered as its user, half a season in.
+
+    Tickets with a payment and changes arrive in three turns by their dates.
+    """
     seasons = SEASONS[1] - SEASONS[0] + 1
-    changes = _events(b).select(
-        (F.col("user_id") * 10000 + SEASONS[0] + F.col("event_id") % seasons).alias("schedule_id"),
-        F.lit("Running").alias("old_status"),
-        F.when(F.col("event_type") == "error", F.lit("Cancelled")).otherwise(F.lit("Running")).alias("status"),
+    season = SEASONS[0] + F.col("event_id") % seasons
+    day = F.date_add(F.make_date(season.cast("int"), F.lit(5), F.lit(1)), (F.col("event_id") % 100).cast("int"))
+    changes = b.t["events"].select(
+        (F.col("user_id") * 10000 + season).alias("schedule_id"), F.lit("Running").alias("old_status"),
+        F.when(F.col("event_type") == "error", F.lit("Cancelled")).otherwise(F.lit("Running")).alias("status"), day.cast("timestamp_ntz").alias("ts"),
     )
-    out = scratch(b.spark, "refunds")
-    st.stream_refund_flags(changes, b.requests.select("ticket_id", "schedule_id"), b.payments, out)
-    return b.spark.read.parquet(out).dropDuplicates(["ticket_id"])
+    dated = b.requests.select("ticket_id", "schedule_id", F.col("journey_date").cast("timestamp_ntz").alias("ts"))
+    tickets = b.payments.select("ticket_id", "amount").join(dated, "ticket_id")
+    first, second = Turns(b, changes), Turns(b, tickets)
+    return _in_turns(st.Collected(b.spark, st.stream_refund_flags(first.stream(), second.stream(), watermark="400 days"), "refunds"), first, second)
 
 
 _DESK = """
@@ -124,7 +173,8 @@ def _desk_events(events: DataFrame) -> DataFrame:
     "stream_allocate", "scope bigint, passenger_id bigint, booked_status string, booked_queue_no bigint, final_status string", _DESK
 )
 def stream_allocate(b: Bound) -> DataFrame:
-    said = st.collected(b.spark, st.stream_allocate(_desk_events(_events(b))), "desk")
+    source = Turns(b, _desk_events(b.t["events"]))
+    said = _in_turns(st.Collected(b.spark, st.stream_allocate(source.stream()), "desk"), source)
     at_booking = said.where(F.col("event_id") == F.col("passenger_id")).select(
         "scope", "passenger_id", F.col("status").alias("booked_status"), F.col("queue_no").alias("booked_queue_no")
     )

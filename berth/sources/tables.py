@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from berth.functions import hms_to_seconds, running_days
@@ -42,18 +42,22 @@ def tables(spark: SparkSession, directory: str) -> Tables:
 
 
 def read_fixture(spark: SparkSession, name: str, path: str) -> DataFrame:
-    """One of the header-less CSV files, with ids by row position.
+    """A table of header-less CSV files, with ids by row position.
 
     ``NULL`` is null, line ends may be CR LF, day lists become arrays and times
-    become seconds. The position comes from the file's own row index, so it needs
-    one file per table; the files are dimension tables of a few rows per train.
+    become seconds. Files count in the order of their paths, rows in that of their
+    file: rows are numbered within the splits they are read in, and the counts of the
+    splits before, one row each, are joined to them.
     """
     raw = spark.read.csv(path, schema=CSV_COLUMNS[name], nullValue="NULL", ignoreTrailingWhiteSpace=True)
-    # One file below the split size is one partition, whose rows count up in file
-    # order. More than one would make the ids ambiguous, so that is refused.
-    row = F.monotonically_increasing_id()
-    checked = F.when(row < (1 << 33), row + 1).otherwise(F.raise_error(F.lit(f"{name}: more than one file or split")))
-    out = raw.withColumn(CSV_IDS[name], checked.cast("bigint"))
+    split = F.struct("_metadata.file_path", "_metadata.file_block_start")
+    rows = raw.select("*", split.alias("_split"), F.monotonically_increasing_id().alias("_at"))
+    sizes = rows.groupBy("_split").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("_split", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    number = F.row_number().over(Window.partitionBy("_split").orderBy("_at"))
+    out = rows.withColumn("_row", number).join(before, "_split")
+    out = out.select(*raw.columns, (F.col("_before") + F.col("_row")).cast("bigint").alias(CSV_IDS[name]))
     if "running_days" in out.columns:
         out = out.withColumn("running_days", running_days("running_days"))
     if "arrival" in out.columns:

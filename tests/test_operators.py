@@ -113,7 +113,8 @@ def test_ledger_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, dt.date(2025, 1, 5)), (2, dt.date(2025, 2, 6))], "id int, journey_date date")
     path = str(tmp_path / "ledger")
     write_ledger(df, path)
-    write_ledger(df.withColumn("id", F.col("id") + 10), path)
+    write_ledger(df, path)  # the same batch again
+    write_ledger(df.withColumn("id", F.col("id") + 10), path, batch="1")
     assert rows(read_ledger(spark, path, "2025-02").select("id")) == [(12,), (2,)]
     plan = read_ledger(spark, path, "2025-02")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(journey_month" in plan
