@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from berth.operators.rank import ranked
 from berth.sources import constraints as c
+from berth.session import durable
 from berth.sources.schemas import DOMAINS
 
 
@@ -32,6 +33,43 @@ def cascade_delete(child: DataFrame, deleted: DataFrame, keys: Sequence[str]) ->
     return child.join(deleted.select(*keys), list(keys), "left_anti")
 
 
+def cascade(
+    tables: Mapping[str, DataFrame], deleted: Mapping[str, DataFrame], foreign: Sequence[tuple[str, str, str, str]] = c.FOREIGN_A,
+    set_null: Sequence[tuple[str, str]] = c.SET_NULL_A, unique: Mapping[str, Sequence[Sequence[str]]] = c.UNIQUE_A,
+) -> dict[str, DataFrame]:
+    """What is left of all ``tables`` when the ``deleted`` rows go, with all that depends on them.
+
+    ``deleted``: per table a frame with its first unique key. A reference of ``foreign``
+    takes the child along, unless it is one of ``set_null``: then the child stays with a
+    null. Rounds follow the references from what the last round deleted until nothing is
+    found, so chains, diamonds and cycles all end; each round is written. Tables that
+    nothing refers to stay the frames they were.
+    """
+    def key_of(name: str) -> list[str]:
+        return list(unique[name][0])
+
+    gone = {name: durable(tables[name].join(rows.select(*key_of(name)).distinct(), key_of(name), "left_semi")) for name, rows in deleted.items()}
+    last = dict(gone)
+    while last:
+        found: dict[str, list[DataFrame]] = {}
+        for child, column, parent, parent_column in foreign:
+            if child in tables and parent in last and (child, column) not in set_null:
+                keys = last[parent].select(F.col(parent_column).alias(column)).distinct()
+                found.setdefault(child, []).append(tables[child].join(keys, column, "left_semi").select(*tables[child].columns))
+        last = {}
+        for child, hits in found.items():
+            new = reduce(DataFrame.unionByName, hits).dropDuplicates(key_of(child))
+            new = durable(new.join(gone[child].select(*key_of(child)), key_of(child), "left_anti") if child in gone else new)
+            if not new.isEmpty():
+                last[child] = new
+                gone[child] = gone[child].unionByName(new) if child in gone else new
+    out = {name: df.join(gone[name].select(*key_of(name)), key_of(name), "left_anti") if name in gone else df for name, df in tables.items()}
+    for child, column, parent, parent_column in foreign:
+        if child in out and parent in gone and (child, column) in set_null:
+            out[child] = null_out(out[child], gone[parent].select(F.col(parent_column).alias(column)), column)
+    return out
+
+
 def null_out(child: DataFrame, deleted: DataFrame, key: str) -> DataFrame:
     """Child rows with the key set to null where its parent is deleted."""
     gone = deleted.select(key).distinct().withColumn("_gone", F.lit(True))

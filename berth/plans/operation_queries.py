@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from berth.functions import money
 from berth.operators import allocate as al
-from berth.operators import booking, cancellation, reports, search, wallet
+from berth.operators import audit, booking, cancellation, lossless, reports, search, wallet
 from berth.operators.rank import first_rows
 from berth.plans.bind import PASSENGER_ORDER, Bound
 from berth.plans.oracle import CTES
@@ -268,3 +268,63 @@ def ledger_cancelled_months(b: Bound) -> DataFrame:
         write_ledger(tickets.where(some), path, batch=batch)
     months = b.narrow_requests.where(F.col("is_cancelled") & (F.col("part_id") == 1)).select(F.date_format("journey_date", "yyyy-MM").alias("journey_month"))
     return read_ledger(b.spark, path, months=months).groupBy("journey_month").agg(F.count(F.lit(1)).alias("n_tickets"))
+
+
+# --- rules over several tables ----------------------------------------------
+
+
+@query(
+    "cascade_users", "table_name string, id string, payment_id bigint",
+    """WITH gone AS (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY'),
+            left_over AS (SELECT booking_id, user_id % 100 AS payment_id FROM b_orders WHERE user_id NOT IN (FROM gone))
+       SELECT 'users' AS table_name, CAST(c_custkey AS VARCHAR) AS id, NULL AS payment_id FROM customer WHERE c_custkey NOT IN (FROM gone)
+       UNION ALL SELECT 'wallets', CAST(c_custkey AS VARCHAR), NULL FROM customer WHERE c_custkey NOT IN (FROM gone)
+       UNION ALL SELECT 'payment_methods', CAST(c_custkey AS VARCHAR), NULL FROM customer WHERE c_custkey NOT IN (FROM gone)
+       UNION ALL SELECT 'tickets', CAST(booking_id AS VARCHAR), CASE WHEN payment_id NOT IN (FROM gone) THEN payment_id END FROM left_over
+       UNION ALL SELECT 'passengers', ticket_id, NULL FROM b_requests WHERE booking_id IN (SELECT booking_id FROM left_over)
+       UNION ALL SELECT 'transactions', CAST(booking_id AS VARCHAR), NULL FROM left_over""",
+)
+def cascade_users(b: Bound) -> DataFrame:
+    """Users of a segment go, and with them wallets, payment methods, tickets, passengers and transactions."""
+    users = b.opening.select("user_id")
+    orders = b.orders.select(F.col("booking_id").alias("ticket_id"), "user_id", (F.col("user_id") % 100).alias("payment_id"))
+    tables = {
+        "users": users, "wallets": users.withColumn("wallet_id", F.col("user_id")), "payment_methods": users.withColumn("payment_id", F.col("user_id")),
+        "tickets": orders, "passengers": b.requests.select(F.col("ticket_id").alias("passenger_id"), F.col("booking_id").alias("ticket_id")),
+        "transactions": orders.select(F.col("ticket_id").alias("transaction_id"), "ticket_id", "user_id"),
+    }
+    asked = b.t["customer"].where(F.col("c_mktsegment") == "MACHINERY").select(F.col("c_custkey").alias("user_id"))
+    left = audit.cascade(tables, {"users": asked})
+    keys = {"users": "user_id", "wallets": "wallet_id", "payment_methods": "payment_id", "tickets": "ticket_id", "passengers": "passenger_id", "transactions": "transaction_id"}
+    found = None
+    for name, key in keys.items():
+        payment = F.col("payment_id") if name == "tickets" else F.lit(None)
+        part = left[name].select(F.lit(name).alias("table_name"), F.col(key).cast("string").alias("id"), payment.cast("long").alias("payment_id"))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+_SPLITS = {
+    "sound 3": (("ticket_id", "schedule_id"), ("schedule_id", "train_id"), ("schedule_id", "season")),
+    "sound 4": (("ticket_id", "schedule_id"), ("schedule_id", "train_id"), ("schedule_id", "season"), ("ticket_id", "class_no")),
+    "invented 3": (("schedule_id", "train_id"), ("schedule_id", "class_no"), ("schedule_id", "line_no")),
+    "invented 4": (("train_id", "season"), ("train_id", "class_no"), ("season", "line_no"), ("train_id", "from_stop")),
+}
+
+
+def _split_sql(name: str, parts: tuple[tuple[str, ...], ...]) -> str:
+    columns, seen, joined = sorted({c for p in parts for c in p}), list(parts[0]), f"(SELECT DISTINCT {', '.join(parts[0])} FROM b_requests) p0"
+    for i, part in enumerate(parts[1:], 1):
+        joined += f" JOIN (SELECT DISTINCT {', '.join(part)} FROM b_requests) p{i} USING ({', '.join(c for c in part if c in seen)})"
+        seen += [c for c in part if c not in seen]
+    return f"SELECT '{name}' AS split, (SELECT count(*) FROM (SELECT DISTINCT {', '.join(columns)} FROM b_requests)) AS n_rows, (SELECT count(*) FROM {joined}) AS n_joined"
+
+
+@query("join_loss_parts", "split string, n_rows bigint, n_joined bigint", " UNION ALL ".join(_split_sql(n, p) for n, p in _SPLITS.items()))
+def join_loss_parts(b: Bound) -> DataFrame:
+    """Splits into three and four parts, two of them sound and two that invent rows."""
+    rows, found = b.requests.withColumn("season", F.year("journey_date")), None
+    for name, parts in _SPLITS.items():
+        size = lossless.joined_size(rows.select(*sorted({c for p in parts for c in p})), parts).withColumn("split", F.lit(name))
+        found = size if found is None else found.unionByName(size)
+    return found

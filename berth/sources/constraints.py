@@ -56,6 +56,8 @@ FOREIGN_A = [
     ("seats", "coach_id", "coaches", "coach_id"),
     ("seats", "schedule_id", "services", "schedule_id"),
 ]
+# (child, column): stays with a null when its parent is deleted; all others of FOREIGN_A go along
+SET_NULL_A = [("tickets", "payment_id")]
 FOREIGN_B = [
     ("trains", "src_station", "stations", "station_id"),
     ("trains", "dst_station", "stations", "station_id"),

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from berth.operators import allocate as al
-from berth.operators import cancellation, wallet
+from berth.operators import audit, cancellation, lossless, wallet
 from berth.operators.rank import accumulated, first_rows, id_slice, ranked
 from berth.sources import commit, committed, read_fixture, read_ledger, write_ledger
 from tests.conftest import rows
@@ -136,3 +136,41 @@ def test_fixture_of_several_files(spark, tmp_path):
         assert sorted((r.train_id, r.train_number) for r in got.collect()) == [(i + 1, str(i)) for i in range(900)]
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_cascade_follows_chains_and_cycles(spark):
+    tables = {
+        "users": spark.createDataFrame([(1,), (2,)], "user_id long"),
+        "payment_methods": spark.createDataFrame([(5, 1), (6, 2)], "payment_id long, user_id long"),
+        "tickets": spark.createDataFrame([(10, 1, 5), (11, 2, 5), (12, 2, 6)], "ticket_id long, user_id long, payment_id long"),
+        "passengers": spark.createDataFrame([(100, 10), (101, 11)], "passenger_id long, ticket_id long"),
+    }
+    left = audit.cascade(tables, {"users": spark.createDataFrame([(1,), (9,)], "user_id long")})
+    assert rows(left["users"]) == [(2,)] and rows(left["payment_methods"].select("payment_id")) == [(6,)] and rows(left["passengers"].select("passenger_id")) == [(101,)]
+    assert rows(left["tickets"].select("ticket_id", "payment_id")) == [(11, None), (12, 6)]
+    people = spark.createDataFrame([(1, 3), (2, 1), (3, 2), (4, None), (5, 4)], "id long, boss long")
+    ring = audit.cascade({"people": people}, {"people": people.where("id = 2")}, [("people", "boss", "people", "id")], [], {"people": [("id",)]})
+    assert rows(ring["people"].select("id")) == [(4,), (5,)]
+
+
+def test_joined_size_is_that_of_the_join(spark):
+    r = random.Random(4)
+    df = spark.createDataFrame([tuple(r.randrange(4) for _ in range(4)) for _ in range(60)], "a int, b int, c int, d int")
+    for parts in ((("a", "b"), ("b", "c"), ("c", "d")), (("a", "b"), ("a", "c"), ("a", "d")), (("a", "b", "c"), ("b", "d"))):
+        joined = df.select(*parts[0]).distinct()
+        for part in parts[1:]:
+            joined = joined.join(df.select(*part).distinct(), [c for c in part if c in joined.columns])
+        got = lossless.joined_size(df, parts).first()
+        assert (got.n_rows, got.n_joined) == (df.distinct().count(), joined.count())
+    for parts in ((("a", "b"), ("b", "c"), ("c", "a", "d"), ("d", "b")), (("a", "b"), ("c", "d"))):
+        with pytest.raises(ValueError):
+            lossless.joined_size(df, parts)
+
+
+def test_chase_decides_by_dependencies():
+    flight, parts = ["ticket", "service", "train", "season"], [["ticket", "service"], ["service", "train"], ["service", "season"]]
+    rules = [(["ticket"], ["service"]), (["service"], ["train", "season"])]
+    assert lossless.closure(["ticket"], rules) == set(flight)
+    assert lossless.lossless_by_chase(flight, parts, rules) and not lossless.lossless_by_chase(flight, parts, rules[:1])
+    ring = [["a", "b"], ["b", "c"], ["c", "a"]]
+    assert lossless.join_tree(ring) is None and lossless.lossless_by_chase(["a", "b", "c"], ring, [(["a"], ["b"]), (["b"], ["c"])]) and not lossless.lossless_by_chase(["a", "b", "c"], ring, [])
