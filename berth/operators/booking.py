@@ -73,10 +73,8 @@ def book_tickets(
     refused = paid.where(~F.coalesce("accepted", F.lit(False))).drop("kind", "amount", "accepted", "balance")
     others = priced.where(~F.coalesce(F.col("method") == "wallet", F.lit(False)))
     rejects = unpriced.unionByName(refused.withColumn("reason", F.lit(NO_FUNDS)), allowMissingColumns=True)
-    tickets = allocate(
-        others.unionByName(accepted), seats, passenger_order, slice_by, rac_capacity=rac_capacity, scope=scope,
-    )
-    return tickets, rejects
+    seated = durable(others.unionByName(accepted))
+    return allocate(seated, seats, passenger_order, slice_by, rac_capacity=rac_capacity, scope=scope), rejects
 
 
 def book_groups(

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,8 +20,8 @@ from berth.operators.rank import accumulated, time_slice
 from berth.session import durable
 
 TOPUP, DEBIT, REFUND = "topup", "debit", "refund"
-#: Events of a run; a run is folded in pieces of the square root of that.
-RUN_ROWS = 1 << 16
+#: Events of a run, the most that are gathered in one row, and of a piece of it.
+RUN_ROWS, PIECE_ROWS = 1 << 14, 128
 
 
 def wallet_events(
@@ -60,7 +59,7 @@ def wallet_ledger(
     """
     columns = events.columns
     rows = durable(_numbered(events, order, time_slice("ts") if slice_by is None else slice_by, refund_of, key, run_rows))
-    heads = durable(_heads(rows, opening))
+    heads = _heads(rows, opening)
     refunds = rows.where(F.col("_ref").isNotNull()).select("_u", "_run", "_ref") if refund_of else None
     history, folded, refused, shifts = [], [], None, None
     while True:
@@ -70,7 +69,7 @@ def wallet_ledger(
         piece = durable(_fold(rows.join(due.select("_u", "_run", "_start"), ["_u", "_run"]), refused, refund_of is not None))
         folded.append(piece)
         lost = piece.where(~F.col("accepted")).groupBy("_u").agg(F.sum(-F.col("_delta")).alias("_lost"))
-        shifts = durable(due.join(lost, "_u", "left").select("_u", F.col("_run").alias("_after"), (F.col("_shift") + F.coalesce("_lost", F.lit(0))).alias("_shift")))
+        shifts = due.join(lost, "_u", "left").select("_u", F.col("_run").alias("_after"), (F.col("_shift") + F.coalesce("_lost", F.lit(0))).alias("_shift"))
         history.append(shifts)
         if refund_of:
             new = piece.where((F.col("_delta") < 0) & ~F.col("accepted")).select("_u", F.col("_key").alias("_refused"))
@@ -82,7 +81,7 @@ def wallet_ledger(
 
 
 def _numbered(events: DataFrame, order: Sequence[str], slice_by: Column, refund_of: str | None, key: str, run_rows: int) -> DataFrame:
-    """Events with user, signed cents, number, running sum, run and piece; void ones with 0 cents."""
+    """Events with user, signed cents, number, running sum and run; void ones with 0 cents."""
     cents = (F.col("amount") * 100).cast("long")
     rows = events.withColumns({
         "_u": F.struct("user_id"), "_delta": F.when(F.col("kind") == DEBIT, -cents).otherwise(cents), "_ok": F.lit(True),
@@ -95,8 +94,7 @@ def _numbered(events: DataFrame, order: Sequence[str], slice_by: Column, refund_
         known = F.col("_ref").isNull() | F.coalesce(F.col("_at") < F.struct(*order), F.lit(False))
         rows = rows.withColumns({"_ok": known, "_delta": F.when(known, F.col("_delta")).otherwise(F.lit(0))}).drop("_du", "_dk", "_at")
     rows = accumulated(rows, ["user_id"], order, {"_no": None, "_sum": "_delta"}, slice_by)
-    first = F.col("_no") - 1
-    return rows.withColumns({"_run": F.floor(first / run_rows).cast("long"), "_piece": F.floor(first / isqrt(run_rows)).cast("long")})
+    return rows.withColumn("_run", F.floor((F.col("_no") - 1) / run_rows).cast("long"))
 
 
 def _heads(rows: DataFrame, opening: DataFrame | None) -> DataFrame:
@@ -124,57 +122,45 @@ def _due(heads: DataFrame, shifts: DataFrame | None, refunds: DataFrame | None,
 def _fold(todo: DataFrame, refused: DataFrame | None, linked: bool) -> DataFrame:
     """Events of runs that start from ``_start``, in order: accepted and _cents after each.
 
-    First the balances from which the pieces of a run start, by a fold that keeps nothing
-    else; then every piece on its own, event by event.
+    A run is one sorted array, folded in pieces: what is told of a piece grows with the
+    piece only, and the balance goes on from piece to piece.
     """
-    todo = todo.withColumn("_row", F.struct(*[c for c in todo.columns if c not in ("_u", "_run", "_piece", "_start")]))
+    todo = todo.withColumn("_row", F.struct(*[c for c in todo.columns if c not in ("_u", "_run", "_start")]))
     if refused is not None:
         known = refused.select(F.col("_u").alias("_ru"), "_refused")
         todo = todo.join(known, (F.col("_u") == F.col("_ru")) & (F.col("_ref") == F.col("_refused")), "left")
     void = ~F.col("_ok") if refused is None else ~F.col("_ok") | F.col("_refused").isNotNull()
     each = F.struct("_no", "_delta", "_key", "_ref", void.alias("_void"), "_row")
-    pieces = todo.groupBy("_u", "_run", "_piece").agg(F.first("_start").alias("_start"), F.sort_array(F.collect_list(each)).alias("_events"))
-
-    def decided(state: Column, e: Column) -> tuple[Column, Column]:
-        counts = ~e["_void"] & ~F.coalesce(F.array_contains(state["gone"], e["_ref"]), F.lit(False)) if linked else ~e["_void"]
-        accepted = counts & ((e["_delta"] >= 0) | (state["cents"] + e["_delta"] >= 0))
-        return accepted, state["cents"] + F.when(accepted, e["_delta"]).otherwise(F.lit(0))
+    runs = todo.groupBy("_u", "_run").agg(F.first("_start").alias("_start"), F.sort_array(F.collect_list(each)).alias("_events"))
 
     def step(state: Column, e: Column) -> Column:
-        accepted, cents = decided(state, e)
-        gone = F.when((e["_delta"] < 0) & ~accepted, F.concat(state["gone"], F.array(e["_key"]))).otherwise(state["gone"]) if linked else state["gone"]
-        return F.struct(cents.alias("cents"), gone.alias("gone"))
-
-    keys = todo.schema["_key"].dataType
-    nobody = F.array().cast(f"array<{keys.simpleString()}>")
-    start = F.struct("_start", nobody.alias("gone"))
-    lean = F.transform("_events", lambda e: F.struct(e["_delta"].alias("_delta"), e["_key"].alias("_key"), e["_ref"].alias("_ref"), e["_void"].alias("_void")))
-    runs = pieces.select("_u", "_run", "_piece", "_start", lean.alias("_lean")).groupBy("_u", "_run").agg(
-        F.first("_start").alias("_start"), F.sort_array(F.collect_list(F.struct("_piece", "_lean"))).alias("_pieces")
-    )
-    state = f"struct<cents: bigint, gone: array<{keys.simpleString()}>>"
-    starts = F.aggregate(
-        "_pieces",
-        F.struct(start.cast(state).alias("now"), F.array().cast(f"array<struct<_piece: bigint, _from: {state}>>").alias("starts")),
-        lambda acc, p: F.struct(
-            F.aggregate(p["_lean"], acc["now"], step).alias("now"),
-            F.concat(acc["starts"], F.array(F.struct(p["_piece"].alias("_piece"), acc["now"].alias("_from")))).alias("starts"),
-        ),
-        lambda acc: acc["starts"],
-    )
-    begun = runs.select("_u", "_run", F.inline(starts))
-
-    def tell(acc: Column, e: Column) -> Column:
-        accepted, cents = decided(acc["now"], e)
-        said = F.array(F.struct(accepted.alias("accepted"), cents.alias("_cents")))
-        return F.struct(step(acc["now"], e).alias("now"), F.concat(acc["said"], said).alias("said"))
-
-    told = F.aggregate(
-        "_events", F.struct(F.col("_from").alias("now"), F.array().cast("array<struct<accepted: boolean, _cents: bigint>>").alias("said")), tell, lambda acc: acc["said"]
-    )
-    done = pieces.drop("_start").join(begun, ["_u", "_run", "_piece"]).withColumn("_said", told)
-    pairs = F.zip_with("_events", "_said", lambda e, s: F.struct(e["_row"].alias("_row"), s["accepted"].alias("accepted"), s["_cents"].alias("_cents")))
-    return done.select("_u", "_run", F.inline(pairs)).select("_u", "_run", "_row.*", "accepted", "_cents")
+        """Balance, what is told, and the refused debits that a refund may name."""
+        counts = ~e["_void"]
+        if linked:
+            counts = counts & ~F.coalesce(F.array_contains(state["gone"], e["_ref"]), F.lit(False))
+        accepted = counts & ((e["_delta"] >= 0) | (state["cents"] + e["_delta"] >= 0))
+        cents = state["cents"] + F.when(accepted, e["_delta"]).otherwise(F.lit(0))
+        gone = state["gone"]
+        if linked:
+            gone = F.when((e["_delta"] < 0) & ~accepted, F.concat(gone, F.array(e["_key"]))).otherwise(gone)
+        told = F.struct(accepted.alias("accepted"), cents.alias("_cents"))
+        return F.struct(cents.alias("cents"), gone.alias("gone"), F.concat(state["told"], F.array(told)).alias("told"))
+
+    keys = todo.schema["_key"].dataType.simpleString()
+    tells = "array<struct<accepted: boolean, _cents: bigint>>"
+    state = f"struct<cents: bigint, gone: array<{keys}>, told: {tells}>"
+    nobody, nothing = F.array().cast(f"array<{keys}>"), F.array().cast(tells)
+    size, width = F.size("_events"), PIECE_ROWS
+    pieces = F.transform(F.sequence(F.lit(1), size, F.lit(width)), lambda i: F.slice("_events", i, width))
+
+    def piece(acc: Column, events: Column) -> Column:
+        begun = F.struct(acc["last"]["cents"].alias("cents"), acc["last"]["gone"].alias("gone"), nothing.alias("told"))
+        return F.struct(F.aggregate(events, begun, step).alias("last"), F.concat(acc["told"], F.array(acc["last"]["told"])).alias("told"))
+
+    first = F.struct(F.struct(F.col("_start").alias("cents"), nobody.alias("gone"), nothing.alias("told")).cast(state).alias("last"), F.array().cast(f"array<{tells}>").alias("told"))
+    told = F.aggregate(pieces, first, piece, lambda acc: F.flatten(F.concat(acc["told"], F.array(acc["last"]["told"]))))
+    pairs = F.zip_with("_events", told, lambda e, t: F.struct(e["_row"].alias("_row"), t["accepted"].alias("accepted"), t["_cents"].alias("_cents")))
+    return runs.select("_u", "_run", F.inline(pairs)).select("_u", "_run", "_row.*", "accepted", "_cents")
 
 
 def _in_force(heads: DataFrame, history: Sequence[DataFrame]) -> DataFrame:

@@ -302,6 +302,12 @@ def _alloc(b: Bound, **options) -> DataFrame:
     return b.label(al.allocate(b.narrow_requests, b.seats, PASSENGER_ORDER, b.slice_by, scope=SERVICE, **options))
 
 
+def _narrow(b: Bound) -> DataFrame:
+    """Allocated passengers with no more than their keys; ``ticket_id`` follows from these."""
+    done = al.allocate(b.narrow_requests, b.seats, PASSENGER_ORDER, b.slice_by, scope=SERVICE)
+    return done.select(*PASSENGER_ORDER, *SERVICE, "is_cancelled", "status", "coach_id", "seat_no", "queue_no")
+
+
 def _tickets(b: Bound) -> DataFrame:
     """Allocated passengers with booking reference, user and booking date."""
     return (
@@ -514,7 +520,7 @@ def ticket_status(b: Bound) -> DataFrame:
              FROM (SELECT DISTINCT schedule_id, class_no FROM b_seats) LEFT JOIN b_alloc USING (schedule_id, class_no) GROUP BY ALL)""",
 )
 def availability_status(b: Bound) -> DataFrame:
-    done = durable(_alloc(b))
+    done = durable(_narrow(b).drop(*PASSENGER_ORDER))
     return al.availability_status(b.seats, al.available_seats(b.seats, done, SERVICE_SEAT), done.where(F.col("status") != al.CONFIRMED), scope=SERVICE)
 
 
@@ -548,8 +554,9 @@ def seat_status(b: Bound) -> DataFrame:
        FROM b_moved""",
 )
 def cancel(b: Bound) -> DataFrame:
-    done = durable(_alloc(b))
-    return al.cancel(done.where("is_cancelled"), done, al.available_seats(b.seats, done, SERVICE_SEAT), key=["ticket_id"], scope=SERVICE)
+    done = durable(_narrow(b))
+    after = al.cancel(done.where("is_cancelled"), done, al.available_seats(b.seats, done, SERVICE_SEAT), key=PASSENGER_ORDER, scope=SERVICE)
+    return after.withColumn("ticket_id", b.ticket_id())
 
 
 @query(
@@ -559,10 +566,10 @@ def cancel(b: Bound) -> DataFrame:
        FROM b_moved""",
 )
 def promote(b: Bound) -> DataFrame:
-    done = durable(_alloc(b))
+    done = durable(_narrow(b))
     queue = done.where(~F.col("is_cancelled") & (F.col("status") != al.CONFIRMED))
     kept = done.where(~F.col("is_cancelled") & (F.col("status") == al.CONFIRMED))
-    return al.promote(queue, al.available_seats(b.seats, kept, SERVICE_SEAT), scope=SERVICE)
+    return al.promote(queue, al.available_seats(b.seats, kept, SERVICE_SEAT), scope=SERVICE).withColumn("ticket_id", b.ticket_id())
 
 
 @query(
