@@ -49,7 +49,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(table(spark, sf_dir, "documents"))
 
 
-ORACLES["op1_substring_dedup"] = substring_dedup.SQL
+@query
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(table(spark, sf_dir, "documents"), unit="line")
+
+
+ORACLES["op1_line_dedup"] = substring_dedup.SQL
 
 
 @query

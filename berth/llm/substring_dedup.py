@@ -1,24 +1,27 @@
-"""Substring dedup by lines or pieces: of every recurring passage the earliest occurrence stays.
+"""Substring dedup: of every recurring passage the earliest occurrence stays.
 
-Lines are normalised (A-Z to lower case, white space to single spaces) and digested. A
+Units are normalised (A-Z to lower case, white space to single spaces) and digested. A
 digest that occurs more than once keeps its earliest occurrence: by key, null last, then
-digest of the text, then position. All others are repeats. A run of consecutive repeats
-in a document, blank lines aside, that has ``RUN_WORDS`` words or more is a passage and is
-cut out; a shorter one, such as a heading or a licence line, stays. The offsets of what is
-cut refer to the original text, in characters.
-
-With ``unit="piece"`` the units don't depend on line breaks, so a passage inside a longer
-line or broken differently has digests of its own. A piece ends after the first word, from
-its ``PIECE_WORDS``th on, that ends in a sentence mark or whose own digest falls in one of
-``ENDS`` of 256 parts; both are found again wherever the words stand. Of a passage the
-words before its first such end, and after its last, share a piece with what stands beside
-it and stay. Offsets are those of a whole run, from its first word to its last.
+digest of the text, then position. All others are repeats. What repeats cover without a
+gap is a passage if it has ``RUN_WORDS`` words or more and is cut out; a shorter one, such
+as a heading or a licence line, stays. The offsets of what is cut refer to the original
+text, in characters. Units are
+
+* ``window``: runs of ``WINDOW`` words that stand anywhere. Of any ``NEAR`` successive runs
+  the one with the smallest digest is a unit, so every repeated passage of
+  ``WINDOW + NEAR - 1`` words holds the same unit wherever it stands, whatever the line
+  breaks, and units overlap. At either end ``NEAR - 1`` words of a passage at most stay.
+* ``line``: what stands between two newlines; blank lines end no passage.
+* ``piece``: words up to the first one, from the ``PIECE_WORDS``th on, that ends in a
+  sentence mark or whose digest falls in one of ``ENDS`` of 256 parts. The words of a passage
+  before its first such end and after its last share a piece with what stands beside it
+  and stay.
 
 The earliest occurrence comes from a minimum that Spark combines before it shuffles, and
-only digests that recur meet the lines again, in a join whose hot keys Spark splits. What
+only digests that recur meet the units again, in a join whose hot keys Spark splits. What
 is gathered per document is bounded by the document.
 
-A null text stays null and has no lines; an empty one stays empty. Rows that agree in key
+A null text stays null and has no units; an empty one stays empty. Rows that agree in key
 and text share one rank: what the earliest document of a passage keeps, all its equal
 rows keep. Other columns pass through ``remove`` untouched, whatever their names. An
 empty table gives an empty result.
@@ -29,14 +32,18 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from berth.llm.common import unused
 from berth.session import durable
 
-RUN_WORDS = 30
+RUN_WORDS = 28
+#: Words of a window, and successive windows of which one at least is a unit.
+WINDOW, NEAR = 12, 12
 #: Least words of a piece, and in how many of 256 parts the digest of a word ends one.
 PIECE_WORDS, ENDS = 4, 32
 KNOWN = 300_000
@@ -80,29 +87,73 @@ def piece_ends(words: list[bytes], known: dict) -> list[int]:
     return out if last == len(words) else [*out, len(words)]
 
 
-def _digests(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    known = _Ends()
-    for texts in batches:
-        sizes, first, second = [0], [], []
-        for text in texts.to_pylist():
-            words, at = (text or "").encode().lower().split(), 0
-            for end in piece_ends(words, known):
-                digest = xxhash.xxh3_128_digest(b" ".join(words[at:end]))
-                first.append(int.from_bytes(digest[:8], "big", signed=True))
-                second.append(int.from_bytes(digest[8:], "big", signed=True))
-                at = end
-            sizes.append(len(first))
-        digests = pa.StructArray.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64())], ["d1", "d2"])
-        yield pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), digests)
-
-
-def _pieces(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Pieces of the words: digest, rank and document."""
-    digests = F.arrow_udf(_digests, "array<struct<d1: bigint, d2: bigint>>").asNondeterministic()
-    found = docs.select(docs[key].alias("__key"), F.xxhash64(docs[text]).alias("__hash"), digests(docs[text]).alias("__found"))
-    found = found.select("__key", "__hash", F.posexplode("__found").alias("__pos", "__d"))
-    rank = F.struct(F.col("__key").isNull().alias("n"), F.col("__key").alias("k"), F.col("__hash").alias("h"), F.col("__pos").alias("p"))
-    return found.select(F.col("__d.d1").alias("__d1"), F.col("__d.d2").alias("__d2"), rank.alias("__rank"))
+class _Numbers(dict):
+    """64-bit number of a word (lower case, bytes)."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64 and len(self) < KNOWN:
+            self[word] = found
+        return found
+
+
+def _scattered(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def windows(words: list[bytes], known: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two digests and the first word of each unit among the windows of a text."""
+    n = len(words) - WINDOW + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    numbers = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    first, second = np.full(n, 1, np.uint64), np.full(n, 2, np.uint64)
+    for i in range(WINDOW):
+        part = numbers[i : i + n]
+        first, second = _scattered(first ^ part), _scattered(second + part)
+    near = np.lib.stride_tricks.sliding_window_view(first, min(NEAR, n))
+    chosen = np.unique(near.argmin(1) + np.arange(len(near)))
+    return first[chosen].astype(np.int64), second[chosen].astype(np.int64), chosen
+
+
+def pieces(words: list[bytes], known: dict) -> tuple[list[int], list[int], range]:
+    """Two digests and the number of each piece of a text."""
+    at, first, second = 0, [], []
+    for end in piece_ends(words, known):
+        digest = xxhash.xxh3_128_digest(b" ".join(words[at:end]))
+        first.append(int.from_bytes(digest[:8], "big", signed=True))
+        second.append(int.from_bytes(digest[8:], "big", signed=True))
+        at = end
+    return first, second, range(len(first))
+
+
+_KINDS = {"window": (windows, _Numbers), "piece": (pieces, _Ends)}
+
+
+def _digests(unit: str):
+    def digests(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        find, memory = _KINDS[unit]
+        known = memory()
+        for texts in batches:
+            found = [find((t or "").encode().lower().split(), known) for t in texts.to_pylist()]
+            sizes = np.cumsum([0] + [len(p) for _, _, p in found])
+            columns = [pa.array(np.concatenate([np.asarray(f[i], np.int64) for f in found] or [np.zeros(0, np.int64)])) for i in range(3)]
+            yield pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays(columns, ["d1", "d2", "p"]))
+
+    return digests
+
+
+def _hashed(unit: str):
+    def units(docs: DataFrame, key: str, text: str) -> DataFrame:
+        """Windows or pieces of the words: digests and rank."""
+        digests = F.arrow_udf(_digests(unit), "array<struct<d1: bigint, d2: bigint, p: bigint>>").asNondeterministic()
+        found = docs.select(docs[key].alias("__key"), F.xxhash64(docs[text]).alias("__hash"), digests(docs[text]).alias("__found"))
+        found = found.select("__key", "__hash", F.explode("__found").alias("__d"))
+        rank = F.struct(F.col("__key").isNull().alias("n"), F.col("__key").alias("k"), F.col("__hash").alias("h"), F.col("__d.p").cast("int").alias("p"))
+        return found.select(F.col("__d.d1").alias("__d1"), F.col("__d.d2").alias("__d2"), rank.alias("__rank"))
+
+    return units
 
 
 def _cut(passages: Callable, run_words: int):
@@ -162,33 +213,57 @@ def piece_passages(text: str | None, repeats: list[int] | None, run_words: int =
     return kept, len(ends), cut, starts, stops
 
 
-UNITS = {"line": (_units, passages), "piece": (_pieces, piece_passages)}
+def window_passages(text: str | None, repeats: list[int] | None, run_words: int = RUN_WORDS) -> tuple:
+    """Text without the passages that repeated windows cover; words, words cut, offsets of the passages."""
+    if text is None:
+        return None, 0, 0, [], []
+    runs: list[list[int]] = []
+    for at in sorted(set(repeats or ())):
+        if runs and at <= runs[-1][1]:
+            runs[-1][1] = at + WINDOW
+        else:
+            runs.append([at, at + WINDOW])
+    runs = [run for run in runs if run[1] - run[0] >= run_words]
+    if not runs:
+        return text, len(text.encode().split()), 0, [], []
+    spans = [m.span() for m in _word_spans(text)]
+    starts, stops = [spans[a][0] for a, _ in runs], [spans[b - 1][1] for _, b in runs]
+    kept = "".join(text[a:b] for a, b in zip([0, *stops], [*starts, len(text)], strict=True))
+    return kept, len(spans), sum(b - a for a, b in runs), starts, stops
+
+
+UNITS = {"window": (_hashed("window"), window_passages), "line": (_units, passages), "piece": (_hashed("piece"), piece_passages)}
 
 
-def annotate(docs: DataFrame, key: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS, unit: str = "line") -> DataFrame:
-    """``docs`` with __cut: the text that stays, n_units, n_removed, and starts and ends of what goes."""
+def annotate(docs: DataFrame, key: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS, unit: str = "window", out: str = "cut") -> DataFrame:
+    """``docs`` with ``out``: the text that stays, n_units (words of windows), n_removed, and starts and ends of what goes."""
     find, cut_out = UNITS[unit]
     units = find(docs, key, text)
-    first = durable(units.groupBy("__d1", "__d2").agg(F.min("__rank").alias("__first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    # narrow counts first: only units whose digest recurs are carried with their ranks
+    recurs = durable(units.groupBy("__d1").agg(F.count("*").alias("n")).where("n > 1").select("__d1"))
+    units = durable(units.join(recurs, "__d1", "left_semi"))
+    first = units.groupBy("__d1", "__d2").agg(F.min("__rank").alias("__first"))
     again = units.join(first, ["__d1", "__d2"]).where(F.col("__rank") != F.col("__first"))
-    again = again.groupBy(F.col("__rank.k").alias("__key_"), F.col("__rank.h").alias("__hash_")).agg(F.collect_list("__rank.p").alias("__again"))
-    keyed = docs.withColumns({"__key": docs[key], "__hash": F.xxhash64(docs[text])})
-    joined = keyed.join(again, F.col("__key").eqNullSafe(F.col("__key_")) & (F.col("__hash") == F.col("__hash_")), "left")
+    k, h, k2, h2, places = unused(docs, "__key", "__hash", "__key_", "__hash_", "__again")
+    again = again.groupBy(F.col("__rank.k").alias(k2), F.col("__rank.h").alias(h2)).agg(F.collect_list("__rank.p").alias(places))
+    keyed = docs.withColumns({k: docs[key], h: F.xxhash64(docs[text])})
+    joined = keyed.join(again, F.col(k).eqNullSafe(F.col(k2)) & (F.col(h) == F.col(h2)), "left")
     cut = F.arrow_udf(_cut(cut_out, run_words), _CUT).asNondeterministic()
-    return joined.withColumn("__cut", cut(F.col(text), F.col("__again"))).drop("__key", "__hash", "__key_", "__hash_", "__again")
+    return joined.withColumn(out, cut(F.col(text), F.col(places))).drop(k, h, k2, h2, places)
 
 
-def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS, unit: str = "line") -> DataFrame:
+def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS, unit: str = "window") -> DataFrame:
     """The documents, without their repeated passages."""
-    out = annotate(docs, key, text, run_words, unit)
-    return out.select(*[F.col("__cut.text").alias(c) if c == text else F.col(c) for c in docs.columns])
+    (cut,) = unused(docs, "__cut")
+    out = annotate(docs, key, text, run_words, unit, cut)
+    return out.select(*[F.col(f"{cut}.text").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
 
 
-def report(docs: DataFrame, key: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS, unit: str = "line") -> DataFrame:
-    """Per document: key, n_units, n_removed, removed (start:end, ...) and the text that stays."""
+def report(docs: DataFrame, key: str = "doc_id", text: str = "text", run_words: int = RUN_WORDS, unit: str = "window") -> DataFrame:
+    """Per document: key, whether it is changed, n_units, n_removed, removed (start:end, ...) and the text that stays."""
     spans = F.array_join(F.zip_with("__cut.starts", "__cut.ends", lambda a, b: F.concat_ws(":", a, b)), ",")
-    out = annotate(docs.select(key, text), key, text, run_words, unit)
-    return out.select(key, "__cut.n_units", "__cut.n_removed", spans.alias("removed"), "__cut.text")
+    out = annotate(docs.select(key, text), key, text, run_words, unit, "__cut")
+    return out.select(key, (F.col("__cut.n_removed") > 0).alias("changed"), "__cut.n_units", "__cut.n_removed", spans.alias("removed"), "__cut.text")
 
 
 SQL = rf"""
@@ -211,6 +286,6 @@ WITH l AS (
     coalesce(string_agg(line, chr(10) ORDER BY n.pos) FILTER (NOT coalesce(c.cut, false)), '') AS text
   FROM n LEFT JOIN c ON n.r = c.r AND n.pos = c.pos GROUP BY n.r
 )
-SELECT d.doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed, a.text
+SELECT d.doc_id, coalesce(n_removed, 0) > 0 AS changed, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed, a.text
 FROM (SELECT *, row_number() OVER () AS r FROM documents) d LEFT JOIN a ON d.r = a.r
 """

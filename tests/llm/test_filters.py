@@ -10,6 +10,8 @@ import public_tokenizers as P
 import tiktoken
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from berth.llm import mixing, quality_rules, queries, substring_dedup
 from tests.llm.conftest import LONG, SF, frame
@@ -22,7 +24,7 @@ def sql(name, sf=SF):
     return con.sql(queries.ORACLES[name])
 
 
-@pytest.mark.parametrize("name", ["op1_substring_dedup", "op5_pareto_mix"])
+@pytest.mark.parametrize("name", ["op1_line_dedup", "op5_pareto_mix"])
 def test_queries_are_their_sql(spark, name):
     out, want = queries.QUERIES[name](spark, SF), sql(name)
     assert sorted(map(tuple, out.select(*want.columns).collect())) == sorted(want.fetchall())
@@ -39,14 +41,79 @@ def test_passages():
 def test_passages_go_from_all_but_the_earliest(spark, edge, empty):
     passage = " ".join(f"p{i}" for i in range(60))
     rows = [(3, f"mine alone\n{passage}\nmore of it", "en", "a"), (1, f"own start\n  {passage.upper()} \nown end", "en", "b"), (2, f"{passage}\n{passage}", "en", "b"), (4, "short line\nmine alone", "en", "c")]
-    out = {r["doc_id"]: r["text"] for r in substring_dedup.remove(frame(spark, rows)).collect()}
+    out = {r["doc_id"]: r["text"] for r in substring_dedup.remove(frame(spark, rows), unit="line").collect()}
     assert out == {1: rows[1][1], 2: "", 3: "mine alone\nmore of it", 4: rows[3][1]}
-    kept = substring_dedup.remove(edge)
+    kept = substring_dedup.remove(edge, unit="line")
     assert kept.columns == edge.columns and kept.count() == edge.count()
     got = [(r["doc_id"], r["text"]) for r in kept.collect()]
     assert (2, None) in got and (3, "") in got and (5, LONG) in got and (6, "") in got
     assert [t for i, t in got if i == 1] == [rows_of(edge, 1)] * 2  # repeated rows share their rank
+    assert substring_dedup.report(empty, unit="line").count() == 0
+
+
+def plain_windows(docs):
+    """All windows of all texts compared as words; of NEAR successive ones the smallest digest is a unit."""
+    found, first = {}, {}
+    for key, text in docs:
+        words = ["".join(c.lower() if c.isascii() else c for c in w) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+        grams = [tuple(words[i : i + 12]) for i in range(len(words) - 11)]
+        order = [int(np.uint64(substring_dedup.windows([w.encode() for w in g], substring_dedup._Numbers())[0][0])) for g in grams]
+        units = {min(range(i, min(i + 12, len(grams))), key=lambda k: (order[k], k)) for i in range(max(1, len(grams) - 11))} if grams else set()
+        found[key] = {p: grams[p] for p in sorted(units)}
+        for p, g in found[key].items():
+            first.setdefault(g, (key, p))
+    out = {}
+    for key, text in docs:
+        covered = {w for p, g in found[key].items() if first[g] != (key, p) for w in range(p, p + 12)}
+        spans, runs = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text or "")], []
+        for w in sorted(covered):
+            if runs and runs[-1][1] == w:
+                runs[-1][1] = w + 1
+            else:
+                runs.append([w, w + 1])
+        kept, at = "", 0
+        for a, b in runs:
+            if b - a >= 28:
+                kept, at = kept + text[at : spans[a][0]], spans[b - 1][1]
+        out[key] = None if text is None else kept + text[at:]
+    return out
+
+
+def test_windows_are_their_plain_version(spark, rules_sf):
+    docs = sorted((r["doc_id"], r["text"]) for r in rules_sf.collect())
+    want = plain_windows(docs)
+    out = {r["doc_id"]: r for r in queries.QUERIES["op1_substring_dedup"](spark, SF).collect()}
+    assert {i: r["text"] for i, r in out.items()} == want and any(want[i] != text for i, text in docs)
+    assert all(r["changed"] == (r["text"] != text) for (i, text) in docs for r in [out[i]])
+
+
+@pytest.mark.parametrize("words", [51, 60, 120])
+def test_passages_anywhere_go(spark, words):
+    rng, docs = np.random.default_rng(words), []
+    own = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    planted = {}
+    for i in range(0, 200, 2):
+        passage, breaks = own(words), rng.integers(3, 20, 200)
+        lines = [passage[a:b] for a, b in zip(np.cumsum([0, *breaks]), np.cumsum(breaks), strict=False) if a < words]
+        docs += [(i, " ".join(own(40) + passage + own(30))), (i + 1, " ".join(own(25)) + " " + "\n".join(map(" ".join, lines)).upper() + " " + " ".join(own(35)))]
+        planted[i + 1] = (set(passage), docs[-1][1].split())
+    out = {r["doc_id"]: r["text"] for r in substring_dedup.remove(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(out[i] == text for i, text in docs if i % 2 == 0)
+    for i, (passage, whole) in planted.items():
+        left = out[i].split()
+        assert len(whole) - len(left) >= words - 22 and [w for w in whole if w.lower() not in passage] == [w for w in left if w.lower() not in passage]
+
+
+def test_window_units_on_edges(spark, edge, empty):
+    kept = substring_dedup.remove(edge)
+    assert kept.columns == edge.columns and kept.count() == edge.count()
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert (2, None) in got and (3, "") in got and (4, " \n\t ") in got
+    assert [t for i, t in got if i == 1] == [rows_of(edge, 1)] * 2
     assert substring_dedup.report(empty).count() == 0
+    names = {c: F.lit(7) for c in ("__key", "__hash", "__key_", "__hash_", "__again", "__cut", "__rank", "__d1")}
+    clash = substring_dedup.remove(edge.withColumns(names))
+    assert clash.columns == [*edge.columns, *names] and all(set(r[len(edge.columns):]) == {7} for r in clash.collect())
 
 
 def test_passages_inside_lines_go(spark, edge, empty):
@@ -55,7 +122,7 @@ def test_passages_inside_lines_go(spark, edge, empty):
     own = {i: [f"own{i}x{k}" for k in range(40)] for i in (1, 2, 3)}
     texts = {1: " ".join(own[1] + passage), 2: " ".join(own[2][:20] + passage + own[2][20:]), 3: "\n".join([*own[3], *(" ".join(passage[i : i + 7]) for i in range(0, 80, 7))])}
     docs = frame(spark, [(i, t, "en", "a") for i, t in texts.items()])
-    assert {r["doc_id"]: r["text"] for r in substring_dedup.remove(docs).collect()} == texts
+    assert {r["doc_id"]: r["text"] for r in substring_dedup.remove(docs, unit="line").collect()} == texts
     out = {r["doc_id"]: r for r in substring_dedup.report(docs, unit="piece").collect()}
     assert out[1]["text"] == texts[1] and out[1]["removed"] == ""
     for i in (2, 3):
@@ -208,14 +275,7 @@ def test_pipeline_is_its_plain_version(spark):
     kept = plain_verdicts([(r["lang"], r["source"], r["text"]) for r in rows.values()])
     rows = {i: r for (i, r), k in zip(rows.items(), kept, strict=True) if k}
     rows = {i: rows[i] for i, _, c in plain_join([(i, r["text"]) for i, r in rows.items()]) if i == c}
-    first, cut = {}, {}
-    for i in sorted(rows):
-        again = []
-        for p, line in enumerate(rows[i]["text"].split("\n")):
-            norm = " ".join(re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), line)))
-            if norm and first.setdefault(norm, (i, p)) != (i, p):
-                again.append(p)
-        cut[i] = substring_dedup.passages(rows[i]["text"], again)[0]
+    cut = plain_windows([(i, rows[i]["text"]) for i in sorted(rows)])
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?, ?)", [(i, cut[i], rows[i]["source"]) for i in rows])
