@@ -242,7 +242,7 @@ def annotate(docs: DataFrame, key: str = "doc_id", text: str = "text", run_words
     # narrow counts first: only units whose digest recurs are carried with their ranks
     recurs = durable(units.groupBy("__d1").agg(F.count("*").alias("n")).where("n > 1").select("__d1"))
     units = durable(units.join(recurs, "__d1", "left_semi"))
-    first = units.groupBy("__d1", "__d2").agg(F.min("__rank").alias("__first"))
+    first = durable(units.groupBy("__d1", "__d2").agg(F.min("__rank").alias("__first")))  # written, so that Spark may split the join's hot keys
     again = units.join(first, ["__d1", "__d2"]).where(F.col("__rank") != F.col("__first"))
     k, h, k2, h2, places = unused(docs, "__key", "__hash", "__key_", "__hash_", "__again")
     again = again.groupBy(F.col("__rank.k").alias(k2), F.col("__rank.h").alias(h2)).agg(F.collect_list("__rank.p").alias(places))

@@ -20,6 +20,7 @@ manifest. Only key and text are read, whatever else the table has.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 from array import array
@@ -38,7 +39,7 @@ from tokenizers import Tokenizer
 from berth.session import durable, scratch
 
 FRAME_IDS, LEVEL = 1 << 18, 3
-#: Known words above which a worker forgets them all.
+#: Words of a generation that a worker keeps.
 KNOWN = 300_000
 #: Fixed values of the seekable form.
 INDEX_MAGIC, SEEK_MAGIC, FOOT_MAGIC, FLAG = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -47,41 +48,76 @@ _ENTRY, _HEAD, _FOOT = struct.Struct("<III"), struct.Struct("<II"), struct.Struc
 MANIFEST = "shard int, path string, n_docs long, n_tokens long, n_bytes long"
 
 
+#: The normalisation and the split for which words are encoded one by one.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = {"type": "Split", "pattern": {"Regex": WORD_PATTERN}, "behavior": "Removed", "invert": True}
+
+
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte: itself if it is visible, else one from 256 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class Parts(dict):
+    """Ids of a part of a word: letters, a digit, or marks, in lower case."""
+
+    letters = _byte_letters()
+
+    def __init__(self, model):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, part: str) -> bytes:
+        found = array("I", [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        if len(part) <= 64 and len(self) < KNOWN:
+            self[part] = found
+        return found
+
+
 class WordIds(dict):
     """Ids of what stands between white space, by the tokenizer, each new one once.
 
     The tokenizer drops white space and nothing in it looks across, so the ids of a text
-    are those of its parts. Parts of plain letters and marks go straight to its merges, as
-    its normalization leaves them alone but for the case; all others go through it whole.
+    are those of its words. Words of ASCII and Latin-1 letters and marks are split here and
+    their parts go straight to the merges, as normalization changes their case only; others
+    go through the tokenizer whole. So does a text that names a special token, and every
+    text if the file's normalization or split is another one.
+
+    Words are kept in two generations, so those in use outlast the many that occur once.
     """
 
-    plain = re.compile(rb"[!-~]+").fullmatch
-    pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
+    plain = re.compile(rb"(?:[!-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
+    split = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+").findall
 
     def __init__(self, path: str):
         super().__init__()
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True  # their names in a text are text
-        self.model = self.whole.model
+        self.parts, self.old = Parts(self.whole.model), {}
+        self.names = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        form = json.loads(self.whole.to_str())
+        steps = (form.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        known = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        self.known = (form.get("normalizer") or {}).get("normalizers") == NORMALIZER and steps == [SPLIT, known] and form["model"]["type"] == "BPE"
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
-        if self.plain(word):
-            lower = word.lower()
-            if lower != word:
-                packed = self[lower]
-            elif not word[-1:].isalnum() and word[:-1].isalpha():
-                packed = self[word[:-1]] + self[word[-1:]]
-            else:
-                pieces = [word.decode()] if word.isalpha() else self.pieces(word.decode())
-                packed = array("I", [t.id for piece in pieces for t in self.model.tokenize(piece)]).tobytes()
-        else:
-            packed = array("I", self.whole.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+        found = self.old.get(word)
+        if found is None:
+            found = b"".join(map(self.parts.__getitem__, self.split(word.decode().lower()))) if self.plain(word) else self._whole(word.decode())
         if len(word) <= 64:
-            self[word] = packed
-        return packed
+            self[word] = found
+        return found
 
     def encode(self, text: str) -> bytes:
+        if not self.known or any(name in text for name in self.names):
+            return self._whole(text)
         if len(self) > KNOWN:
+            self.old = dict(self)
             self.clear()
         return b"".join(map(self.__getitem__, text.encode().split()))
 
@@ -233,7 +269,8 @@ def read(manifest: DataFrame, wanted: dict | None = None) -> DataFrame:
                                 ["key", "start", "ids"],
                             )
 
-    files = manifest.select("path", "start", "shard").repartitionByRange("shard").select("path", "start")
+    # a task per file: the manifest is small, the files are not
+    files = manifest.select("path", "start", "shard").repartitionByRange(max(1, manifest.count()), "shard").select("path", "start")
     return files.mapInArrow(task, "key long, start long, ids binary")
 
 

@@ -75,11 +75,33 @@ def test_op10(spark, plain, edge, empty):
 
 def test_word_ids_are_the_librarys():
     own, library = token_files.WordIds(WORDS), Tokenizer.from_file(WORDS)
-    library.encode_special_tokens = True
     for t in texts(1500, 25, 4):
         assert np.frombuffer(own.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_special_names_and_other_tokenizers_are_the_librarys(tmp_path):
+    library = Tokenizer.from_file(WORDS)
+    own = token_files.WordIds(WORDS)
+    some = ["a <|endoftext|> b", "<|startoftext|>x<|ENDOFTEXT|>", "É'S été ÀÖØöøÿ×÷ß ſ it's 12é3 l'été!!é", "caf" + "e\u0301 naïve", *texts(500, 30, 9)]
+    assert own.known
+    for t in some:
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+    other = Tokenizer.from_file(WORDS)
+    from tokenizers import normalizers
+
+    other.normalizer = normalizers.NFC()
+    other.save(str(tmp_path / "other.json"))
+    own = token_files.WordIds(str(tmp_path / "other.json"))
+    assert not own.known and np.frombuffer(own.encode("Ab cD"), "<u4").tolist() == other.encode("Ab cD", add_special_tokens=False).ids
+
+
+def test_every_latin_word_is_the_librarys():
+    own, library = token_files.WordIds(WORDS), Tokenizer.from_file(WORDS)
+    for c in map(chr, [*range(0x21, 0x7F), *range(0xA1, 0x250)]):
+        for t in (c, f"a{c}b", f"{c}{c}1", f"é{c}"):
+            assert np.frombuffer(own.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 class Counted(io.BytesIO):
     read_bytes = 0
 
@@ -116,7 +138,6 @@ def test_file_reads_only_the_frames_asked_for(monkeypatch):
 
 def expected_files(rows):
     library = Tokenizer.from_file(WORDS)
-    library.encode_special_tokens = True
     start = 0
     for i, t in rows:
         ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
