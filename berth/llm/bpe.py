@@ -32,6 +32,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from berth.llm.common import keeps_columns
+
 #: Known pre-tokens, and bytes of their ids, above which a worker forgets them all before its next batch.
 KNOWN, KNOWN_BYTES = 300_000, 32 << 20
 #: Pre-tokens that share a queue at most.
@@ -272,6 +274,7 @@ def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", out: str
     return docs.withColumn(out, decoded.asNondeterministic()(docs[ids]))
 
 
+@keeps_columns
 def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``docs`` with ``ids``, and with ``out`` decoded from them in the same pass."""
 
@@ -286,6 +289,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", ids
     return found.withColumns({ids: F.col("__both.ids"), out: F.col("__both.bytes")}).drop("__both")
 
 
+@keeps_columns
 def digests(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """``docs`` with n_tokens, ids_sha256 and decoded_sha256 of the encoded and decoded text."""
     out = round_trip(docs, path, pattern, text, "__ids", "__decoded")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,3 +30,28 @@ def unused(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def keeps_columns(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Let an operator have working columns whose names begin with an underscore.
+
+    Columns of the input with such names are called otherwise while it runs, and get their
+    names back in its result. Arguments that name one of them follow.
+    """
+
+    @wraps(operator)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        hidden = [c for c in docs.columns if c.startswith("_")]
+        if not hidden:
+            return operator(docs, *args, **options)
+        names = dict(zip(hidden, unused(docs, *[f"hidden{c}" for c in hidden]), strict=True))
+
+        def named(value):
+            if isinstance(value, str):
+                return names.get(value, value)
+            return [named(v) for v in value] if isinstance(value, list) else value
+
+        out = operator(docs.withColumnsRenamed(names), *map(named, args), **{k: named(v) for k, v in options.items()})
+        return out.withColumnsRenamed({new: old for old, new in names.items()})
+
+    return run

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from berth.llm.common import keeps_columns
+
 SAMPLE, TAKEN, MANY, FEWEST = 300, 6, 200, 20
 WINDOW, HIDDEN = 64, 8
 STEPS, BATCH, RATE = 500, 192, 0.02
@@ -181,6 +183,7 @@ def train(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
     return Network(languages).train(np.array([w for w, _ in windows]), np.array([y for _, y in windows]))
 
 
+@keeps_columns
 def identify(docs: DataFrame, network: Network | None, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score, from whole texts."""
     if network is None:

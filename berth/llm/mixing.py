@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from berth.llm.common import WORD
+from berth.llm.common import WORD, keeps_columns
 from berth.session import durable
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
@@ -168,6 +168,7 @@ def amounts(docs: DataFrame, key: str = "doc_id", text: str = "text", source: st
     )
 
 
+@keeps_columns
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", appeal: str | None = None, seed: int = 0, **how) -> DataFrame:
     """The mix itself: documents with all their columns, each as often as it is taken."""
     needed = list(dict.fromkeys([key, text, source, *([appeal] if appeal else [])]))

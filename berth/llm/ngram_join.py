@@ -41,6 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from berth.llm.common import keeps_columns
 from berth.llm.components import components
 from berth.session import durable
 
@@ -351,6 +352,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return found.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"), "cid")
 
 
+@keeps_columns
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component, the one with the smallest key, with all its columns; all documents without words."""
 

@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from berth.llm.common import keeps_columns
 from berth.session import durable
 
 LEAST_WORDS, MOST_REPEATED = 50, 0.5
@@ -200,6 +201,7 @@ def assess(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     return out.select(key, *counts, F.col("__failed").alias("base_failed"), F.col("__distance").alias("distance"), F.col("__kept").alias("kept"))
 
 
+@keeps_columns
 def filter_documents(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The documents that the rules keep, with all their columns."""
     rows = durable(_keyed(docs.select(text, lang, source), text, lang, source).select("__lang", "__source", "__stats"))
