@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from berth.llm import bpe, mixing, ngram_join, quality_rules, substring_dedup
+from berth.llm.common import unused
 from berth.session import scratch
 
 
@@ -38,10 +39,14 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, and the digest of what they decode to."""
-    out = bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ids="__ids", out="__decoded")
-    kept = [c for c in docs.columns if c not in ("text", "ids", "n_tokens", "decoded_sha256")]
-    return out.select(*kept, (F.octet_length("__ids") / 4).cast("long").alias("n_tokens"), F.col("__ids").alias("ids"), F.sha2("__decoded", 256).alias("decoded_sha256"))
+    """Token ids of every text, and the digest of what they decode to.
+
+    Columns that are named like a result (ids, n_tokens, decoded_sha256) give way to it.
+    """
+    ids, decoded = unused(docs, "ids_of_text", "bytes_of_ids")
+    out = bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ids=ids, out=decoded)
+    kept = [c for c in docs.columns if c.lower() not in ("text", "ids", "n_tokens", "decoded_sha256")]
+    return out.select(*kept, (F.octet_length(ids) / 4).cast("long").alias("n_tokens"), F.col(ids).alias("ids"), F.sha2(decoded, 256).alias("decoded_sha256"))
 
 
 STAGES = [("rules", rules), ("near_duplicates", near_duplicates), ("passages", passages), ("mix", mix), ("token_ids", token_ids)]
