@@ -8,8 +8,9 @@ group, counts for more or less than its parts.
 
 Training takes a bounded sample of labelled rows: the ``SAMPLE`` rows of either label
 whose key has the smallest digest, weighed so that both labels count as often as among
-all labelled rows. Buckets that hardly occur or say nothing alone and aren't common get no
-weight. Training runs in numpy on the driver, on features that the executors extract;
+all labelled rows. A bucket gets a vector if it differs between the labels alone or together
+with another bucket (``interacting``), however few documents hold the two, or if it is
+common; one that says nothing alone has no weight of its own. Training runs in numpy on the driver, on features that the executors extract;
 scoring runs on the executors, on whole texts.
 """
 
@@ -31,6 +32,10 @@ BUCKETS, RANK = 1 << 18, 8
 EPOCHS, BATCH, RATE, DECAY = 25, 128, 0.1, 2e-4
 #: A bucket needs this many documents, and this many standard errors between the labels or this share of all.
 LEAST_DOCS, LEAST_ERRORS, COMMON = 4, 4.5, 0.25
+#: Documents that hold a bucket, and a pair, that is looked at, standard errors of a pair, and how far beyond those of its parts.
+PAIR_DOCS, PAIR_ERRORS, BEYOND = 24, 8.0, 3.0
+#: Cells in which pairs are counted, and pairs that are counted at a time.
+CELLS, AT_ONCE = 1 << 23, 1 << 20
 KNOWN = 300_000
 _words = re.compile(r"[^\W\d_]+").findall
 
@@ -42,6 +47,44 @@ def buckets(text: str) -> set[int]:
     return {xxhash.xxh32_intdigest(w) & (BUCKETS - 1) for w in set(_words(text.lower()))}
 
 
+def _errors(hits: np.ndarray, others: np.ndarray, positive: float, n: int) -> np.ndarray:
+    """Standard errors between the shares of rows of either label."""
+    p, q, pooled = (hits + 0.5) / (positive + 1), (others + 0.5) / (n - positive + 1), (hits + others + 1) / (n + 2)
+    return np.abs(p - q) / np.sqrt(pooled * (1 - pooled) * (1 / (positive + 1) + 1 / (n - positive + 1)))
+
+
+def _pairs(some: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All pairs of a row's buckets and their cells, a bounded number at a time."""
+    step = max(1, AT_ONCE // max(1, len(some)))
+    for k in range(0, len(some), step):
+        left, right = np.meshgrid(some[k : k + step], some, indexing="ij")
+        below = left < right
+        left, right = left[below], right[below]
+        yield left, right, ((left * 0x9E3779B1 + right * 0x85EBCA77) >> 7) & (CELLS - 1)
+
+
+def interacting(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seen: np.ndarray, errors: np.ndarray) -> np.ndarray:
+    """Buckets that differ between the labels beside another bucket, well beyond what each does alone.
+
+    Pairs share cells, so a few buckets too many may be found, none too few.
+    """
+    counts, often = np.zeros((2, CELLS), np.int32), seen >= PAIR_DOCS
+    held = [b[often[b]] for b, _ in rows]
+    for some, y in zip(held, labels, strict=True):
+        for _, _, cell in _pairs(some):
+            np.add.at(counts[int(y)], cell, 1)
+    strong = _errors(counts[1], counts[0], labels.sum(), len(rows)).astype(np.float32)
+    strong[(strong < PAIR_ERRORS) | (counts.sum(0) < PAIR_DOCS)] = 0
+    found = np.zeros(len(seen), bool)
+    for some in held:
+        for left, right, cell in _pairs(some):
+            at = np.flatnonzero(strong[cell])
+            left, right = left[at], right[at]
+            at = strong[cell[at]] > BEYOND * np.maximum(errors[left], errors[right])
+            found[left[at]] = found[right[at]] = True
+    return found
+
+
 class _Slots(dict):
     """Word to its place in the model, -1 for none."""
 
@@ -68,10 +111,10 @@ class Machine:
         for (b, _), y in zip(rows, labels, strict=True):
             seen[b] += 1
             hits[b] += y
-        p, q = (hits + 0.5) / (positive + 1), (seen - hits + 0.5) / (n - positive + 1)
-        pooled = (seen + 1) / (n + 2)
-        errors = np.abs(p - q) / np.sqrt(pooled * (1 - pooled) * (1 / (positive + 1) + 1 / (n - positive + 1)))
-        active = np.flatnonzero((seen >= LEAST_DOCS) & ((errors >= LEAST_ERRORS) | (seen >= COMMON * n)))
+        errors = _errors(hits, seen - hits, positive, n)
+        alone = (seen >= LEAST_DOCS) & ((errors >= LEAST_ERRORS) | (seen >= COMMON * n))
+        active = np.flatnonzero(alone | interacting(rows, labels, seen, errors))
+        alone = np.append(alone[active], np.ones(dense.shape[1], bool))
         self.places = np.full(BUCKETS, -1, np.int32)
         self.places[active] = np.arange(len(active))
         self.words = len(active)
@@ -98,7 +141,7 @@ class Machine:
                 slope = error[of][:, None] * (x * sums[of] - v * x * x)
                 grads = [
                     error.sum(),
-                    np.bincount(i, error[of] * x[:, 0], width) + DECAY * self.linear,
+                    (np.bincount(i, error[of] * x[:, 0], width) + DECAY * self.linear) * alone,
                     np.stack([np.bincount(i, slope[:, r], width) for r in range(RANK)], 1) + DECAY * self.pairs,
                 ]
                 steps = []

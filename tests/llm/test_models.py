@@ -104,3 +104,28 @@ def test_all_positions_of_long_texts_count():
     parts = net.probabilities(np.frombuffer(text + b" " * (-len(text) % language_id.WINDOW), np.uint8).reshape(-1, language_id.WINDOW))[0]
     whole = parts.transpose(1, 0, 2).reshape(-1, 2)[: len(text)].mean(0)
     assert net.pooled([text, b"a"])[0] == pytest.approx(whole, abs=1e-5)
+
+
+@pytest.mark.parametrize("share", [0.03, 0.05])
+def test_rare_pairs_are_learned(share):
+    """Two words, each as frequent in both labels, that are toxic only together."""
+    rng, rows, labels = np.random.default_rng(1), [], []
+    for i in range(6000):
+        words, r = [f"w{k}" for k in rng.integers(0, 3000, 30)], rng.random()
+        if i % 2:
+            words += ["insult", "group"] if r < share else []
+        else:
+            words += ["insult"] if r < share else ["group"] if r < 2 * share else []
+        rows.append((np.array(sorted(factorization.buckets(" ".join(words))), np.int64), np.zeros(0)))
+        labels.append(i % 2)
+    score = factorization.Machine().fit(rows, np.array(labels, float), np.ones(len(rows))).scorer()
+    assert score("insult of a group", []) > 0.9 and all(score(t, []) < 0.6 for t in ("insult", "group", "a word"))
+
+
+def test_toxic_rows_are_found(spark):
+    """Held-out recall and precision; a classifier that finds nothing has no recall."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null")
+    out = queries.QUERIES["op9_toxicity"](spark, sf).where("held_out").join(labels, "doc_id").select("predicted", "toxic").collect()
+    found = sum(r["predicted"] == 1 and r["toxic"] == 1 for r in out)
+    assert found >= 0.75 * sum(r["toxic"] for r in out) and found >= 0.9 * sum(r["predicted"] for r in out)
