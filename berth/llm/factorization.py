@@ -35,7 +35,7 @@ LEAST_DOCS, LEAST_ERRORS, COMMON = 4, 4.5, 0.25
 #: Documents that hold a bucket, and a pair, that is looked at, standard errors of a pair, and how far beyond those of its parts.
 PAIR_DOCS, PAIR_ERRORS, BEYOND = 24, 8.0, 3.0
 #: Cells in which pairs are counted, and pairs that are counted at a time.
-CELLS, AT_ONCE = 1 << 23, 1 << 20
+CELLS, AT_ONCE = 1 << 23, 1 << 18
 KNOWN = 300_000
 _words = re.compile(r"[^\W\d_]+").findall
 
@@ -73,8 +73,11 @@ def interacting(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, s
     for some, y in zip(held, labels, strict=True):
         for _, _, cell in _pairs(some):
             np.add.at(counts[int(y)], cell, 1)
-    strong = _errors(counts[1], counts[0], labels.sum(), len(rows)).astype(np.float32)
-    strong[(strong < PAIR_ERRORS) | (counts.sum(0) < PAIR_DOCS)] = 0
+    strong = np.zeros(CELLS, np.float32)
+    for k in range(0, CELLS, AT_ONCE):  # in parts, as each takes several times its size
+        part = counts[:, k : k + AT_ONCE]
+        found = _errors(part[1], part[0], labels.sum(), len(rows))
+        strong[k : k + AT_ONCE] = np.where((found < PAIR_ERRORS) | (part.sum(0) < PAIR_DOCS), 0, found)
     found = np.zeros(len(seen), bool)
     for some in held:
         for left, right, cell in _pairs(some):
