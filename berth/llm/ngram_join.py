@@ -20,8 +20,8 @@ Classes that share a subset are candidates. In each bucket all are first compare
 bucket's smallest class; what is alike forms components. Then only classes of different
 components within a bucket are compared, those outside the bucket's largest component with
 all others. So a group of near copies costs its size, not its square. Pairs whose sizes or
-profiles (shingles counted in fixed parts of the universe) differ too much are dismissed,
-which no similar pair is; all others are checked on whole sets. Buckets that the sketch shows to be large are split by salt for the first
+profiles (a bit per part of the universe, set if its shingles are odd in number; about as many parts
+as shingles) differ too much are dismissed, which no similar pair is; all others are checked on whole sets. Buckets that the sketch shows to be large are split by salt for the first
 comparison.
 
 Shingles are compared as 64-bit hashes and classes known by 64 bits; at 10^10 classes a
@@ -48,7 +48,7 @@ from berth.session import durable
 SHINGLE = 5
 #: Cells of the sketch; of each small band and way; ids above which a worker's memory of words starts anew.
 CELLS, SMALL_CELLS, KNOWN = 1 << 18, 1 << 14, 100_000
-#: Parts of the universe in which shingles are counted, for a bound on how much two sets differ.
+#: Fewest parts of the universe in a profile, a power of two.
 PARTS = 64
 #: Largest size for which one-deletion neighbourhoods are weighed against more segments.
 SMALL = 15
@@ -95,8 +95,26 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def profile(some: np.ndarray) -> bytes:
-    """Shingles in each part of the universe. Two sets differ at least as much as their profiles."""
-    return np.minimum(np.bincount((some % np.uint64(PARTS)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes()
+    """Whether each part of the universe holds an odd number of shingles. Two sets differ at least as much as their profiles."""
+    parts = max(PARTS, 1 << (len(some) - 1).bit_length())
+    odd = np.bincount((some % np.uint64(parts)).astype(np.int64), minlength=parts) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def differences(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """Bits in which pairs of profiles differ; the longer of two is folded to the parts of the shorter."""
+    widths = np.array([min(len(x), len(y)) for x, y in zip(left, right, strict=True)], np.int64)
+    found = np.zeros(len(widths), np.int64)
+    for width in np.unique(widths).tolist():
+        at = np.flatnonzero(widths == width)
+        x, y = (_folded([side[i] for i in at], width) for side in (left, right))
+        found[at] = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+    return found
+
+
+def _folded(profiles: list[bytes], width: int) -> np.ndarray:
+    same = [np.bitwise_xor.reduce(np.frombuffer(p, np.uint8).reshape(-1, width)) for p in profiles]
+    return np.stack(same)
 
 
 def class_id(some: np.ndarray) -> int:
@@ -267,8 +285,7 @@ def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
     def check(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         for n, m, left, right in batches:
-            x, y = (np.frombuffer(b"".join(side.to_pylist()), np.uint8).reshape(-1, PARTS).astype(np.int16) for side in (left, right))
-            yield pa.array(np.abs(x - y).sum(1) <= (n.to_numpy() + m.to_numpy()) // 9)
+            yield pa.array(differences(left.to_pylist(), right.to_pylist()) <= _most(n.to_numpy(), m.to_numpy()), pa.bool_())
 
     for side, size, counts in (("a", "n_", None), ("b", "m_", None), ("a", None, "x"), ("b", None, "y")):
         # sizes first, as they are narrow

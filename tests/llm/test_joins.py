@@ -148,3 +148,25 @@ def test_repeated_vectors_and_null_keys(spark):
     table = spark.createDataFrame([(None, [1.0, 0.0], 1), (7, [2.0, 0.0], 1), (7, [2.0, 0.0], 1), (None, [0.0, 1.0], 1)], "vec_id long, embedding array<float>, label int")
     got = sorted(map(tuple, embedding_dedup.link(table).collect()), key=str)
     assert got == sorted([(None, 2, 7, False), (7, 2, 7, True), (7, 2, 7, True), (None, 0, None, True)], key=str)
+
+
+@pytest.mark.parametrize("n, similarity", [(1, 0.9), (9, 0.8), (63, 0.85), (64, 0.7), (65, 0.8), (400, 0.75), (1030, 0.8)])
+def test_profiles_never_dismiss_similar_sets(n, similarity):
+    r = np.random.default_rng(n)
+    left, right, true, most = [], [], [], []
+    for extra in (0, n // 20, n // 5):
+        common = round((2 * n + extra) * similarity / (1 + similarity))
+        some = r.integers(0, 2**63, 2 * n + extra - common, dtype=np.uint64)
+        x, y = np.sort(some[:n]), np.sort(some[n - common :])
+        left.append(ngram_join.profile(x))
+        right.append(ngram_join.profile(y))
+        true.append(len(x) + len(y) - 2 * common)
+        most.append((len(x) + len(y)) // 9)
+    found = ngram_join.differences(left, right)
+    assert (found <= true).all() and (ngram_join.differences(right, left) == found).all()
+    if similarity < 0.76 and n >= 400:
+        assert (found[:2] > most[:2]).any()  # and most others are dismissed
+
+
+def test_no_profiles():
+    assert ngram_join.differences([], []).tolist() == []
