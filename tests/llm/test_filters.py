@@ -209,47 +209,77 @@ def test_counts(edge_rows):
 
 
 def plain_verdicts(rows):
-    """Kept of (lang, source, text), groups one by one in numpy."""
-    found = [quality_rules.statistics(t) for _, _, t in rows]
-    x, n = np.array([f[5:] for f in found]), np.array([f[0] for f in found])
+    """Kept of (lang, source, text): all groups step by step in numpy, moments as matrices of (1, x)."""
+    found = [plain_statistics(t) for _, _, t in rows]
+    x, n = np.array([plain_vector(t) for _, _, t in rows]), np.array([f[0] for f in found])
     failed = (n < 50) | (100 * np.array([f[4] for f in found]) > 50 * n)
-    floors = np.array(list(quality_rules.FLOORS.values()))
-
-    def estimate(part):
-        inner = lambda v, p: np.sort(v)[max(0, math.ceil(p * len(v)) - 1)]
-        mean = np.array([inner(c, 0.5) for c in part.T])
-        spread = np.array([inner(abs(c - m), 0.5) for c, m in zip(part.T, mean, strict=True)])
-        precision = np.diag((1.4826 * spread + floors) ** -2.0)
-        for _ in range(quality_rules.STEPS):
-            d = np.einsum("ij,jk,ik->i", part - mean, precision, part - mean)
-            core = part[d <= inner(d, quality_rules.CORE)]
-            mean = core.mean(0)
-            precision = np.linalg.inv(quality_rules.CONSISTENCY * np.cov(core.T, bias=True) + np.diag(floors**2))
-        return mean, precision
-
-    fits, kept = {}, []
+    floors = np.array([0.05, 0.05, 0.15, 0.12, 0.05, 0.04, 0.06])
+    members = {}
     for i, (lang, source, _) in enumerate(rows):
-        for key in ((lang, source), (lang,), ()):
-            group = [j for j, r in enumerate(rows) if not failed[j] and r[: len(key)] == key]
-            if len(group) >= quality_rules.LEAST_GROUP:
-                if key not in fits:
-                    fits[key] = estimate(x[group])
-                off = x[i] - fits[key][0]
-                kept.append(not failed[i] and off @ fits[key][1] @ off <= quality_rules.CUTOFF)
-                break
-        else:
-            kept.append(not failed[i])
+        for key in [] if failed[i] else [(), (lang,), (lang, source)]:
+            members.setdefault(key, []).append(i)
+    order = sorted(members, key=len)
+    inner = lambda v, p: np.sort(v, axis=0)[math.ceil(p * len(v)) - 1]
+    log = lambda part, fit: np.floor(32 * np.log2(np.maximum(2.0**-20, np.einsum("ij,jk,ik->i", part - fit[0], fit[1], part - fit[0]))))
+    fits, size = {}, {}
+    for key in order:
+        part = np.rint(512 * x[members[key]])
+        middle, quarter = inner(part, 0.5), inner(part, 0.25)
+        wide = np.diag((1.4826 * inner(abs(part - middle), 0.5) / 512 + floors) ** -2)
+        fits[key] = [(middle / 512, wide), (middle / 512, np.diag(floors**-2)), (quarter / 512, wide)]
+        size[key] = [np.inf] * 3
+    for _ in range(10):
+        fall, total = -np.inf, {}
+        for key in order:
+            part = x[members[key]]
+            for k in range(3):
+                bins = log(part, fits[key][k])
+                core = np.insert(part[bins <= inner(bins, 0.5)], 0, 1, axis=1)
+                moments = core.T @ core
+                if key:
+                    wider = total[key[:-1], k]
+                    moments = moments + 50 * wider / wider[0, 0]
+                total[key, k] = moments
+                mean = moments[0, 1:] / moments[0, 0]
+                cov = 1.695 * (moments[1:, 1:] / moments[0, 0] - np.outer(mean, mean)) + np.diag(floors**2)
+                fits[key][k], now = (mean, np.linalg.inv(cov)), np.linalg.slogdet(cov)[1]
+                fall, size[key][k] = max(fall, size[key][k] - now), now
+        if fall <= 1e-4:
+            break
+    centres, kept = {}, []
+    for key in order:
+        bins = log(x[members[key]], fits[key][int(np.argmin(size[key]))])
+        half, quarter = (2 ** ((inner(bins, p) + 1) / 96) for p in (0.5, 0.25))
+        centres[key] = np.array([half, (half - quarter) / 0.6745])
+        if key:
+            centres[key] = (len(bins) * centres[key] + 50 * centres[key[:-1]]) / (len(bins) + 50)
+    for i, (lang, source, _) in enumerate(rows):
+        if failed[i]:
+            kept.append(False)
+            continue
+        key = lang, source
+        behind = min(len(members[()]), len(members[key]) + 50)
+        limit = max(24.32, (centres[key] @ [1, 6]) ** 3) * (behind**2 - 1) / (behind * (behind - 7)) if behind > 7 else np.inf
+        mean, precision = fits[key][int(np.argmin(size[key]))]
+        kept.append(bool((x[i] - mean) @ precision @ (x[i] - mean) <= limit))
     return kept
 
 
-def test_rules_are_brute_force(spark, monkeypatch, edge, empty):
-    monkeypatch.setattr(quality_rules, "LEAST_GROUP", 40)
+def plain_vector(text):
+    n, chars, symbols, dup_lines, repeated = plain_statistics(text)
+    lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", line)) for line in (text or "").split("\n"))
+    part = lambda some, whole: math.asin(math.sqrt(min(1, some / whole))) if whole else 0.0
+    marks = sum(c.isascii() and c.isprintable() and not c.isalnum() and c != " " for c in text or "")
+    capitals, digits = (sum(c.isascii() and test(c) for c in text or "") for test in (str.isupper, str.isdigit))
+    return [math.log(chars / n) if n else 0.0, part(symbols, chars), part(dup_lines, lines), part(repeated, n), part(capitals, chars), part(marks, chars), part(digits, chars)]
+
+
+def test_rules_are_brute_force(spark, edge, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = docs.select("doc_id", "lang", "source", "text").collect()
     want = plain_verdicts([(r["lang"], r["source"], r["text"]) for r in rows])
     got = {r["doc_id"]: r for r in quality_rules.assess(docs).collect()}
-    differ = [r["doc_id"] for r, k in zip(rows, want, strict=True) if got[r["doc_id"]]["kept"] != k]
-    assert len(differ) <= 1  # quantiles of the sketch may part on a tie
+    assert [got[r["doc_id"]]["kept"] for r in rows] == want
     assert sum(want) < len(want) and got[rows[0]["doc_id"]]["n_words"] == plain_statistics(rows[0]["text"])[0]
     out = quality_rules.assess(edge).collect()
     assert len(out) == edge.count() and not any(r["kept"] for r in out if r["doc_id"] in (2, 3, 4, 7))
@@ -269,6 +299,18 @@ def test_junk_of_two_fifths_is_rejected(spark):
     assert kept == set(range(180))
 
 
+def test_groups_of_any_size_have_a_limit(spark):
+    """Few symbols in a large group, in a small one and in one of a single row; clean rows stay, also alone in their group."""
+    rng = np.random.default_rng(5)
+    words = lambda some: [rng.choice(list("abcdefghij"), rng.integers(2, 9)).tolist() for _ in range(some)]
+    clean = [" ".join(map("".join, words(rng.integers(60, 90)))) + "." for _ in range(330)]
+    junk = [" ".join("".join(w) + "#" * (rng.random() < 0.4) for w in words(rng.integers(60, 90))) + "." for _ in range(40)]
+    sources = ["big"] * 300 + ["few"] * 20 + [f"one{i}" for i in range(10)] + ["big"] * 30 + ["few"] * 6 + [f"own{i}" for i in range(4)]
+    rows = [(i, t, "en", s) for i, (t, s) in enumerate(zip(clean + junk, sources, strict=True))]
+    assert plain_verdicts([(la, s, t) for _, t, la, s in rows]) == [True] * 330 + [False] * 40
+    assert {r["doc_id"] for r in quality_rules.filter_documents(frame(spark, rows)).collect()} == set(range(330))
+
+
 def test_pipeline_is_its_plain_version(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = {r["doc_id"]: r.asDict() for r in docs.collect()}
