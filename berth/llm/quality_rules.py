@@ -49,14 +49,14 @@ from berth.session import durable
 
 LEAST_WORDS, MOST_REPEATED = 50, 0.5
 #: Share of a group in the core, concentration steps at most, rows that the wider group counts as.
-CORE, STEPS, PRIOR = 0.5, 10, 50
+CORE, STEPS, PRIOR = 0.5, 10, 200
 #: What makes the covariance of the inner half that of a normal bulk in seven dimensions.
 CONSISTENCY = 1.695
 #: Fall of a logarithm of a determinant that still counts.
 SETTLED = 1e-4
 #: Spreads of the cube root of the squared distance above its centre beyond which a document goes; and the
 #: least squared distance that counts as far, 99.9 % of the chi-square distribution with seven degrees of freedom.
-SPREADS, LEAST_CUTOFF = 6.0, 24.32
+SPREADS, LEAST_CUTOFF = 5.0, 24.32
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Statistics and the standard deviation that is added to each one's spread.

@@ -238,7 +238,7 @@ def plain_verdicts(rows):
                 moments = core.T @ core
                 if key:
                     wider = total[key[:-1], k]
-                    moments = moments + 50 * wider / wider[0, 0]
+                    moments = moments + 200 * wider / wider[0, 0]
                 total[key, k] = moments
                 mean = moments[0, 1:] / moments[0, 0]
                 cov = 1.695 * (moments[1:, 1:] / moments[0, 0] - np.outer(mean, mean)) + np.diag(floors**2)
@@ -252,14 +252,14 @@ def plain_verdicts(rows):
         half, quarter = (2 ** ((inner(bins, p) + 1) / 96) for p in (0.5, 0.25))
         centres[key] = np.array([half, (half - quarter) / 0.6745])
         if key:
-            centres[key] = (len(bins) * centres[key] + 50 * centres[key[:-1]]) / (len(bins) + 50)
+            centres[key] = (len(bins) * centres[key] + 200 * centres[key[:-1]]) / (len(bins) + 200)
     for i, (lang, source, _) in enumerate(rows):
         if failed[i]:
             kept.append(False)
             continue
         key = lang, source
-        behind = min(len(members[()]), len(members[key]) + 50)
-        limit = max(24.32, (centres[key] @ [1, 6]) ** 3) * (behind**2 - 1) / (behind * (behind - 7)) if behind > 7 else np.inf
+        behind = min(len(members[()]), len(members[key]) + 200)
+        limit = max(24.32, (centres[key] @ [1, 5]) ** 3) * (behind**2 - 1) / (behind * (behind - 7)) if behind > 7 else np.inf
         mean, precision = fits[key][int(np.argmin(size[key]))]
         kept.append(bool((x[i] - mean) @ precision @ (x[i] - mean) <= limit))
     return kept
