@@ -88,29 +88,31 @@ def allocate(
     free = seats.groupBy(*scope).agg(F.count(F.lit(1)).alias("_free"))
     queued = queue_counts(existing, queue_scope)
 
+    capacity = _capacity(rac_capacity, queue_scope)
     if queue_scope == scope:
         facts = free if queued is None else free.join(queued, scope, "full")
-        rows = ranked(requests, scope, order, "_r", slice_by, facts)
+        rows = ranked(requests, scope, order, "_r", slice_by, facts, capacity)
         rows = rows.withColumn("_q", F.col("_r") - F.coalesce("_free", F.lit(0)))
     else:
         rows = ranked(requests, scope, order, "_r", slice_by, free)
         has_seat = F.col("_r") <= F.coalesce("_free", F.lit(0))
-        over = ranked(rows.where(~has_seat), queue_scope, order, "_q", slice_by, queued)
+        over = ranked(rows.where(~has_seat), queue_scope, order, "_q", slice_by, queued, capacity)
         rows = rows.where(has_seat).withColumn("_q", F.lit(0).cast("long")).unionByName(over, allowMissingColumns=True)
-    return _place(rows, seat_pool(seats, scope, seat_order), scope, queue_scope, rac_capacity, requests.columns)
+    return _place(rows, seat_pool(seats, scope, seat_order), scope, rac_capacity, requests.columns)
+
+
+def _capacity(rac_capacity: int | DataFrame, queue_scope: list[str]) -> DataFrame | None:
+    """A capacity that differs by queue, to travel with the ranks of the queue."""
+    if not isinstance(rac_capacity, DataFrame):
+        return None
+    return rac_capacity.select(*[c for c in rac_capacity.columns if c in queue_scope], F.col("rac_capacity").alias("_cap"))
 
 
 def _place(
-    rows: DataFrame, pool: DataFrame, scope: list[str], queue_scope: list[str], rac_capacity: int | DataFrame,
-    keep: Sequence[str],
+    rows: DataFrame, pool: DataFrame, scope: list[str], rac_capacity: int | DataFrame, keep: Sequence[str],
 ) -> DataFrame:
     """Turn ranks into status, seat and queue number."""
-    if isinstance(rac_capacity, DataFrame):
-        on = [c for c in rac_capacity.columns if c in queue_scope]
-        rows = rows.join(rac_capacity.withColumnRenamed("rac_capacity", "_cap"), on, "left")
-        cap = F.coalesce("_cap", F.lit(0))
-    else:
-        cap = F.lit(rac_capacity)
+    cap = F.coalesce("_cap", F.lit(0)) if isinstance(rac_capacity, DataFrame) else F.lit(rac_capacity)
     rac = F.coalesce("_rac", F.lit(0)) if "_rac" in rows.columns else F.lit(0)
     last_rac = F.coalesce("_rac_no", F.lit(0)) if "_rac_no" in rows.columns else F.lit(0)
     last_wl = F.coalesce("_wl_no", F.lit(0)) if "_wl_no" in rows.columns else F.lit(0)
@@ -163,10 +165,10 @@ def promote(
     is_wl = F.when(F.col("status") == WL, F.lit(1)).otherwise(F.lit(0)).cast("long")
     free = free_seats.groupBy(*scope).agg(F.count(F.lit(1)).alias("_free"))
     slice_by = is_wl * (1 << 40) + F.floor(F.col("queue_no") / (1 << 20)).cast("long")
-    rows = ranked(queue, scope, [is_wl, "queue_no"], "_r", slice_by, free)
+    rows = ranked(queue, scope, [is_wl, "queue_no"], "_r", slice_by, free, _capacity(rac_capacity, scope))
     rows = rows.withColumn("_q", F.col("_r") - F.coalesce("_free", F.lit(0)))
     keep = [c for c in queue.columns if c not in ("status", "coach_id", "seat_no", "queue_no")]
-    return _place(rows, seat_pool(free_seats, scope, seat_order), scope, scope, rac_capacity, keep)
+    return _place(rows, seat_pool(free_seats, scope, seat_order), scope, rac_capacity, keep)
 
 
 def cancel(

@@ -36,16 +36,21 @@ def time_slice(column: str, seconds: int = 3600) -> Column:
 
 def accumulated(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], values: dict[str, str | None], slice_by: Column,
-    facts: DataFrame | None = None,
+    facts: DataFrame | None = None, capacity: DataFrame | None = None,
 ) -> DataFrame:
     """Running totals per ``keys`` along ``order``, up to and including each row.
 
     ``values`` names the results: the column to add up, or None for the row number.
     ``order`` must be total and ``slice_by`` a long that never falls along it. ``facts``
-    (one row per key) travel with the totals of the slices. Null keys are one key.
+    (one row per key) travel with the totals of the slices, and so does ``capacity``, a frame
+    on some of the keys, where a null finds nothing. Null keys are one key. Keys that are
+    not part of the order are shuffled once, within the part.
     """
     key = F.struct(*keys)
     rows = df.withColumn(_PART, F.struct(key.alias("key"), F.coalesce(slice_by, F.lit(_NULL_SLICE)).alias("no")))
+    used = [*order, *[c for c in values.values() if c is not None]]
+    twice = [] if any(not isinstance(c, str) or c in keys for c in used) else [c for c in keys if c in df.columns]
+    rows = rows.drop(*twice)
     total = {n: F.count(F.lit(1)) if c is None else F.sum(c) for n, c in values.items()}
     parts = rows.groupBy(_PART).agg(*[t.alias(f"_t_{n}") for n, t in total.items()])
     before = Window.partitionBy(f"{_PART}.key").orderBy(f"{_PART}.no").rowsBetween(Window.unboundedPreceding, -1)
@@ -53,11 +58,22 @@ def accumulated(
     if facts is not None:
         more = [c for c in facts.columns if c not in keys]
         parts = parts.join(facts.select(key.alias("_key"), *more), F.col(f"{_PART}.key") == F.col("_key"), "left").drop("_key")
+    if capacity is not None:
+        parts = _with_capacity(parts, capacity, {c: F.col(f"{_PART}.key")[c] for c in keys})
     within = Window.partitionBy(_PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     steps = {f"_w_{n}": (F.row_number() if c is None else F.sum(c)).over(within) for n, c in values.items()}
     joined = rows.select("*", *[step.alias(n) for n, step in steps.items()]).join(parts, _PART)
     out = joined.withColumns({n: (F.col(f"_w_{n}") + F.col(f"_b_{n}")).cast("long") for n in values})
-    return out.drop(_PART, *[f"_{p}_{n}" for p in "wb" for n in values])
+    out = out.withColumns({c: F.col(f"{_PART}.key")[c] for c in twice})
+    more = [c for c in out.columns if c not in df.columns and c not in values and c != _PART and c[:3] not in ("_w_", "_b_")]
+    return out.select(*[c for c in df.columns if c not in values], *values, *more)
+
+
+def _with_capacity(df: DataFrame, capacity: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """``df`` with the further columns of ``capacity``, matched on the ``keys`` it has."""
+    on = {c: f"_c_{c}" for c in capacity.columns if c in keys}
+    same = [keys[c] == F.col(name) for c, name in on.items()]
+    return df.join(capacity.withColumnsRenamed(on), same, "left").drop(*on.values())
 
 
 def ranked(
@@ -67,16 +83,18 @@ def ranked(
     name: str = "rank",
     slice_by: Column | None = None,
     facts: DataFrame | None = None,
+    capacity: DataFrame | None = None,
 ) -> DataFrame:
-    """Row number per ``keys`` along ``order``, with ``facts`` of the key; ``order`` must be total.
+    """Row number per ``keys`` along ``order``, with ``facts`` of the key and ``capacity`` of some of it; ``order`` must be total.
 
     Without ``slice_by`` the caller vouches that every key fits one task: a plain window.
     """
     keys = list(keys)
     if slice_by is not None:
-        return accumulated(df, keys, order, {name: None}, slice_by, facts)
+        return accumulated(df, keys, order, {name: None}, slice_by, facts, capacity)
     out = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
-    return out if facts is None else out.join(facts, keys, "left")
+    out = out if facts is None else out.join(facts, keys, "left")
+    return out if capacity is None else _with_capacity(out, capacity, {c: F.col(c) for c in keys})
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int, name: str = "position") -> DataFrame:
