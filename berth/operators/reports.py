@@ -73,14 +73,18 @@ def train_schedule(services: DataFrame, trains: DataFrame | None = None) -> Data
     return chosen.select("train_id", "schedule_id", "season", F.concat_ws(",", "running_days").alias("running_days"), "status")
 
 
-def manifest(tickets: DataFrame, services: DataFrame, asked: DataFrame | None = None) -> DataFrame:
-    """Distinct passengers of the asked services (train_id, journey_date)."""
+PASSENGER = ("passenger_id", "name", "concession", "pnr", "status", "seat_no")
+
+
+def manifest(tickets: DataFrame, services: DataFrame, asked: DataFrame | None = None, columns: Sequence[str] = PASSENGER) -> DataFrame:
+    """Distinct passengers of the asked services (train_id, journey_date).
+
+    ``columns`` tell passengers apart; texts that follow from others may be added afterwards.
+    """
     rows = tickets.join(services.select("schedule_id", "train_id"), "schedule_id")
     if asked is not None:
         rows = rows.join(asked.select("train_id", "journey_date"), ["train_id", "journey_date"], "left_semi")
-    return rows.select(
-        "train_id", "journey_date", "passenger_id", "name", "concession", "pnr", "status", "seat_no"
-    ).distinct()
+    return rows.select("train_id", "journey_date", *columns).distinct()
 
 
 def waitlist(tickets: DataFrame, services: DataFrame, trains: DataFrame | None = None) -> DataFrame:
