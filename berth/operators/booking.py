@@ -55,6 +55,7 @@ def book_tickets(
     rac_capacity: int = RAC_CAPACITY,
     scope: Sequence[str] = SCOPE,
     wallet_slice: Column | None = None,
+    keep: Sequence[str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Book whole requests: distance fare, wallet check, then seats; tickets and rejects.
 
@@ -62,15 +63,18 @@ def book_tickets(
     stations, scope and order columns. The fare never depends on the seat, so all
     requests are priced first, then the wallets, then the accepted ones seated.
     The priced requests are written once, since all steps read them. A request without
-    a fare, or whose user's wallet is short, is a reject with its reason.
+    a fare, or whose user's wallet is short, is a reject with its reason. ``keep`` names the
+    columns, total_fare among them, that go on from the prices, where not all are asked for.
     """
-    asked = durable(price_distance(requests.drop("kind", "amount"), stops, coaches, how="left"))
+    asked = price_distance(requests.drop("kind", "amount"), stops, coaches, how="left")
+    asked = durable(asked if keep is None else asked.select(*keep))
     priced = asked.where(F.col("total_fare").isNotNull())
     unpriced = asked.where(F.col("total_fare").isNull()).withColumn("reason", F.lit(NO_FARE))
-    by_wallet = priced.where(F.col("method") == "wallet").withColumn("kind", F.lit(DEBIT)).withColumn("amount", F.col("total_fare"))
+    by_wallet = priced.where(F.col("method") == "wallet").drop("method").withColumnRenamed("total_fare", "amount").withColumn("kind", F.lit(DEBIT))
     paid = wallet_ledger(by_wallet, opening, event_order, wallet_slice)
-    accepted = paid.where("accepted").drop("kind", "amount", "accepted", "balance")
-    refused = paid.where(~F.coalesce("accepted", F.lit(False))).drop("kind", "amount", "accepted", "balance")
+    paid = paid.withColumns({"method": F.lit("wallet"), "total_fare": F.col("amount")}).select(*priced.columns, "accepted")
+    accepted = paid.where("accepted").drop("accepted")
+    refused = paid.where(~F.coalesce("accepted", F.lit(False))).drop("accepted")
     others = priced.where(~F.coalesce(F.col("method") == "wallet", F.lit(False)))
     rejects = unpriced.unionByName(refused.withColumn("reason", F.lit(NO_FUNDS)), allowMissingColumns=True)
     seated = durable(others.unionByName(accepted))

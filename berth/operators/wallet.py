@@ -84,17 +84,17 @@ def _numbered(events: DataFrame, order: Sequence[str], slice_by: Column, refund_
     """Events with user, signed cents, number, running sum and run; void ones with 0 cents."""
     cents = (F.col("amount") * 100).cast("long")
     rows = events.withColumns({
-        "_u": F.struct("user_id"), "_delta": F.when(F.col("kind") == DEBIT, -cents).otherwise(cents), "_ok": F.lit(True),
+        "_delta": F.when(F.col("kind") == DEBIT, -cents).otherwise(cents), "_ok": F.lit(True),
         "_key": F.col(key) if refund_of else F.lit(None).cast("long"),
         "_ref": F.when(F.col("kind") == REFUND, F.col(refund_of)) if refund_of else F.lit(None).cast("long"),
     })
     if refund_of:
-        debits = rows.where(F.col("kind") == DEBIT).select(F.col("_u").alias("_du"), F.col("_key").alias("_dk"), F.struct(*order).alias("_at"))
-        rows = rows.join(debits, (F.col("_u") == F.col("_du")) & (F.col("_ref") == F.col("_dk")), "left")
+        debits = rows.where(F.col("kind") == DEBIT).select(F.struct("user_id").alias("_du"), F.col("_key").alias("_dk"), F.struct(*order).alias("_at"))
+        rows = rows.join(debits, (F.struct("user_id") == F.col("_du")) & (F.col("_ref") == F.col("_dk")), "left")
         known = F.col("_ref").isNull() | F.coalesce(F.col("_at") < F.struct(*order), F.lit(False))
         rows = rows.withColumns({"_ok": known, "_delta": F.when(known, F.col("_delta")).otherwise(F.lit(0))}).drop("_du", "_dk", "_at")
     rows = accumulated(rows, ["user_id"], order, {"_no": None, "_sum": "_delta"}, slice_by)
-    return rows.withColumn("_run", F.floor((F.col("_no") - 1) / run_rows).cast("long"))
+    return rows.withColumns({"_u": F.struct("user_id"), "_run": F.floor((F.col("_no") - 1) / run_rows).cast("long")})
 
 
 def _heads(rows: DataFrame, opening: DataFrame | None) -> DataFrame:
