@@ -28,7 +28,8 @@ def booking_history(
     """Bookings of the given users with names, seats and refund.
 
     A ticket cancelled in several steps shows one row per cancellation. ``active``
-    means confirmed only. Show ordered by journey and booking date, newest first.
+    means confirmed only. Show ordered by journey and booking date, newest first. Passengers
+    are dealt by ticket before they are listed, as a half-made list holds the order twice.
     """
     chosen = tickets.where(F.col("journey_date").between(F.lit(start or OPEN_START), F.lit(end or OPEN_END)))
     if status == "active":
@@ -40,7 +41,8 @@ def booking_history(
     if users is not None:
         chosen = chosen.join(users.select("user_id"), "user_id", "left_semi")
     order = ", ".join(f"`{c}`" for c in passenger_order)
-    names = passengers.groupBy("ticket_id").agg(
+    people = passengers.select("ticket_id", *passenger_order, "name", "seat_code").repartition("ticket_id")
+    names = people.groupBy("ticket_id").agg(
         F.expr(f"listagg(name, ', ') within group (order by {order})").alias("passenger_names"),
         F.expr(f"listagg(seat_code, ', ') within group (order by {order})").alias("seat_allocations"),
     )
@@ -162,32 +164,39 @@ def itemized_bills(tickets: DataFrame, classes: DataFrame, payments: DataFrame)
 
 def ticket_detail(
     tickets: DataFrame, services: DataFrame, trains: DataFrame, stations: DataFrame, classes: DataFrame,
-    seats: DataFrame, payments: DataFrame,
+    seats: DataFrame, payments: DataFrame | None = None, passenger: Sequence[str] = ("ticket_id", "pnr", "name", "concession"),
 ) -> DataFrame:
     """One wide row per ticket with its seat or queue text and payment.
 
-    ``seats``: schedule_id, coach_id, seat_no, seat_type.
+    ``seats``: schedule_id, coach_id, seat_no, seat_type. Without ``payments`` the tickets
+    hold amount and payment_mode. ``passenger`` are columns of the ticket that go through;
+    texts that follow from others may be added afterwards. The seats of a service, by
+    coach, and the texts of its train meet the tickets in one join.
     """
     source = stations.select(F.col("station_id").alias("src_station"), F.col("station").alias("source_station"))
     target = stations.select(F.col("station_id").alias("dst_station"), F.col("station").alias("destination_station"))
     lines = trains.join(source, "src_station").join(target, "dst_station").select(
         "train_id", "train_name", "train_type", "source_station", "destination_station"
     )
-    seat_text = F.concat("seat_type", F.lit("-"), "seat_no")
-    columns = (
-        "ticket_id", "pnr", "name", "concession", "class_no", "schedule_id", "journey_date", "status", "coach_id",
-        "seat_no", "queue_no", "booking_date",
+    if payments is not None:
+        tickets = tickets.join(payments.select("ticket_id", "amount", "payment_mode"), "ticket_id", "left")
+    coaches = seats.where(F.col("coach_id").isNotNull()).groupBy("schedule_id", "coach_id").agg(
+        F.collect_list(F.struct("seat_no", "seat_type")).alias("_seats")
     )
+    by_coach = coaches.groupBy("schedule_id").agg(F.map_from_entries(F.collect_list(F.struct("coach_id", "_seats"))).alias("_coaches"))
+    lines = services.select("schedule_id", "train_id").join(lines, "train_id").join(by_coach, "schedule_id", "left").drop("train_id")
+    seat = F.filter(F.try_element_at("_coaches", F.col("coach_id")), lambda s: s["seat_no"] == F.col("seat_no"))
+    seat_text = F.concat("_seat.seat_type", F.lit("-"), "seat_no")
+    columns = ("class_no", "schedule_id", "journey_date", "status", "coach_id", "seat_no", "queue_no", "booking_date", "amount", "payment_mode")
     return (
-        tickets.select(*columns).join(services.select("schedule_id", "train_id"), "schedule_id")
-        .join(lines, "train_id")
+        tickets.select(*passenger, *[c for c in columns if c not in passenger])
         .join(classes.select("class_no", "class_name"), "class_no")
-        .join(seats.select("schedule_id", "coach_id", "seat_no", "seat_type"), ["schedule_id", "coach_id", "seat_no"], "left")
-        .join(payments.select("ticket_id", "amount", "payment_mode"), "ticket_id", "left")
+        .join(lines, "schedule_id")
+        .select("*", F.explode_outer(seat).alias("_seat"))
         .withColumn("seat_info", F.when(F.col("status").isin(RAC, WL), queue_code("status", "queue_no")).otherwise(seat_text))
         .select(
-            "ticket_id", "pnr", "name", "concession", "class_name", "train_name", "train_type", "source_station",
-            "destination_station", "journey_date", "status", "seat_info", "amount", "payment_mode", "booking_date",
+            *passenger, "class_name", "train_name", "train_type", "source_station",
+            "destination_station", *[c for c in ("journey_date",) if c not in passenger], "status", "seat_info", "amount", "payment_mode", "booking_date",
         )
     )
 
