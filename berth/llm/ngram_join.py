@@ -17,12 +17,16 @@ The frequencies come from a sketch of fixed size over all documents. Its errors
 never a pair, as both sides of a pair see the same numbers.
 
 Classes that share a subset are candidates. In each bucket all are first compared with the
-bucket's smallest class; what is alike forms components. Then only classes of different
-components within a bucket are compared, those outside the bucket's largest component with
-all others. So a group of near copies costs its size, not its square. Pairs whose sizes or
-profiles (a bit per part of the universe, set if its shingles are odd in number; about as many parts
-as shingles) differ too much are dismissed, which no similar pair is; all others are checked on whole sets. Buckets that the sketch shows to be large are split by salt for the first
-comparison.
+bucket's lead, the class with the fewest subsets cheaper than the shared one: what a class has
+of its own is cheap, so the lead is what the others are copies of. What is alike forms
+components. Then only classes of different components within a bucket are compared, those
+outside the bucket's largest component with all others. Pairs whose sizes or marks (a bit for
+each of ``MARKS`` parts of the universe, set if its shingles are odd in number) differ too much
+are never made, and those whose profiles (the same for about as many parts as shingles) do are
+dismissed, which no similar pair is; all others are checked on whole sets. So the rows of a group
+of near copies are as many as its members and links; meeting in a bucket is still a comparison
+of marks for each pair across components. Buckets that the sketch shows to be large are split by
+salt for the first comparison.
 
 Shingles are compared as 64-bit hashes and classes known by 64 bits; at 10^10 classes a
 collision in the latter becomes likely, then widen them. A null or empty text has no
@@ -48,13 +52,17 @@ from berth.session import durable
 SHINGLE = 5
 #: Cells of the sketch; of each small band and way; ids above which a worker's memory of words starts anew.
 CELLS, SMALL_CELLS, KNOWN = 1 << 18, 1 << 14, 100_000
-#: Fewest parts of the universe in a profile, a power of two.
-PARTS = 64
+#: Fewest parts of the universe in a profile, a power of two; those of the marks that pairs are made by, a multiple of 64.
+PARTS, MARKS = 64, 512
 #: Largest size for which one-deletion neighbourhoods are weighed against more segments.
 SMALL = 15
 #: Estimated classes in a bucket above which it is salted.
 HOT = 2000
 _CHUNK = 1 << 12
+#: Numbers that a task gathers before it hands them on.
+_PIECE = 1 << 17
+#: Bits of the map that tells which texts are asked for.
+_BITS = 1 << 22
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -101,6 +109,12 @@ def profile(some: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def marks(some: np.ndarray) -> np.ndarray:
+    """The profile in ``MARKS`` parts, as 64-bit numbers."""
+    odd = np.bincount((some % np.uint64(MARKS)).astype(np.int64), minlength=MARKS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def differences(left: list[bytes], right: list[bytes]) -> np.ndarray:
     """Bits in which pairs of profiles differ; the longer of two is folded to the parts of the shorter."""
     widths = np.array([min(len(x), len(y)) for x, y in zip(left, right, strict=True)], np.int64)
@@ -192,19 +206,20 @@ class Scheme:
         return np.concatenate(found)
 
     def signatures(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """What a set indexes, and how often each is seen, by the sketch."""
-        found, seen = [], []
+        """What a set indexes, how often each is seen, by the sketch, and how many of its band are cheaper."""
+        found, seen, ranks = [], [], []
         for band in self.bands(len(some)):
             way = int(band in self.deletions)
             signs = self.all_signatures(some, band, way)
             often = self.sketch[(signs % np.uint64(CELLS)).astype(np.int64)]
+            cheapest = np.lexsort((signs, often))
             if not way:
                 top = min((2 << band) - 1, len(some) * 5 // 4)
-                cheapest = np.lexsort((signs, often))[: _most(len(some), top) + 1]
-                signs, often = signs[cheapest], often[cheapest]
-            found.append(signs)
-            seen.append(often)
-        return (np.concatenate(found), np.concatenate(seen)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
+                cheapest = cheapest[: _most(len(some), top) + 1]
+            found.append(signs[cheapest])
+            seen.append(often[cheapest])
+            ranks.append(np.arange(len(cheapest), dtype=np.int32))
+        return (np.concatenate(found), np.concatenate(seen), np.concatenate(ranks)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int32))
 
 
 def _row(docs: DataFrame, key: str, text: str) -> Column:
@@ -217,23 +232,28 @@ def _classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, Scheme]:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, scheme, seen = np.zeros(Scheme.width(), np.uint32), Scheme(), set()
-        names = ["key", "row", "cid", "n", "profile", "chunk", "counts"]
+        names = ["key", "row", "cid", "n", "profile", "marks", "chunk", "counts"]
         for batch in batches:
-            ids, sizes, profiles, counted = [], [], [], [np.zeros(0, np.int64)]
+            ids, sizes, profiles, marked, counted, held = [], [], [], [], [np.zeros(0, np.int64)], 0
             for t in batch.column(2):
                 some = shingles(t.as_py())
                 cid = class_id(some) if len(some) else None
                 ids.append(cid)
                 sizes.append(len(some))
                 profiles.append(profile(some) if len(some) else None)
+                marked.append(marks(some))
                 if len(some) and cid not in seen:
                     seen.add(cid)
                     counted.append(scheme.cells(some))
+                    held += len(counted[-1])
+                    if held > _PIECE:
+                        cells += np.bincount(np.concatenate(counted), minlength=len(cells)).astype(np.uint32)
+                        counted, held = [np.zeros(0, np.int64)], 0
             cells += np.bincount(np.concatenate(counted), minlength=len(cells)).astype(np.uint32)
-            found = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(profiles, pa.binary())]
+            found = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(profiles, pa.binary()), pa.array(marked, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found, pa.nulls(len(ids), pa.int32()), pa.nulls(len(ids), pa.binary())], names)
         parts = [i for i in range(0, len(cells), _CHUNK) if cells[i : i + _CHUNK].any()]
-        none = [pa.nulls(len(parts), pa.int64())] * 4 + [pa.nulls(len(parts), pa.binary())]
+        none = [pa.nulls(len(parts), pa.int64())] * 4 + [pa.nulls(len(parts), pa.binary()), pa.nulls(len(parts), pa.list_(pa.int64()))]
         counts = pa.array([cells[i : i + _CHUNK].astype("<u4").tobytes() for i in parts], pa.binary())
         yield pa.RecordBatch.from_arrays([*none, pa.array(parts, pa.int32()), counts], names)
 
@@ -245,39 +265,46 @@ def _classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, Scheme]:
         yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(sums), pa.int32()), "counts": pa.array([s.astype("<u4").tobytes() for s in sums.values()], pa.binary())})
 
     rows = docs.select(docs[key].cast("long"), _row(docs, key, text), docs[text].cast("string"))
-    rows = durable(rows.mapInArrow(task, "key long, row long, cid long, n long, profile binary, chunk int, counts binary"))
+    rows = durable(rows.mapInArrow(task, "key long, row long, cid long, n long, profile binary, marks array<long>, chunk int, counts binary"))
     cells = np.zeros(Scheme.width(), np.uint32)
     sketch = rows.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(added, "chunk int, counts binary")
     for r in sketch.collect():  # of fixed size: at most ``width`` cells
         cells[r["chunk"] : r["chunk"] + _CHUNK] = np.frombuffer(r["counts"], "<u4")
-    return rows.where("chunk is null").select("key", "row", "cid", "n", "profile"), Scheme(cells)
+    return rows.where("chunk is null").select("key", "row", "cid", "n", "profile", "marks"), Scheme(cells)
 
 
 def _index(docs: DataFrame, text: str, scheme: Scheme) -> DataFrame:
-    """Members of buckets with two classes or more: sign, salt, cid and the smallest cid of sign and salt."""
+    """Members of buckets with two classes or more: sign, salt, cid, and the first cid of sign and salt by rank, and its rank."""
     shared = docs.sparkSession.sparkContext.broadcast(scheme)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = shared.value, set()
         for batch in batches:
-            signs, ids, salts = [], [], []
+            pieces, held = [], 0
             for t in batch.column(0):
                 some = shingles(t.as_py())
                 cid = class_id(some) if len(some) else None
                 if cid is None or cid in seen:
                     continue
                 seen.add(cid)
-                found, often = own.signatures(some)
-                signs.append(found.astype(np.int64))
-                ids.append(np.full(len(found), cid, np.int64))
-                salts.append(np.where(often > HOT, np.abs(cid) % (1 + often // HOT), -1).astype(np.int32))
-            if signs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (signs, salts, ids)], ["sign", "salt", "cid"])
+                found, often, ranks = own.signatures(some)
+                salts = np.where(often > HOT, np.abs(cid) % (1 + often // HOT), -1).astype(np.int32)
+                pieces.append((found.astype(np.int64), np.full(len(found), cid, np.int64), ranks, salts))
+                held += len(found)
+                if held > _PIECE:
+                    yield _together(pieces)
+                    pieces, held = [], 0
+            if pieces:
+                yield _together(pieces)
+
+    signs = docs.select(docs[text].cast("string")).mapInArrow(task, "sign long, cid long, rank int, salt int")  # in this order they shuffle smallest
+    bucket = Window.partitionBy("sign", "salt").orderBy("rank", "cid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    signs = signs.withColumns({"lead": F.first("cid").over(bucket), "least": F.first("rank").over(bucket), "last": F.last("cid").over(bucket)})
+    return durable(signs.where("lead <> last or salt >= 0").drop("rank", "last"))
 
-    signs = docs.select(docs[text].cast("string")).mapInArrow(task, "sign long, salt int, cid long")
-    bucket = Window.partitionBy("sign", "salt")
-    signs = signs.withColumns({"lead": F.min("cid").over(bucket), "last": F.max("cid").over(bucket)})
-    return durable(signs.where("lead < last or salt >= 0").drop("last"))
+
+def _together(pieces: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*pieces, strict=True)], ["sign", "cid", "rank", "salt"])
 
 
 def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -301,18 +328,40 @@ def _sizes_fit(n: str, m: str) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * 80
 
 
+def _marks_fit() -> Column:
+    """Whether the marks (m0, ... and m0_, ...) of sets of n and n_ shingles allow for Jaccard 0.8 or more."""
+    differ = sum((F.bit_count(F.col(f"m{i}").bitwiseXOR(F.col(f"m{i}_"))) for i in range(MARKS // 64)), F.lit(0))
+    return differ * 9 <= F.col("n") + F.col("n_")
+
+
+def _asked(rows: DataFrame, needed: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose digest (row) is no row_ of ``needed``, by a bit map of fixed size, so their texts are not shuffled."""
+    cell = lambda row: F.pmod(F.col(row), F.lit(_BITS))
+    bits = needed.groupBy(F.bitmap_bucket_number(cell("row_")).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(cell("row_"))).alias("bits"))
+    at = F.bitmap_bit_position(cell("row"))
+    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.getbit(byte, (at % 8).cast("int")) == 1
+    return rows.join(F.broadcast(bits), (F.bitmap_bucket_number(cell("row")) == F.col("part")) & hit, "left_semi")
+
+
 def _alike(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
     """The pairs (a, b) with Jaccard 0.8 or more, on the sets of the classes' first documents."""
 
-    def packed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            yield pa.array([shingles(t).tobytes() for t in texts.to_pylist()], pa.binary())
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some, held, begun = [], 0, 0
+            for t in batch.column(1):
+                some.append(shingles(t.as_py()).tobytes())
+                held += len(some[-1])
+                if held > 8 * _PIECE or begun + len(some) == len(batch):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(begun, len(some)), pa.array(some, pa.binary())], ["cid", "some"])
+                    some, held, begun = [], 0, begun + len(some)
 
     def check(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for left, right in batches:
             found = []
             for a, b in zip(left, right, strict=True):
-                x, y = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
+                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
                 both = np.sort(np.concatenate([x, y]), kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
                 found.append(100 * common >= 80 * (len(both) - common))
@@ -322,8 +371,8 @@ def _alike(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text
     needed = near.select(F.col("a").alias("cid")).union(near.select("b")).distinct()
     needed = durable(classes.select("cid", F.col("row").alias("row_")).join(needed, "cid"))
     rows = docs.select(_row(docs, key, text).alias("row"), docs[text].cast("string").alias("text"))
-    rows = rows.join(needed, F.col("row") == F.col("row_")).groupBy("row", "cid").agg(F.first("text").alias("text"))
-    sets = durable(rows.select("cid", F.arrow_udf(packed, "binary").asNondeterministic()("text").alias("some")))
+    rows = _asked(rows, needed).join(needed, F.col("row") == F.col("row_")).groupBy("row", "cid").agg(F.first("text").alias("text"))
+    sets = durable(rows.select("cid", "text").mapInArrow(packed, "cid long, some binary"))
     left, right = sets.withColumnsRenamed({"cid": "a", "some": "x"}), sets.withColumnsRenamed({"cid": "b", "some": "y"})
     rows = near.join(left, "a").join(right, "b")
     return durable(rows.where(F.arrow_udf(check, "boolean").asNondeterministic()("x", "y")).select("a", "b"))
@@ -337,11 +386,11 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document, a written table: key, cid, n (size of its set) and root (of its component of classes, or null)."""
     rows, scheme = _classes(docs, key, text)
     members = _index(docs, text, scheme)
-    first = F.min(F.struct(F.col("key").isNull().alias("i"), F.col("key").alias("k"), "row", "n", "profile"))
-    classes = rows.where("cid is not null").groupBy("cid").agg(first.alias("f")).select("cid", "f.row", "f.n", "f.profile")
+    first = F.min(F.struct(F.col("key").isNull().alias("i"), F.col("key").alias("k"), "row", "n", "profile", "marks"))
+    classes = rows.where("cid is not null").groupBy("cid").agg(first.alias("f")).select("cid", "f.row", "f.n", "f.profile", "f.marks")
     classes = durable(classes.join(members.select("cid").distinct(), "cid"))
     stars = members.select(F.col("lead").alias("a"), F.col("cid").alias("b"))
-    leads = members.where("salt >= 0").groupBy("sign").agg(F.min("lead").alias("a"), F.collect_set("lead").alias("b")).select("a", F.explode("b").alias("b"))
+    leads = members.where("salt >= 0").groupBy("sign").agg(F.min(F.struct("least", "lead"))["lead"].alias("a"), F.collect_set("lead").alias("b")).select("a", F.explode("b").alias("b"))
     stars = durable(stars.union(leads).where("a <> b").distinct())
     linked = _alike(stars, classes, docs, key, text)
     roots = components(linked)
@@ -350,10 +399,12 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     placed = durable(placed)
     counts = placed.groupBy("sign", "root").agg(F.count("*").alias("c"))
     mixed = durable(counts.groupBy("sign").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.count("*").alias("k")).where("k > 1").drop("k"))
-    within = durable(placed.join(mixed, "sign"))
-    other = within.select("sign", F.col("cid").alias("cid_"), F.col("root").alias("root_"), F.col("n").alias("n_"))
+    marked = classes.select(F.col("cid").alias("node"), *[F.col("marks")[i].alias(f"m{i}") for i in range(MARKS // 64)])
+    within = placed.join(mixed, "sign")
+    within = durable(within.join(marked, F.col("cid") == F.col("node")).drop("node"))
+    other = within.drop("major").withColumnsRenamed({c: f"{c}_" for c in within.columns if c != "sign"})
     minor = within.where("root <> major")
-    pairs = minor.join(other, "sign").where(_sizes_fit("n", "n_") & (F.col("root") != F.col("root_")) & ((F.col("root_") == F.col("major")) | (F.col("cid") < F.col("cid_"))))
+    pairs = minor.join(other, "sign").where(_sizes_fit("n", "n_") & _marks_fit() & (F.col("root") != F.col("root_")) & ((F.col("root_") == F.col("major")) | (F.col("cid") < F.col("cid_"))))
     pairs = pairs.select(F.least("cid", "cid_").alias("a"), F.greatest("cid", "cid_").alias("b")).distinct()
     pairs = durable(pairs.join(stars, ["a", "b"], "left_anti"))
     if not pairs.isEmpty():

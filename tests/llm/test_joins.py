@@ -77,6 +77,37 @@ def test_join_is_brute_force(spark, monkeypatch, seed, passage, group, hot):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out.collect()) == plain_join(rows)
 
 
+def test_far_copies_make_few_pairs(spark, monkeypatch):
+    """Copies of one text with up to 12 words replaced: many are like no other, and are not paired with all."""
+    r, base, made = random.Random(7), [f"b{i}" for i in range(146)], []
+    rows = []
+    for i in range(300):
+        words = list(base)
+        for at in r.sample(range(146), r.randrange(13)):
+            words[at] = f"n{i}x{at}"
+        rows.append((i, " ".join(words)))
+    alike = ngram_join._alike
+
+    def counted(pairs, *args):
+        made.append(pairs.count())
+        return alike(pairs, *args)
+
+    monkeypatch.setattr(ngram_join, "_alike", counted)
+    out = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((x["doc_id"], x["n_shingles"], x["component_id"]) for x in out.collect()) == plain_join(rows)
+    assert sum(made) < 15 * len(rows)
+
+
+def test_marks_never_dismiss_similar_sets():
+    r = np.random.default_rng(8)
+    for n in (1, 4, 9, 60, 142, 700, 5000):
+        for differ in (0, 1, n // 9, n):
+            some = r.integers(0, 2**63, n + differ, dtype=np.uint64)
+            found = np.bitwise_count((ngram_join.marks(some[:n]) ^ ngram_join.marks(some[differ:])).view(np.uint64)).sum()
+            assert found <= 2 * differ and (found > 0 or differ == 0 or n > 60)
+    assert len(ngram_join.marks(some)) == ngram_join.MARKS // 64
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_similar_sets_share_a_signature(seed):
     """Whatever the sketch says, and in either way of small bands."""
@@ -168,5 +199,15 @@ def test_profiles_never_dismiss_similar_sets(n, similarity):
         assert (found[:2] > most[:2]).any()  # and most others are dismissed
 
 
+def test_only_asked_texts_go_on(spark):
+    r = random.Random(3)
+    rows = [(r.randrange(-(2**63), 2**63), f"t{i}") for i in range(4000)] + [(0, "zero"), (-1, "last"), (1 << 22, "as zero")]
+    needed = [x for x, _ in rows[:500]] + [0, -1]
+    got = ngram_join._asked(spark.createDataFrame(rows, "row long, text string"), spark.createDataFrame([(x,) for x in needed], "row_ long"))
+    assert got.columns == ["row", "text"]
+    got = {x["row"] for x in got.collect()}
+    assert set(needed) | {1 << 22} <= got and len(got) < 520
+
+
 def test_no_profiles():
     assert ngram_join.differences([], []).tolist() == []
