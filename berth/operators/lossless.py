@@ -53,7 +53,7 @@ def join_tree(parts: Sequence[Sequence[str]]) -> list[tuple[int, int, list[str]]
     """Steps (part, neighbour, shared columns) that take the parts off one by one, or None for cyclic or unconnected parts."""
     left, steps = dict(enumerate(map(set, parts))), []
     while len(left) > 1:
-        for i, part in left.items():
+        for i, part in reversed(left.items()):  # so that steps go towards the first part
             shared = part & set().union(*(p for j, p in left.items() if j != i))
             host = next((j for j, p in left.items() if j != i and shared <= p), None)
             if host is not None and shared:
@@ -76,11 +76,21 @@ def joined_size(df: DataFrame, parts: Sequence[Sequence[str]]) -> DataFrame:
     steps = join_tree(parts)
     if steps is None:
         raise ValueError("the parts are no tree: ask lossless_by_chase")
-    tables = [df.select(*part).distinct().withColumn("_n", F.lit(1).cast(_COUNT)) for part in parts]
-    for i, host, shared in steps:
-        sent = tables[i].groupBy(*shared).agg(F.sum("_n").cast(_COUNT).alias("_m"))
-        tables[host] = tables[host].join(sent, shared).withColumn("_n", (F.col("_n") * F.col("_m")).cast(_COUNT)).drop("_m")
+    tables, counted = [df.select(*part).distinct() for part in parts], set()
+
+    def folded(k: int, columns: Sequence[str]) -> DataFrame:
+        """Rows joined so far (_m) by what later steps still need of part ``k``."""
+        return tables[k].groupBy(*columns).agg((F.sum("_n") if k in counted else F.count(F.lit(1))).cast(_COUNT).alias("_m"))
+
+    for at, (i, host, shared) in enumerate(steps):
+        sent, later = folded(i, shared), {c for a, b, on in steps[at:] if host in (a, b) for c in on}
+        if later < set(tables[host].columns) - {"_n"}:  # combined before it is shuffled
+            tables[host] = folded(host, sorted(later)).withColumnRenamed("_m", "_n")
+            counted.add(host)
+        met = tables[host].join(sent, shared)
+        tables[host] = met.withColumn("_n", (F.col("_n") * F.col("_m")).cast(_COUNT) if host in counted else F.col("_m")).drop("_m")
+        counted.add(host)
     root = ({*range(len(parts))} - {i for i, _, _ in steps}).pop()
-    joined = tables[root].select(F.lit(0).cast(_COUNT).alias("_r"), F.col("_n").alias("_j"))
+    joined = tables[root].select(F.lit(0).cast(_COUNT).alias("_r"), (F.col("_n") if root in counted else F.lit(1)).cast(_COUNT).alias("_j"))
     rows = df.distinct().select(F.lit(1).cast(_COUNT).alias("_r"), F.lit(0).cast(_COUNT).alias("_j"))
     return joined.unionByName(rows).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast(_COUNT).alias(n) for c, n in (("_r", "n_rows"), ("_j", "n_joined"))])

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from berth.operators import allocate as al
-from berth.operators import reports
+from berth.operators import lossless, reports
 from berth.operators.rank import id_slice, ranked
 from tests.conftest import rows
 
@@ -101,3 +101,14 @@ def test_last_ticket_pays_once_per_order(spark, tmp_path):
     ).write.parquet(f"{tmp_path}/lineitem.parquet")
     paid = Bound(spark, str(tmp_path)).paid_tickets.select("booking_id", "line_no", "amount")
     assert [(r.booking_id, r.line_no, None if r.amount is None else float(r.amount)) for r in paid.orderBy("booking_id").collect()] == [(1, 2, 10.0)] * 4 + [(2, 1, None)]
+
+
+def test_parts_are_folded_before_they_meet(spark, no_broadcast):
+    """What no later step needs of a part is summed away before the part is shuffled."""
+    df = spark.createDataFrame([(i, i % 5, i % 3, i % 2) for i in range(60)], "ticket int, service int, season int, seat int")
+    parts = (("ticket", "service"), ("service", "season"), ("ticket", "seat"))
+    assert lossless.join_tree(parts) == [(2, 0, ["ticket"]), (1, 0, ["service"])]
+    size = lossless.joined_size(df, parts)
+    assert tuple(size.first()) == (60, 180)
+    text = size._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Aggregate [service#" in line and "sum(_" in line for line in text.splitlines()) == 1, text
