@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from berth.operators import allocate as al
-from berth.operators import lossless, reports
+from berth.operators import cancellation, lossless, reports
 from berth.operators.rank import id_slice, ranked
 from tests.conftest import rows
 
@@ -112,3 +112,31 @@ def test_parts_are_folded_before_they_meet(spark, no_broadcast):
     assert tuple(size.first()) == (60, 180)
     text = size._jdf.queryExecution().optimizedPlan().toString()
     assert sum("Aggregate [service#" in line and "sum(_" in line for line in text.splitlines()) == 1, text
+
+
+def test_cancels_with_tickets_shuffle_passengers_once(spark, no_broadcast):
+    """Passengers, cancels and fares meet by ticket; repeated rows, nulls and cancels without tickets give what joins by passenger gave."""
+    people = spark.createDataFrame(
+        [(1, 7, 1, "Confirmed", 1, "S1", None), (2, 7, 1, "cancelled", None, None, None), (3, 8, 1, "RAC", None, None, 1), (3, 8, 1, "RAC", None, None, 2),
+         (4, 9, 1, "Confirmed", 1, "S2", None), (5, 9, 1, "WL", None, None, 1), (None, 9, 1, "WL", None, None, 2), (6, 10, 1, "WL", None, None, 3)],
+        "passenger_id long, ticket_id long, k int, status string, coach_id long, seat_no string, queue_no long",
+    )
+    tickets = spark.createDataFrame(
+        [(7, 70, 10.0, "card", "confirmed"), (8, 80, 20.0, "wallet", "confirmed"), (8, 81, 40.0, "wallet", "confirmed"), (9, 90, 30.0, "card", "confirmed")],
+        "ticket_id long, user_id long, total_fare double, method string, status string",
+    ).withColumn("total_fare", F.col("total_fare").cast("decimal(12,2)"))
+    early, late = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2)
+    cancels = spark.createDataFrame(
+        [(1, 7, late, "card"), (1, 7, early, "wallet"), (2, 7, early, "card"), (3, 8, early, "card"), (4, 9, late, "card"), (None, 9, late, "card"), (99, 9, late, "card"), (6, 10, late, "card")],
+        "passenger_id long, ticket_id long, ts timestamp, refund_to string",
+    )
+    text = plan(cancellation._marked(cancels, people, tickets, "active"))
+    shuffles = [line for line in text.splitlines() if "Exchange" in line]
+    assert len(shuffles) == 2 and all("hashpartitioning(ticket_id" in line and "passenger_id" not in line for line in shuffles), text
+    for asked in (cancels, cancels.drop("ticket_id")):
+        out = cancellation.cancellation(asked, people, tickets, scope=("k",))
+        after = sorted((r.passenger_id or 0, r.status, r.seat_no or "", r.queue_no or 0) for r in out["passengers"].collect())
+        assert after == [(0, "Confirmed", "S2", 0), (1, "cancelled", "", 0), (2, "cancelled", "", 0), (3, "cancelled", "", 0), (3, "cancelled", "", 0), (4, "cancelled", "", 0), (5, "Confirmed", "S1", 0), (6, "cancelled", "", 0)]
+        assert rows(out["tickets"].where("status = 'cancelled'").select("ticket_id", "user_id")) == [(7, 70), (8, 80), (8, 81)]
+        paid = [(r.passenger_id, r.user_id, r.ts, float(r.amount), r.refund_to) for r in out["refunds"].orderBy("passenger_id", "user_id", "amount").collect()]
+        assert paid == [(1, 70, early, 9.0, "wallet"), *[(3, u, early, a, "card") for u in (80, 81) for a in (9.0, 18.0) for _ in range(4)], (4, 90, late, 9.0, "card")]
